@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, token_counts
+from panelspark.llm import decontaminate, token_counts, token_files
 
 _MODULES = {
     "op5_token_counts": token_counts,
+    "op7_token_files": token_files,
     "op9_decontaminate": decontaminate,
 }
 
