@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, token_counts, token_files
+from panelspark.llm import decontaminate, near_dups, token_counts, token_files
 
 _MODULES = {
     "op5_token_counts": token_counts,
     "op7_token_files": token_files,
     "op9_decontaminate": decontaminate,
+    "op10_near_dups": near_dups,
 }
 
 
