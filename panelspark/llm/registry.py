@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, near_dups, token_counts, token_files
+from panelspark.llm import decontaminate, near_dups, token_counts, token_files, toxicity
 
 _MODULES = {
+    "op2_toxicity": toxicity,
     "op5_token_counts": token_counts,
     "op7_token_files": token_files,
     "op9_decontaminate": decontaminate,

@@ -65,7 +65,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some rows. ``first[i]:first[i+1]`` are the words of row i; ``raw`` holds the lower-cased bytes."""
 
-    __slots__ = ("raw", "start", "end", "value", "first")
+    __slots__ = ("raw", "start", "end", "value", "first", "_total")
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray, kind: np.ndarray):
         self.raw = LOWER[raw]
@@ -73,6 +73,7 @@ class Words:
         if not n:
             self.start = self.end = np.zeros(0, np.int64)
             self.value, self.first = np.zeros(0, U64), np.zeros(len(bounds), np.int64)
+            self._total = np.zeros(1, U64)
             return
         word = kind[self.raw]
         before = np.empty(n, bool)
@@ -92,6 +93,14 @@ class Words:
         np.cumsum(_CODES[self.raw] * up[:n], out=total[1:])
         self.value = mix((total[self.end] - total[self.start]) * down[self.start])
         self.first = np.searchsorted(self.start, bounds)
+        self._total = total
+
+    def prefix(self, k: int) -> np.ndarray:
+        """The values of the first k bytes of each word; shorter words have their own value."""
+        if not len(self.raw):
+            return self.value
+        _, down = powers(len(self.raw))
+        return mix((self._total[np.minimum(self.start + k, self.end)] - self._total[self.start]) * down[self.start])
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j-1, lower-cased, one space between."""
