@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, near_dups, token_counts, token_files, toxicity
+from panelspark.llm import decontaminate, hilbert, mixing, near_dups, token_counts, token_files, toxicity
 
 _MODULES = {
+    "op1_mixing": mixing,
     "op2_toxicity": toxicity,
+    "op4_hilbert_shards": hilbert,
     "op5_token_counts": token_counts,
     "op7_token_files": token_files,
     "op9_decontaminate": decontaminate,
