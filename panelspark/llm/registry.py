@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, hilbert, mixing, near_dups, token_counts, token_files, toxicity
+from panelspark.llm import decontaminate, hilbert, mixing, multi_index, near_dups, token_counts, token_files, toxicity
 
 _MODULES = {
     "op1_mixing": mixing,
@@ -14,6 +14,7 @@ _MODULES = {
     "op4_hilbert_shards": hilbert,
     "op5_token_counts": token_counts,
     "op7_token_files": token_files,
+    "op8_multi_index": multi_index,
     "op9_decontaminate": decontaminate,
     "op10_near_dups": near_dups,
 }
