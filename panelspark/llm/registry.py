@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, hilbert, line_dedup, mixing, multi_index, near_dups, token_counts, token_files, toxicity
+from panelspark.llm import decontaminate, hilbert, line_dedup, mixing, multi_index, near_dups, quality, token_counts, token_files, toxicity
 
 _MODULES = {
     "op1_mixing": mixing,
     "op2_toxicity": toxicity,
+    "op3_quality": quality,
     "op4_hilbert_shards": hilbert,
     "op5_token_counts": token_counts,
     "op6_line_dedup": line_dedup,
