@@ -149,5 +149,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return rows.withColumn("own", own).join(quotas, ["key", "size", "bucket"]).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
+def apply_mix(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
+    """docs with each document as often as the mix takes it; all columns stay. doc_id must be unique; rows without it, and documents of no words, stay once."""
+    chosen = mix(docs, doc_id=doc_id, **how).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int").alias("_times"))
+    joined = docs.join(chosen.where("_id is not null"), docs[doc_id] == F.col("_id"), "left")
+    times = F.coalesce("_times", F.lit(1))
+    return joined.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -376,9 +376,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one document of each component; all columns stay."""
-    gone = near_duplicates(docs, doc_id, text, **how).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(docs.columns)
+    """docs with one document of each component; all columns stay. Of rows equal in doc_id and text one stays."""
+    found = cut(near_duplicates(docs, doc_id, text, **how).select(F.col("doc_id").alias(doc_id), "kept"))
+    gone = found.where("not kept").select(doc_id).distinct()
+    out = docs.join(gone, doc_id, "left_anti").select(docs.columns)
+    again = cut(found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(doc_id))
+    if not again.count():
+        return out
+    once = out.join(again, doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id, text])
+    return out.join(again, doc_id, "left_anti").select(docs.columns).unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
