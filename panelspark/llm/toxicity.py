@@ -30,7 +30,7 @@ from panelspark.llm.common import table
 from panelspark.llm.labelled import held_out, sample
 from panelspark.llm.text import ALNUM, U64, Words, words
 
-MAX_DOCS, MAX_BYTES = 8000, 40_000_000
+MAX_DOCS, MAX_BYTES = 6000, 24_000_000
 BUCKETS = 15
 DIM, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
 STEMS = (4, 5, 6)
@@ -149,6 +149,15 @@ def _train(docs: list[np.ndarray], y: np.ndarray, epochs: int, seed: int) -> Net
     return net
 
 
+def _scores(net: Net, docs: list[np.ndarray]) -> np.ndarray:
+    """The scores of some documents, a few at a time."""
+    out = []
+    for a in range(0, len(docs), BATCH):
+        part = docs[a : a + BATCH]
+        out.append(net.scores(np.concatenate(part), np.concatenate(([0], np.cumsum([len(d) for d in part])))))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
     """The threshold of the best F1, halfway to the next lower score; 0.5 if there is nothing to find."""
     if not y.any():
@@ -178,13 +187,11 @@ def fit(rows: list[tuple[str | None, str | None, int]], epochs: int = EPOCHS, se
     learn = np.flatnonzero(~aside) if y[~aside].any() else np.arange(len(rows))
     net = _train([docs[i] for i in learn], y[learn], epochs, seed)
     cal = np.flatnonzero(aside)
-    first = np.concatenate(([0], np.cumsum([len(docs[i]) for i in cal])))
-    z = net.logits(np.concatenate([docs[i] for i in cal]), first).astype(float)
-    score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    score = _scores(net, [docs[i] for i in cal])
     if len(cal) >= FEW:  # the best common threshold becomes a score of one half
         t = float(np.clip(best_threshold(score, y[cal]), 0.02, 0.98))
         net.offset = -float(np.log(t / (1 - t)))
-        score = net.scores(np.concatenate([docs[i] for i in cal]), first)
+        score = _scores(net, [docs[i] for i in cal])
     langs = np.array([rows[i][1] or "" for i in cal])
     for lang in sorted(set(langs) - {""}):
         own = langs == lang
