@@ -101,9 +101,9 @@ def aligned_statements(spark, sf):
     return statements.align_statements(s["income"], s["balance"], s["cashflow"]).select("ticker", "report_date", "rev", "ni", "assets", "op_cash")
 
 
-@query(_FILED + "SELECT ticker, report_date, close, round(cap, 2) AS mkt_cap, capex, round(fcf, 6) AS fcf FROM rec")
+@query(_FILED + "SELECT ticker, report_date, close, cap AS mkt_cap, capex, round(fcf, 6) AS fcf FROM rec")
 def as_of_market_cap(spark, sf):
-    return _records(spark, sf).select("ticker", "report_date", "close", F.round("mkt_cap", 2).alias("mkt_cap"), "capex", F.round("fcf", 6).alias("fcf"))
+    return _records(spark, sf).select("ticker", "report_date", "close", "mkt_cap", "capex", F.round("fcf", 6).alias("fcf"))
 
 
 @query(_FILED + f"SELECT ticker, report_date, {r(*[f'ttm_{c}' for c in statements.FLOWS + statements.STOCKS], digits=7)} FROM ttm")
