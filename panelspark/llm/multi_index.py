@@ -38,7 +38,7 @@ from panelspark.llm.common import cut, table
 K_NEAREST = 20
 SAMPLE = 20_000
 RECALL = 0.96
-MOST_CENTROIDS = 128
+MOST_CENTROIDS = 64
 BLOCK, CHUNK = 16_384, 4096
 
 
@@ -145,12 +145,15 @@ def _score(k: int):
                 s = np.where(visited[:, place], q[a:z] @ x.T, -np.inf)
                 s[qid[a:z, None] == vid] = -np.inf
                 least = np.partition(s, -k, axis=1)[:, -k] if len(vid) > k else np.full(z - a, -np.inf)
-                for r in range(z - a):
-                    near = np.flatnonzero((s[r] >= least[r] - 1e-9 * (1 + abs(least[r]) if np.isfinite(least[r]) else 1)) & np.isfinite(s[r]))
-                    if len(near):
-                        e = exact(np.broadcast_to(q[a + r], (len(near), q.shape[1])), x[near])
-                        best = np.lexsort((vid[near], -e))[:k]
-                        out["query_id"].append(int(qid[a + r])), out["ids"].append(vid[near][best]), out["scores"].append(e[best])
+                slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+                row, col = np.nonzero((s >= (least - slack)[:, None]) & (s > -np.inf))
+                e = exact(q[a + row], x[col])
+                order = np.lexsort((vid[col], -e, row))
+                row, col, e = row[order], col[order], e[order]
+                first = np.searchsorted(row, np.arange(z - a + 1))
+                for r in np.flatnonzero(np.diff(first)).tolist():
+                    best = slice(first[r], min(first[r] + k, first[r + 1]))
+                    out["query_id"].append(int(qid[a + r])), out["ids"].append(vid[col[best]]), out["scores"].append(e[best])
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64())), "scores": pa.array(out["scores"], pa.list_(pa.float64()))})
 
     return run
