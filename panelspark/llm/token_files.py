@@ -20,8 +20,8 @@ writes under a name of its own and renames the file when it is whole: a lost
 executor's task can run again. Files go to a folder that all executors share.
 
 Encoding: a byte-level BPE with the usual word pattern always has a border before
-a space that follows a non-space or precedes one, so a text falls apart at those
-spaces; each worker keeps a bounded cache of the library's ids of such parts.
+a space that follows a non-space or precedes one, and around a line break between two
+non-spaces, so a text falls apart there; each worker keeps a bounded cache of the library's ids of such parts.
 Texts where the rule doesn't hold (spaces among other white space, special
 strings), and tokenizers of other kinds, are encoded whole.
 
@@ -37,6 +37,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,11 +53,24 @@ from panelspark.llm.common import fresh_dir, table
 MODEL = "byte_bpe_50k.json"
 FRAME_IDS = 1 << 16
 ROWS_A_FILE = 500_000
-CACHE = 700_000
+CACHE = 1_000_000
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_TABLE, SKIPPABLE_DOCS, SEEKABLE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 
-_odd_space = re.compile(r"\s \s|\s \Z")
+# The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPACE = chr(_LETTERS[32])
+
+
+def _is_word(w: str) -> bool:
+    """Letters alone, of blocks that have been the same in all versions of Unicode."""
+    return w.isalpha() and (w.isascii() or max(w) < "\u0250")
+
+
+_space = re.compile(r"\s")
+_odd_line = re.compile(r"\n(?:(?=\s)|(?<=\s\n))")
+_odd_space = re.compile(r" (?:(?<=\s )(?=\s|\Z))")
 
 
 class Encoder:
@@ -70,6 +84,13 @@ class Encoder:
         self.splits = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["normalizer"] is None
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.dtype = "<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        line = self.raw(["\n"])[0]
+        self.line = int(np.frombuffer(line, self.dtype)[0]) if len(line) == np.dtype(self.dtype).itemsize else None
+        self.line_ids = line
+        self.ends = {c: self.raw([c])[0] for c in ".,"}
+        self.code = "H" if self.dtype == "<u2" else "I"
+        self.direct = self.splits and spec["model"]["type"] == "BPE" and self.line is not None
+        self.merge = self.model.model
         self.inner: dict[str, bytes] = {}
         self.begin: dict[str, bytes] = {}
         self.cache = cache
@@ -77,24 +98,68 @@ class Encoder:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, parts: list[str]) -> None:
+        """Adds the ids of parts to the cache. A part stands after a space, or, if it begins with one, after a line break.
+
+        A part of letters alone is one word for the pattern, so the library's merge model gets it directly. Other parts are
+        encoded as lines of one text, as a line break between them is a token of its own. A full stop or comma after a
+        letter is a token of its own, too.
+        """
+        inner, plain, odd = self.inner, [], []
+        for p in dict.fromkeys(q[:-1] if len(q) > 1 and q[-1] in self.ends and _is_word(q[-2]) else q for q in parts):
+            if p in inner:
+                continue
+            after_line = p[:1] == "\n"
+            w = p[1:] if after_line else p
+            if self.direct and _is_word(w):
+                w = w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)
+                ids = array(self.code, [x.id for x in self.merge.tokenize(w if after_line else _SPACE + w)]).tobytes()
+                inner[p] = self.line_ids + ids if after_line else ids
+            else:
+                (odd if self.line is None or not p or _space.search(p, p[0] == "\n") else plain).append(p)
+        if plain:
+            flat = np.array(self.model.encode_batch_fast(["\n".join([p[1:] if p[0] == "\n" else " " + p for p in plain])], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(flat == self.line)
+            if len(cuts) == len(plain) - 1:
+                raw, w, line = flat.tobytes(), flat.itemsize, self.line_ids
+                for p, a, z in zip(plain, [0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(raw)], strict=True):
+                    inner[p] = line + raw[a:z] if p[0] == "\n" else raw[a:z]
+            else:
+                odd += plain
+        if odd:
+            inner.update(zip(odd, self.raw([p if p[:1] == "\n" else " " + p for p in odd]), strict=True))
+        for q in parts:
+            if q not in inner:
+                inner[q] = inner[q[:-1]] + self.ends[q[-1]]
+
+    def _part(self, text: str) -> bytes:
+        """The ids of a text of its own, by a small cache."""
+        if text not in self.begin:
+            if len(self.begin) > self.cache // 8:
+                self.begin.clear()
+            self.begin[text] = self.raw([text])[0] if text else b""
+        return self.begin[text]
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.splits or _odd_space.search(text) or any(s in text for s in self.special):
             return self.raw([text])[0]
-        parts = text.split(" ")
-        head, inner = parts.pop(0), self.inner
-        if new := [p for p in parts if p not in inner]:
-            if len(inner) > self.cache:
-                inner = self.inner = {}
-                new = parts
-            new = list(dict.fromkeys(new))
-            inner.update(zip(new, self.raw([" " + p for p in new]), strict=True))
-        if head not in self.begin:
-            if len(self.begin) > self.cache // 8:
-                self.begin.clear()
-            self.begin[head] = self.raw([head])[0] if head else b""
-        return self.begin[head] + b"".join(map(inner.__getitem__, parts))
+        if "\n" in text:
+            if text[0] == "\n" or text[-1] == "\n" or _odd_line.search(text):
+                head, *parts = text.split(" ")
+                return self._part(head) + b"".join([self._part(" " + p) for p in parts])
+            text = text.replace("\n", " \n")
+        head, *parts = text.split(" ")
+        got = list(map(self.inner.get, parts))
+        if None in got:
+            if len(self.inner) > self.cache:
+                self.inner = {}
+                self.learn(parts)
+            else:
+                self.learn([p for p, g in zip(parts, got, strict=True) if g is None])
+            got = map(self.inner.__getitem__, parts)
+        return self._part(head) + b"".join(got)
 
 
 _encoders: dict[str, Encoder] = {}
