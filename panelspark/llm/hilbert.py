@@ -31,7 +31,7 @@ from panelspark.llm.common import cut, table
 SHARDS = 24
 BITS = 4
 ROWS_A_BUCKET = 50_000
-MOST_VALUES = 1 << 16
+MOST_VALUES = 1024
 
 
 def curve_index(x: np.ndarray, bits: int) -> np.ndarray:

@@ -19,7 +19,7 @@ the counts, and each numbers its own rows.
 
 Edge cases: a null or empty text has size 0 and is taken at no cost; a source of no
 words has target 0; repeated rows are documents of their own; no rows, no result.
-Reruns agree, as all order comes from doc_id.
+Only a row for each source (its total) comes to the driver. Reruns agree, as all order comes from doc_id.
 """
 
 from __future__ import annotations
