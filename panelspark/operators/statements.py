@@ -133,3 +133,9 @@ def between_dates(df: DataFrame, date: str, start: str | None, end: str | None)
     if start:
         df = df.where(F.col(date) >= F.to_date(F.lit(start)))
     return df.where(F.col(date) <= F.to_date(F.lit(end))) if end else df
+
+
+def normalize_date_column(df: DataFrame, source: str, key: str = "ticker") -> DataFrame:
+    """The source column as ISO text under ``date``, keys first."""
+    rest = [c for c in df.columns if c not in (source, key, "date")]
+    return df.select(*([key] if key in df.columns else []), F.date_format(source, "yyyy-MM-dd").alias("date"), *rest)

@@ -591,5 +591,58 @@ def best_epoch(spark, sf):
     return rounded(predictions.best_epoch(_epochs(spark, sf)).select("epoch", "val_loss"))
 
 
+# ---- further forms ---------------------------------------------------------------
+
+
+@query(f"""WITH {S.SQL_STORIES}, {_TOPICS}, k AS (SELECT ticker, time_range, count(*) AS story_count FROM stories GROUP BY 1, 2)
+SELECT k.*, round(coalesce(a.relevance, 0), 8) AS topic_relevance_earnings, round(coalesce(b.relevance, 0), 8) AS topic_relevance_life_sciences FROM k
+LEFT JOIN topic a ON a.ticker = k.ticker AND a.time_range = k.time_range AND a.topic = 'earnings' LEFT JOIN topic b ON b.ticker = k.ticker AND b.time_range = k.time_range AND b.topic = 'life_sciences'""")
+def story_features(spark, sf):
+    wide = stories.story_features(S.stories(spark, sf), ["earnings", "life_sciences"])
+    return rounded(wide.select("ticker", "time_range", "story_count", "topic_relevance_earnings", "topic_relevance_life_sciences"))
+
+
+@query(_SPLIT + "SELECT time_range, quarter_end_date, count(DISTINCT ticker) AS tickers FROM st GROUP BY 1, 2")
+def row_groups(spark, sf):
+    return samples.row_groups(_state(spark, sf))
+
+
+@query(_JOINED + f""", s AS (SELECT split, count(*) AS n, count(DISTINCT ticker) AS k FROM seq WHERE window_ready AND horizon_target_ready AND length = 4 AND p1 IS NOT NULL AND p2 IS NOT NULL GROUP BY 1), a AS (SELECT split, count(*) AS n FROM st GROUP BY 1)
+SELECT split, coalesce(a.n, 0) AS raw_rows, coalesce(s.n, 0) AS samples, coalesce(s.k, 0) AS tickers, CASE WHEN s.n > 0 THEN 4.0::DOUBLE ELSE 0::DOUBLE END AS sequence_length FROM {_THREE} LEFT JOIN a USING (split) LEFT JOIN s USING (split)""")
+def data_summary(spark, sf):
+    return samples.data_summary(_state(spark, sf), samples.sequence_samples(_joined(spark, sf), ["f1", "f3"], [1, 2], 4))
+
+
+@query(_P + "SELECT count(*) AS count, round(avg(abs(e)), 8) AS mean_absolute_error, round(avg(e * e), 8) AS mean_squared_error FROM err WHERE horizon = 1")
+def simple_evaluation(spark, sf):
+    return rounded(predictions.simple_evaluation(_unfolded(spark, sf).where("horizon = 1"), "predicted_price", "target_price"))
+
+
+@query(f"WITH {S.SQL_PRICES} SELECT ticker, strftime(date, '%Y-%m-%d') AS date, price FROM prices WHERE date BETWEEN DATE '1998-12-31' AND DATE '2000-12-31'")
+def recent_prices(spark, sf):
+    return statements.normalize_date_column(statements.recent_prices(S.prices(spark, sf), "2000-12-31", 2), "date")
+
+
+@query(f"WITH {S.SQL_PANEL}, w AS (SELECT ticker, quarter_end_date, count(*) OVER o AS n, sum(f1) OVER o AS total FROM panel WINDOW o AS (PARTITION BY ticker ORDER BY quarter_end_date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) SELECT ticker, quarter_end_date, 6 AS padded, n::INT AS valid, round(total, 5) AS total FROM w")
+def padded_sequences(spark, sf):
+    df = samples.with_sequences(S.panel(spark, sf), ["f1"], 6)
+    padded = scalar.pad_sequence("sequence", 6, 1)
+    valid = F.size(F.filter(scalar.mask("sequence", 6), lambda x: x))
+    return df.select("ticker", "quarter_end_date", F.size(padded).alias("padded"), valid.alias("valid"), F.round(F.aggregate(F.flatten(padded), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query(f"WITH {S.SQL_MACRO} SELECT coalesce(a.date, b.date) AS date, a.v AS a, b.n AS b FROM (SELECT date, v FROM months WHERE month(date) <= 8) a FULL JOIN (SELECT date, n FROM months WHERE month(date) >= 5) b ON a.date = b.date")
+def outer_series(spark, sf):
+    m = S.macro(spark, sf)
+    return indicators.outer_join_series({"a": m.where("name = 'Order Value' AND month(date) <= 8"), "b": m.where("name = 'order-count' AND month(date) >= 5")})
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}, {b}::DOUBLE, {c}::DOUBLE)" for k, (a, _, b, c, _) in enumerate(sorted(S.RUNS, key=lambda x: (x[2], x[3], x[0])), 1)) + ") v(place, run_id, risk_penalty, concentration_penalty)")
+def sweep_index(spark, sf):
+    order = Window.orderBy("risk_penalty", "concentration_penalty", "run_id")
+    used = portfolio.sweep_index(S.weights(spark, sf))
+    return used.select(F.row_number().over(order).alias("place"), "run_id", "risk_penalty", "concentration_penalty")
+
+
 def one_over(keys: list[str]) -> Column:
     return 1 / F.count("*").over(Window.partitionBy(*keys))
