@@ -157,7 +157,3 @@ def batch_metrics(weights: DataFrame, sample: list[str]) -> DataFrame:
 def sweep_index(runs: DataFrame) -> DataFrame:
     """One row for each run in the order of its penalties."""
     return runs.select("run_id", *RUN).dropDuplicates(["run_id"]).orderBy("risk_penalty", "concentration_penalty", "run_id")
-
-
-def equal_weight(sample: list[str]) -> Column:
-    return 1 / F.count("*").over(_over(sample))

@@ -133,7 +133,3 @@ def scope_rows(df: DataFrame, scope: str) -> DataFrame:
     if scope not in ("val", "all"):
         raise ValueError(f"unknown scope {scope!r}: val or all")
     return (df.where(F.col("split") == "val") if scope == "val" else df).withColumn("evaluation_scope", F.lit(scope))
-
-
-def bool_or_false(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(False))

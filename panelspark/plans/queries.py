@@ -331,7 +331,6 @@ j AS (SELECT st.*, q.quarter_price, f.quarter_price AS p1, f.quarter_end_date AS
   LEFT JOIN quarters f ON f.ticker = st.ticker AND f.quarter_end_date = last_day(st.quarter_end_date + INTERVAL 3 MONTH) LEFT JOIN quarters g ON g.ticker = st.ticker AND g.quarter_end_date = last_day(st.quarter_end_date + INTERVAL 6 MONTH)),
 seq AS (SELECT *, sum(f1) OVER w AS s1, sum(f3) OVER w AS s3, count(*) OVER w AS length, arg_min(f1, quarter_end_date) OVER w AS oldest FROM j WINDOW w AS (PARTITION BY ticker ORDER BY quarter_end_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
 """
-_JOINED = _JOINED.replace("WITH panel AS", "WITH panel AS", 1)
 
 
 def _joined(spark, sf) -> DataFrame:
@@ -642,7 +641,3 @@ def sweep_index(spark, sf):
     order = Window.orderBy("risk_penalty", "concentration_penalty", "run_id")
     used = portfolio.sweep_index(S.weights(spark, sf))
     return used.select(F.row_number().over(order).alias("place"), "run_id", "risk_penalty", "concentration_penalty")
-
-
-def one_over(keys: list[str]) -> Column:
-    return 1 / F.count("*").over(Window.partitionBy(*keys))
