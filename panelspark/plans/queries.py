@@ -439,9 +439,9 @@ _RUN_NUMBERS = [*[f"mean_{c}" for c in _SAMPLE_NUMBERS], "mean_ticker_count"]
 
 @query(_SUM + f"SELECT run_id, model_family, sample_count, {r(*_RUN_NUMBERS, digits=5)}, round(ln(cumulative_growth), 6) AS log_growth, round(ln(benchmark_cumulative_growth), 6) AS log_benchmark FROM run_sum")
 def run_summary(spark, sf):
-    out = rounded(_summary(spark, sf).select("run_id", "model_family", "sample_count", *_RUN_NUMBERS), 5)
-    rest = _summary(spark, sf).select("run_id", F.round(F.log("cumulative_growth"), 6).alias("log_growth"), F.round(F.log("benchmark_cumulative_growth"), 6).alias("log_benchmark"))
-    return out.join(rest, "run_id")
+    numbers = [F.round(c, 5).alias(c) for c in _RUN_NUMBERS]
+    logs = [F.round(F.log(c), 6).alias(n) for c, n in (("cumulative_growth", "log_growth"), ("benchmark_cumulative_growth", "log_benchmark"))]
+    return _summary(spark, sf).select("run_id", "model_family", "sample_count", *numbers, *logs)
 
 
 @query(_VAL + "SELECT run_id, row_number() OVER (ORDER BY mean_growth_alpha DESC, run_id)::INT AS strategy_rank FROM run_sum QUALIFY strategy_rank <= 3")
