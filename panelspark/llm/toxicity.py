@@ -19,6 +19,7 @@ labels); repeated rows give repeated results; a null language has the common thr
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,11 +31,11 @@ from panelspark.llm.common import table
 from panelspark.llm.labelled import held_out, sample
 from panelspark.llm.text import ALNUM, U64, Words, words
 
-MAX_DOCS, MAX_BYTES = 6000, 24_000_000
+MAX_DOCS, MAX_BYTES = 5000, 16_000_000
 BUCKETS = 15
 DIM, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
 STEMS = (4, 5, 6)
-EPOCHS, BATCH = 5, 16
+EPOCHS, BATCH, BATCH_WORDS = 5, 16, 20_000
 FEW = 40
 
 
@@ -96,6 +97,19 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(ids, first).astype(float) + self.offset, -30, 30)))
 
 
+def batches(docs: list[np.ndarray], order: Iterable[int]) -> Iterator[list[int]]:
+    """Places of documents, at most BATCH of them and BATCH_WORDS words together; a longer one stands alone."""
+    held, n = [], 0
+    for i in order:
+        if held and (len(held) == BATCH or n + len(docs[i]) > BATCH_WORDS):
+            yield held
+            held, n = [], 0
+        held.append(i)
+        n += len(docs[i])
+    if held:
+        yield held
+
+
 def _train(docs: list[np.ndarray], y: np.ndarray, epochs: int, seed: int) -> Net:
     rng = np.random.Generator(np.random.PCG64(seed))
     net = Net.new(rng)
@@ -105,10 +119,7 @@ def _train(docs: list[np.ndarray], y: np.ndarray, epochs: int, seed: int) -> Net
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
         rate = 0.08 * (1 - epoch / epochs) + 0.01
-        for b in range(0, len(order), BATCH):
-            pick = [i for i in order[b : b + BATCH].tolist() if len(docs[i])]
-            if not pick:
-                continue
+        for pick in batches(docs, (i for i in order.tolist() if len(docs[i]))):
             ids = np.concatenate([docs[i] for i in pick])
             size = np.array([len(docs[i]) for i in pick])
             first = np.concatenate(([0], np.cumsum(size)))
@@ -152,8 +163,8 @@ def _train(docs: list[np.ndarray], y: np.ndarray, epochs: int, seed: int) -> Net
 def _scores(net: Net, docs: list[np.ndarray]) -> np.ndarray:
     """The scores of some documents, a few at a time."""
     out = []
-    for a in range(0, len(docs), BATCH):
-        part = docs[a : a + BATCH]
+    for pick in batches(docs, range(len(docs))):
+        part = [docs[i] for i in pick]
         out.append(net.scores(np.concatenate(part), np.concatenate(([0], np.cumsum([len(d) for d in part])))))
     return np.concatenate(out) if out else np.zeros(0)
 
@@ -196,7 +207,7 @@ def fit(rows: list[tuple[str | None, str | None, int]], epochs: int = EPOCHS, se
     for lang in sorted(set(langs) - {""}):
         own = langs == lang
         if own.sum() >= FEW and y[cal][own].sum() >= 5:
-            net.by_lang[lang] = float(np.clip(best_threshold(score[own], y[cal][own]), 0.2, 0.8))
+            net.by_lang[str(lang)] = float(np.clip(best_threshold(score[own], y[cal][own]), 0.2, 0.8))
     return net
 
 
