@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import table
-from panelspark.llm.text import ALNUM, U64, Words, mix, ramp, words
+from panelspark.llm.text import ALNUM, U64, Words, ramp, words
 
 WIDTH = 13
 LANE = 64

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import table
 from panelspark.llm.labelled import held_out, sample
-from panelspark.llm.text import NOT_SPACE, U64, Words, mix, words
+from panelspark.llm.text import NOT_SPACE, U64, Words, mix, pieces
 
 MAX_DOCS, POOL, MAX_BYTES = 6000, 3000, 25_000_000
 ROUNDS, EXCHANGE, SURE = 4, 0.05, 0.95
@@ -207,8 +207,6 @@ def _content(texts: list[str | None]) -> np.ndarray:
 
 
 def with_raw(col: pa.Array):
-    from panelspark.llm.text import pieces
-
     for row, raw, bounds in pieces(col):
         yield row, Words(raw, bounds, NOT_SPACE), raw
 
