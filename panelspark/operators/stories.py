@@ -51,9 +51,9 @@ def aggregate_stories(stories: DataFrame, period: str = "time_range", key: str =
 def topic_relevance(stories: DataFrame, period: str = "time_range", key: str = "ticker", topics_json: str = "topics_json") -> DataFrame:
     """Long form (key, period, topic, relevance): the mean over all stories of the period, 0 for stories without the topic; the last of a story's repeated topics counts."""
     total = stories.groupBy(key, period).agg(F.count("*").alias("stories"))
-    listed = topics(topics_json)
-    last = F.map_from_entries(F.transform(F.array_distinct(F.transform(listed, lambda t: t["topic"])), lambda name: F.struct(name, F.element_at(F.filter(listed, lambda t: t["topic"] == name), -1)["score"])))
-    each = stories.select(key, period, F.explode(last).alias("topic", "score"))
+    listed = stories.select(key, period, topics(topics_json).alias("_l"))  # a column of its own: parsed once
+    last = F.filter("_l", lambda t, i: ~F.exists(F.slice("_l", i + 2, F.size("_l")), lambda u: u["topic"] == t["topic"]))
+    each = listed.select(key, period, F.explode(last).alias("t")).select(key, period, "t.topic", "t.score")
     return each.groupBy(key, period, "topic").agg(F.sum("score").alias("total")).join(total, [key, period]).select(key, period, "topic", (F.col("total") / F.col("stories")).alias("relevance"))
 
 
