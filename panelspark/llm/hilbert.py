@@ -12,7 +12,8 @@ of doc_id), the counts are summed cell by cell and then bucket by bucket, and ea
 (cell, bucket) numbers its own rows. The grid has a fixed number of cells; the number
 of buckets grows with the rows, so a cell that holds a third of all rows is spread over
 as many tasks as it needs. ``law="rows"`` cuts by number of rows: shard sizes differ by
-one row at most. Only row keys are shuffled, never texts.
+one row at most. Only row keys and the distinct languages and sources are shuffled,
+never texts.
 
 Edge cases: a null text has no bytes and the checksum of no bytes; null doc_ids count
 as the smallest; equal rows take neighbouring places in any order; no rows, no result;
@@ -21,6 +22,11 @@ with fewer rows than shards, some shards are empty.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from functools import reduce
+from itertools import accumulate
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,7 +37,6 @@ from panelspark.llm.common import cut, table
 SHARDS = 24
 BITS = 4
 ROWS_A_BUCKET = 50_000
-MOST_VALUES = 1024
 
 
 def curve_index(x: np.ndarray, bits: int) -> np.ndarray:
@@ -71,20 +76,23 @@ def curve_column(bits: int, *dims: Column) -> Column:
 
 
 def ranks(df: DataFrame, column: str, bits: int) -> Column:
-    """The rank of a column's value among its values, scaled to ``bits`` bits.
+    """The rank of a column's value among its distinct values, scaled to ``bits`` bits; null has the last cell.
 
-    Up to MOST_VALUES values are ranked exactly, by a table of them; more are placed by their first four code points.
+    One rule for any number of values: they are sorted over ranges and numbered, and of them only those come to the
+    driver at which a new cell begins, at most ``2 ** bits - 1``. A value's cell is the number of these up to it.
     """
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_VALUES + 1).collect()]
     cells = 1 << bits
-    if len(values) > MOST_VALUES:
-        start = F.rpad(F.substring(F.hex(F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")), 1, 8), 8, "0")
-        return F.when(F.col(column).isNull(), cells - 1).otherwise((F.conv(start, 16, 10).cast("double") / 2**32 * cells).cast("int"))
-    if not values:
-        return F.lit(cells - 1)
-    values.sort()
-    where = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(values) for x in (v, k * cells // (len(values) + 1))]), F.col(column))
-    return F.coalesce(where, F.lit(cells - 1))
+    value = F.col(column).cast("binary")  # the order of code points, whatever the column's collation
+    values = df.select(value.alias("v")).where(F.col("v").isNotNull()).distinct().repartitionByRange("v").sortWithinPartitions("v")
+    values = cut(values.select("v", F.monotonically_increasing_id().alias("at")))  # partition * 2 ** 33 + place in it
+    parts = sorted(values.groupBy(F.shiftright("at", 33)).count().collect())
+    starts = [0, *accumulate(k for _, k in parts)]
+    firsts = [-(-c * (starts[-1] + 1) // cells) for c in range(1, cells)]  # the rank at which cell c begins
+    found = [(k, bisect_right(starts, k) - 1) for k in firsts if k < starts[-1]]
+    at = [(parts[i][0] << 33) + k - starts[i] for k, i in found]
+    borders = {r.at: r.v for r in values.where(F.col("at").isin(at)).collect()} if at else {}
+    cell = reduce(add, [(value >= F.lit(borders[x])).cast("int") for x in at], F.lit(0))
+    return F.when(F.col(column).isNull(), cells - 1).otherwise(cell)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", bits: int = BITS) -> DataFrame:

@@ -92,6 +92,14 @@ def test_shards(spark, monkeypatch, bucket):
     assert sorted(x.shard for x in hilbert.shard(df.limit(3), 24).collect()) == [0, 8, 16]
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 40, 1500])
+def test_shard_ranks(spark, n):
+    names = sorted([f"https://www.site{k * 7919 % 100003}.org/é" for k in range(n)], key=str.encode)
+    df = spark.createDataFrame([(v,) for v in [*names, *names[:50], None]], "source string").repartition(3)
+    got = {(r.source, r.cell) for r in df.select("source", hilbert.ranks(df, "source", 4).alias("cell")).collect()}
+    assert got == {(v, k * 16 // (n + 1)) for k, v in enumerate(names)} | {(None, 15)}
+
+
 def test_shard_files(spark, tmp_path):
     r = rng(5)
     df = docs(spark, [sentence(r, 5) for _ in range(50)])
