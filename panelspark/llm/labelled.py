@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LEAST_DOCS = 400
+
 
 def held_out(doc_id: str | Column) -> Column:
     """True for the fifth of the ids that nothing is learned from."""
@@ -14,13 +18,22 @@ def held_out(doc_id: str | Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], max_docs: int, max_bytes: int, doc_id: str = "doc_id", text: str = "text", seed: int = 7) -> list:
     """At most max_docs labelled rows of at most max_bytes of text together, by a seeded order of doc_id, without held-out ids.
 
-    Both bounds are parameters, so what comes to the driver doesn't grow with the input. Texts come whole. Null labels
-    and ids are left out; of several labels for a doc_id the largest counts; of several rows for it, one is taken.
+    Both bounds are parameters, so what comes to the driver doesn't grow with the input. Texts come whole. Those of over
+    1 / LEAST_DOCS of max_bytes are taken after all others, the shortest first, as far as both bounds leave room: a long
+    text never keeps another one out. Null labels and ids are left out, and so are labels without a row in docs; of
+    several labels for a doc_id the largest counts; of several rows for it, one of the shortest is taken.
+
+    The choice is made on ids and sizes; only the texts chosen are shuffled.
     """
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("_b")
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id"))
-    picked = known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_docs)
-    rows = docs.select(F.col(doc_id).alias("_id"), *[F.col(c) for c in dict.fromkeys([text, *columns])]).join(F.broadcast(picked), "_id")
-    rows = rows.withColumn("_o", F.xxhash64("_id", F.lit(seed)))
-    so_far = F.sum(F.coalesce(F.octet_length(text), F.lit(0))).over(Window.orderBy("_o", "_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(text))).where("_n = 1").withColumn("_s", so_far)
-    return rows.where(F.col("_s") <= max_bytes).orderBy("_o", "_id").drop("_n", "_s", "_o").collect()
+    known = known.groupBy("_id").agg(F.max("_y").alias("_y"), F.first(F.xxhash64("_id", F.lit(seed))).alias("_o"))
+    sizes = docs.select(F.col(doc_id).alias("_id"), size).groupBy("_id").agg(F.min("_b").alias("_b"))
+    picked = known.join(sizes, "_id").orderBy(F.greatest("_b", F.lit(max_bytes // LEAST_DOCS)), "_o", "_id").limit(max_docs)
+    first = picked.collect()
+    chosen = sorted((r for r, n in zip(first, accumulate(r["_b"] for r in first), strict=True) if n <= max_bytes), key=lambda r: (r["_o"], r["_id"]))
+    place = {r["_id"]: k for k, r in enumerate(chosen)}
+    wanted = docs.sparkSession.createDataFrame(chosen, picked.schema).drop("_o")
+    rows = docs.select(F.col(doc_id).alias("_id"), size, *[F.col(c) for c in dict.fromkeys([text, *columns])]).join(F.broadcast(wanted), ["_id", "_b"])
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(text))).where("_n = 1").drop("_n", "_b")
+    return sorted(rows.collect(), key=lambda r: place[r["_id"]])

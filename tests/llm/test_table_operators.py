@@ -10,6 +10,7 @@ from helpers import docs, odd_texts, rng, sentence, words
 from pyspark.sql import functions as F
 
 from panelspark.llm import hilbert, mixing, multi_index, quality, toxicity
+from panelspark.llm.labelled import held_out, sample
 
 SPACE_RE = r"[^\x20\x09-\x0D]+"
 
@@ -189,6 +190,22 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_long_texts_keep_no_other_out(spark):
+    df, labels = labelled(spark, 300)
+    order = [r.id for r in spark.range(300).where(~held_out("id")).orderBy(F.xxhash64("id", F.lit(7))).collect()]
+    long = F.when(F.col("doc_id") == order[0], F.repeat(F.lit("a "), 100_000)).when(F.col("doc_id") == order[1], F.repeat(F.lit("b "), 20_000))
+    df = df.withColumn("text", F.coalesce(long, "text"))
+    known = labels.unionByName(labels.select((F.col("doc_id") + 1000).alias("doc_id"), "toxic", "quality"))
+    pick = lambda docs, n, size: [r["_id"] for r in sample(docs, known, "toxic", ["lang"], n, size)]
+    assert pick(df, 1000, 150_000) == order[1:]
+    assert pick(df, 1000, 60_000) == order[2:]
+    assert pick(df, 100, 150_000) == order[2:102]
+    assert pick(df.union(df), 1000, 1_000_000) == order
+    assert pick(df.where(F.col("doc_id").isin(order[:2])), 1000, 50_000) == order[1:2]
+    assert toxicity.toxicity_model(df, labels, max_bytes=150_000).constant is None
+    assert quality.quality_model(df, labels, max_bytes=150_000).join is not None
+
+
 def test_threshold():
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1.0, 1, 0, 0])) == 0.5
     assert toxicity.best_threshold(np.array([0.5, 0.5]), np.array([0.0, 0])) == 0.5
