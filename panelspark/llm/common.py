@@ -1,10 +1,13 @@
-"""What several operators share: tables, the shared folder, size checks."""
+"""What several operators share: tables, the shared folder, gapless ranks."""
 
 from __future__ import annotations
 
+import re
 import uuid
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), a local one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one is set under a local master (tests); on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="spark-")
@@ -32,3 +37,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Removes a folder that ``fresh_dir`` named."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes not to clash with a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str, *by: str | Column) -> DataFrame:
+    """df with a column of gapless ranks from 0 in the order ``by``: rows are sorted over ranges, and a row for each range comes to the driver."""
+    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()))
+    parts = sorted(placed.groupBy(F.shiftright(name, 33).alias("p")).count().collect())
+    starts = accumulate((k for _, k in parts), initial=0)
+    first = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(parts, starts)], "_p long, _s long")
+    own = F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_p", F.shiftright(name, 33)).join(F.broadcast(first), "_p").withColumn(name, own + F.col("_s")).drop("_p", "_s")
