@@ -11,11 +11,13 @@ not none, is one window. The windows are the patterns, words the alphabet:
   compared byte by byte before it counts.
 
 Texts are scanned as many lanes of ``LANE`` words side by side, so each step is a
-few numpy calls over all lanes. The benchmark's windows are broadcast in blocks of
-at most ``BLOCK_WORDS`` item words, read through an iterator; each further block
-is another map over the same rows. There is no shuffle.
+few numpy calls over all lanes. The benchmark's windows are built into blocks of at
+most ``BLOCK_WINDOWS`` windows by tasks, and written to the shared folder. A worker
+holds one block at a time: with several blocks it takes a batch of texts through each
+in turn. So neither the driver nor a worker ever holds the whole benchmark, whatever
+its size, and time grows with texts times blocks. There is no shuffle.
 
-Edge cases: null or empty texts have no words and no hits; null or wordless items
+Item ids may be of any type; they are carried as text. Edge cases: null or empty texts have no words and no hits; null or wordless items
 have no windows; items with equal ids count once; null item ids are left out;
 repeated rows give repeated results; an empty benchmark gives no hits.
 """
@@ -23,19 +25,22 @@ repeated rows give repeated results; an empty benchmark gives no hits.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import table
+from panelspark.llm.common import fresh_dir, table
 from panelspark.llm.text import ALNUM, U64, Words, ramp, words
 
 WIDTH = 13
 LANE = 64
-BLOCK_WORDS = 2_000_000
+BLOCK_WINDOWS = 250_000
 
 
 class Automaton:
@@ -94,96 +99,117 @@ class Automaton:
 
 
 class Block:
-    """The automata of some items, by pattern length. items[i]: the ids with pattern i."""
+    """The automata of some windows, by pattern length, each with the item ids of its patterns."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
-        by_len: dict[int, dict[bytes, tuple[np.ndarray, set[int]]]] = {}
-        for item, text in items:
-            for _, w in words(pa.array([text]), ALNUM):
-                n = len(w.value)
-                m = min(width, n)
-                for i in range(n - m + 1 if m else 0):
-                    by_len.setdefault(m, {}).setdefault(w.text(i, i + m), (w.value[i : i + m], set()))[1].add(item)
-        self.automata = [(Automaton(np.array([v for v, _ in p.values()], U64), list(p)), [sorted(s) for _, s in p.values()]) for _, p in sorted(by_len.items())]
+    def __init__(self, windows: dict[int, dict[bytes, tuple[np.ndarray, set[str]]]]):
+        self.automata = [(Automaton(np.array([v for v, _ in p.values()], U64), list(p)), [sorted(s) for _, s in p.values()]) for _, p in sorted(windows.items())]
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size, through an iterator: never the whole benchmark at once."""
-    held, size = [], 0
-    for r in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").toLocalIterator(prefetchPartitions=False):
-        n = len(r.t) // 2 + 1  # at most so many words
-        if held and size + n > block_words:
-            yield held
-            held, size = [], 0
-        held.append((r.i, r.t))
-        size += n
-    yield held
+def write_blocks(benchmark: DataFrame, item_id: str, text: str, width: int, block_windows: int) -> tuple[str, list[str]]:
+    """Builds the blocks in tasks and writes each to a file of the shared folder: the folder and the files' names.
 
+    A block has at most ``block_windows`` windows; a long item is spread over several. Only names come to the driver.
+    A task that runs again writes files of other names, so nothing is ever overwritten.
+    """
+    folder = fresh_dir(benchmark.sparkSession, "benchmark-blocks")
 
-_SPANS = "struct<n_words:long,at:array<int>,len:array<int>,items:array<long>>"
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: dict[int, dict[bytes, tuple[np.ndarray, set[str]]]] = {}
+        held = 0
 
+        def close() -> pa.RecordBatch:
+            fs, to = pafs.FileSystem.from_uri(folder)
+            fs.create_dir(to, recursive=True)
+            name = f"{uuid.uuid4().hex}.block"
+            with fs.open_output_stream(f"{to}/{name}") as out:
+                out.write(pickle.dumps(Block(windows)))
+            windows.clear()
+            return pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
-def _search(block) -> Column:
-    @F.arrow_udf(_SPANS)
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for row, w in words(batch.column(1), ALNUM):
+                for k in range(len(w.first) - 1):
+                    begin, n = int(w.first[k]), int(w.first[k + 1] - w.first[k])
+                    m = min(width, n)
+                    for i in range(begin, begin + n - m + 1 if m else begin):
+                        known = windows.setdefault(m, {})
+                        key = w.text(i, i + m)
+                        held += key not in known
+                        known.setdefault(key, (w.value[i : i + m].copy(), set()))[1].add(ids[row + k])
+                        if held >= block_windows:
+                            yield close()
+                            held = 0
+        if windows:
+            yield close()
+
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    return folder, sorted(r.name for r in items.mapInArrow(build, "name string").collect())
+
+
+_open: dict[str, Block] = {}
+
+
+def _block(folder: str, name: str) -> Block:
+    """A block from its file. A worker holds one block at a time, and reads it again only if there are several."""
+    key = f"{folder}/{name}"
+    if key not in _open:
+        _open.clear()
+        fs, where = pafs.FileSystem.from_uri(folder)
+        with fs.open_input_file(f"{where}/{name}") as f:
+            _open[key] = pickle.loads(f.read())
+    return _open[key]
+
+
+_FOUND = "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,item_ids:array<string>,span_start:array<int>,span_end:array<int>>"
+
+
+def _search(folder: str, names: list[str]):
+    @F.arrow_udf(_FOUND)
     def search(col: pa.Array) -> pa.Array:
-        """For each text: its words; begins and lengths of hit runs of words; the items found."""
-        n_words, at, length, items = [], [], [], []
-        for _, w in words(col, ALNUM):
-            n = len(w.first) - 1
-            got: dict[int, set[int]] = {}
-            delta = np.zeros(len(w.value) + 1, np.int32)
-            for auto, ids in block.value.automata:
-                cand, where = auto.find(w)
-                np.add.at(delta, where, 1)
-                np.add.at(delta, where + auto.m, -1)
-                for row, p in zip((np.searchsorted(w.first, where, "right") - 1).tolist(), cand.tolist(), strict=True):
-                    got.setdefault(row, set()).update(ids[p])
-            hit = np.cumsum(delta)[:-1] > 0
-            n_words.append(np.diff(w.first))
-            for row in range(n):
-                if row not in got:
-                    at.append(None), length.append(None), items.append(None)
-                    continue
-                edge = np.diff(np.concatenate(([0], hit[w.first[row] : w.first[row + 1]].view(np.int8), [0])))
-                begin = np.flatnonzero(edge == 1)
-                at.append(begin)
-                length.append(np.flatnonzero(edge == -1) - begin)
-                items.append(sorted(got[row]))
-        return pa.StructArray.from_arrays(
-            [pa.array(np.concatenate(n_words or [np.zeros(0, np.int64)]), pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(length, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
-            names=["n_words", "at", "len", "items"],
-        )
+        """For each text: its words, the runs of hit words over all blocks, the items found."""
+        n_words = np.zeros(len(col), np.int64)
+        found: dict[int, set[str]] = {}
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for name in names or [None]:
+            automata = _block(folder, name).automata if name else ()
+            for row, w in words(col, ALNUM):
+                n_words[row : row + len(w.first) - 1] = np.diff(w.first)
+                delta, rows = np.zeros(len(w.value) + 1, np.int32), set()
+                for auto, ids in automata:
+                    cand, where = auto.find(w)
+                    np.add.at(delta, where, 1)
+                    np.add.at(delta, where + auto.m, -1)
+                    for r, p in zip((np.searchsorted(w.first, where, "right") - 1).tolist(), cand.tolist(), strict=True):
+                        rows.add(r)
+                        found.setdefault(row + r, set()).update(ids[p])
+                hit = np.cumsum(delta)[:-1] > 0
+                for r in rows:
+                    edge = np.diff(np.concatenate(([0], hit[w.first[r] : w.first[r + 1]].view(np.int8), [0])))
+                    runs.setdefault(row + r, []).extend(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+        out = []
+        for k, n in enumerate(n_words.tolist()):
+            spans: list[list[int]] = []
+            for a, b in sorted(runs.get(k, ())):
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], b)
+                else:
+                    spans.append([a, b])
+            ids = sorted(found.get(k, ()))
+            out.append((n, sum(b - a for a, b in spans), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), ids, [a for a, _ in spans], [b for _, b in spans]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        names_ = ["n_words", "n_hit", "n_items", "items_sha256", "item_ids", "span_start", "span_end"]
+        columns = zip(*out, strict=True) if out else [()] * len(kinds)
+        return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names_)
 
     return search
 
 
-_DIGEST = "struct<n_hit:long,n_items:long,items_sha256:string,item_ids:array<long>,span_start:array<int>,span_end:array<int>>"
-
-
-def _digest(found: pa.Array) -> pa.Array:
-    """found: one list for each text, with what each block found. Joins the runs of hit words and the items."""
-    out = []
-    for parts in found.to_pylist():
-        runs = sorted((a, a + n) for p in parts for a, n in zip(p["at"] or (), p["len"] or (), strict=True))
-        joined: list[list[int]] = []
-        for a, b in runs:
-            if joined and a <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], b)
-            else:
-                joined.append([a, b])
-        ids = sorted({i for p in parts for i in p["items"] or ()}, key=str)
-        out.append({"n_hit": sum(b - a for a, b in joined), "n_items": len(ids), "items_sha256": hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), "item_ids": ids, "span_start": [a for a, _ in joined], "span_end": [b for _, b in joined]})
-    kind = pa.struct([("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("item_ids", pa.list_(pa.int64())), ("span_start", pa.list_(pa.int32())), ("span_end", pa.list_(pa.int32()))])
-    return pa.array(out, kind)
-
-
-def contamination(spark: SparkSession, text: Column, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> Column:
-    """A struct column for a text column: n_words, n_hit, n_items, items_sha256, item_ids, span_start and span_end (runs of hit words), contaminated."""
-    parts = [_search(spark.sparkContext.broadcast(Block(b, width)))(text) for b in blocks(benchmark, item_id, item_text, block_words)]
-    found = F.arrow_udf(_digest, _DIGEST)(F.array(*parts))
-    n_words = parts[0]["n_words"]
-    fields = ["n_hit", "n_items", "items_sha256", "item_ids", "span_start", "span_end"]
-    return F.struct(n_words.alias("n_words"), *[found[f].alias(f) for f in fields], ((found["n_hit"] > 0) & (20 * found["n_hit"] >= n_words)).alias("contaminated"))
+def contamination(spark: SparkSession, text: Column, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> Column:
+    """A struct column for a text column: n_words, n_hit, n_items, items_sha256, item_ids (as text), span_start and span_end (runs of hit words), contaminated."""
+    found = _search(*write_blocks(benchmark, item_id, item_text, width, block_windows))(text)
+    fields = ["n_words", "n_hit", "n_items", "items_sha256", "item_ids", "span_start", "span_end"]
+    return F.struct(*[found[f].alias(f) for f in fields], ((found["n_hit"] > 0) & (20 * found["n_hit"] >= found["n_words"])).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:

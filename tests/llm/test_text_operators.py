@@ -57,14 +57,14 @@ def brute_contamination(text, items, width=13):
     return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 8])
-def test_contamination(spark, block_words):
+@pytest.mark.parametrize("block_windows", [250_000, 8])
+def test_contamination(spark, block_windows):
     r = rng(2)
     items = [(10, sentence(r, 20, 5)), (9, sentence(r, 15, 5)), (2, "w1 w2"), (3, ""), (4, None), (5, sentence(r, 14)), (11, sentence(r, 13, 3))]
     texts = [sentence(r, 120, 5) for _ in range(15)] + [sentence(r, 30) + " " + items[5][1].upper() + ", tail", sentence(r, 3000, 4), *odd_texts()]
     df = docs(spark, texts)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    c = decontaminate.contamination(spark, df["text"], bench, block_words=block_words)
+    c = decontaminate.contamination(spark, df["text"], bench, block_windows=block_windows)
     got = {x.doc_id: tuple(x.r[k] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for x in df.select("doc_id", c.alias("r")).collect()}
     assert got == {k: brute_contamination(t, items) for k, t in enumerate(texts)}
     kept = decontaminate.decontaminate(df, bench)
