@@ -4,92 +4,106 @@ Sources in code point order (null last) weigh WEIGHTS over and over. Together th
 to give SHARE of all words; a source gives at most twice its own, and what that cuts
 off is shared again by weight among the others until none is above.
 
-A source's target is met to the word wherever its lengths allow:
+A source's target is met from below as nearly as its lengths allow:
 
 1. whole repeats: as often as the source fits into its target, every document is taken;
 2. the rest is a subset sum over lengths. Documents are counted by exact length. Each
    length first gives its proportional share, then, from long to short, what still
-   fits; the last ``CAPACITY`` words or less, with a few documents put back to give it
-   room, are filled by bounded-knapsack dynamic programming over the counts left;
+   fits. Then documents are put back, the shortest first, until at least ``SWAPS`` are
+   and there is room for ``CAPACITY`` words and for twice the longest document (or until
+   none is left: then the result is the best there is), and bounded-knapsack dynamic
+   programming over the counts left fills that room. It runs for lengths of any size:
+   where the room is over ``CELLS`` words, it counts in units of as many words as make
+   it fit, lengths rounded up, so it never goes over;
 3. of each length, the documents with the smallest seeded hashes are taken.
 
 Counts by (source, length, hash bucket) are pre-aggregated. A hot source or length is
 spread over buckets, whose number grows with the rows; a bucket's quota follows from
-the counts, and each numbers its own rows.
+the counts, and each numbers its own rows. Sources are ranked and their targets found
+in a table, so their number has no bound; a task plans one source from its distinct
+lengths.
 
 Edge cases: a null or empty text has size 0 and is taken at no cost; a source of no
 words has target 0; repeated rows are documents of their own; no rows, no result.
-Only a row for each source (its total) comes to the driver. Reruns agree, as all order comes from doc_id.
+Reruns agree, as all order comes from doc_id and text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut, table
+from panelspark.llm.common import cut, numbered, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 CAPACITY = 1 << 15
+CELLS = 1 << 23
+SWAPS = 16
 ROWS_A_BUCKET = 50_000
 SPACES = r"[^\x20\x09-\x0D]+"
 
 
-def targets(totals: Iterable[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
-    """source -> target words."""
-    rows = sorted(totals, key=lambda r: (r[0] is None, r[0] or ""))
-    weight = {s: float(weights[k % len(weights)]) for k, (s, _) in enumerate(rows)}
-    cap = {s: most * n for s, n in rows}
-    left, out, open_ = share * sum(n for _, n in rows), {}, [s for s, _ in rows]
-    while open_:
-        level = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if weight[s] * level > cap[s]]
-        if not full:
-            out |= {s: weight[s] * level for s in open_}
+def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """totals (key, total), null sources last by key -> (key, target).
+
+    The water level is raised until no further source is full; a round is one aggregate over the sources.
+    """
+    ranked = numbered(totals, "rank", "key")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("cap", most * F.col("total"))
+    ranked = cut(ranked)
+    top = ranked.agg((share * F.sum("total")).alias("words"), F.sum("weight").alias("weight")).head()
+    level, before = (top.words / top.weight if top.weight else 0.0), 0
+    while True:
+        full = F.col("weight") * level > F.col("cap")
+        r = ranked.agg(F.count_if(full).alias("n"), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)).alias("cap"), F.sum(F.when(~full, F.col("weight"))).alias("open")).head()
+        if r.n == before or not r.open:
             break
-        for s in full:
-            out[s] = cap[s]
-            left -= cap[s]
-        open_ = [s for s in open_ if s not in out]
-    return out
+        before, level = r.n, (top.words - r.cap) / r.open
+    share_of = F.col("weight") * level
+    return ranked.select("key", F.when(share_of > F.col("cap"), F.col("cap")).otherwise(share_of).alias("target"))
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take for the largest sum up to budget: dynamic programming over sums, counts split in powers of two."""
+    """How many of each length to take for the largest sum up to budget: dynamic programming over sums, counts split in powers of two.
+
+    ``step[s]`` is the part whose addition first reached the sum s, so one array leads back from the best sum.
+    """
     take = np.zeros(len(lengths), np.int64)
     if budget <= 0:
         return take
-    mask = (1 << (budget + 1)) - 1
-    reach, steps = 1, []
+    step = np.full(budget + 1, -1, np.int32)
+    reach = np.zeros(budget + 1, bool)
+    reach[0] = True
+    parts, top = [], 0
     for k, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
         if length <= 0:
             continue
         count, part = min(count, budget // length), 1
-        while count > 0:
+        while count > 0 and not reach[budget]:
             part = min(part, count)
-            new = (reach | (reach << (part * length))) & mask
-            if new != reach:
-                steps.append((k, part, reach))
-                reach = new
+            add = part * length
+            if add <= budget:
+                stop = min(budget, top + add)
+                fresh = np.flatnonzero(reach[: stop + 1 - add] & ~reach[add : stop + 1]) + add
+                if len(fresh):
+                    reach[fresh], step[fresh] = True, len(parts)
+                    parts.append((k, part))
+                    top = max(top, int(fresh[-1]))
             count -= part
             part *= 2
-        if reach >> budget & 1:
-            break
-    at = reach.bit_length() - 1
-    for k, part, before in reversed(steps):
-        if not before >> at & 1:
-            take[k] += part
-            at -= part * int(lengths[k])
+    at = top
+    while at:
+        k, part = parts[step[at]]
+        take[k] += part
+        at -= part * int(lengths[k])
     return take
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY) -> np.ndarray:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY, cells: int = CELLS) -> np.ndarray:
     """How many documents of each length to take, so that their words come nearest to budget from below."""
     order = np.argsort(-lengths, kind="stable")
     size, n = lengths[order].astype(np.int64), counts[order].astype(np.int64)
@@ -102,13 +116,14 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: i
             more = min(int(n[k] - take[k]), left // int(size[k]))
             take[k] += more
             left -= more * int(size[k])
-    for k in range(len(size) - 1, -1, -1):  # room for the dynamic programming, short documents first
-        if size[k] and left < capacity // 2:
-            back = min(int(take[k]), 16, max(0, (capacity - left) // int(size[k])))
+    room, put = max(capacity, 2 * int(size.max(initial=0))), 0
+    for k in range(len(size) - 1, -1, -1):
+        if size[k] and (left < room or put < SWAPS):
+            back = min(int(take[k]), max(SWAPS - put, -(-(room - left) // int(size[k]))))
             take[k] -= back
-            left += back * int(size[k])
-    if 0 < left <= capacity:
-        take += knapsack(size[::-1], (n - take)[::-1], left)[::-1]
+            left, put = left + back * int(size[k]), put + back
+    unit = max(1, -(-left // cells))
+    take += knapsack(-(-size[::-1] // unit), (n - take)[::-1], left // unit)[::-1]
     out = np.empty_like(take)
     out[order] = take
     return out
@@ -128,15 +143,13 @@ def _plan(capacity: int):
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken, source."""
-    spark = docs.sparkSession
-    key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)).cast("long").alias("size"))
+    """One row for each document: doc_id, size, source_size, target, taken, source, text_hash."""
+    key = F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), "source"))  # null last
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
     rows = cut(rows.withColumn("key", key).withColumn("hash", F.xxhash64("doc_id", F.lit(seed))))
-    totals = rows.groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("n")).collect()  # a row for each source
-    goal = targets([(None if r.key == "n" else r.key[1:], r.total) for r in totals], weights, share)
-    goals = spark.createDataFrame([("n" if s is None else "v" + s, t) for s, t in goal.items()], "key string, target double")
-    buckets = max(1, -(-sum(r.n for r in totals) // ROWS_A_BUCKET))
+    totals = cut(rows.groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("n")))
+    goals = targets(totals.select("key", "total"), weights, share)
+    buckets = max(1, -(-(totals.agg(F.sum("n")).head()[0] or 0) // ROWS_A_BUCKET))
 
     rows = rows.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
     counts = rows.groupBy("key", "size", "bucket").agg(F.count("*").alias("k"))
@@ -144,17 +157,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     before = F.coalesce(F.sum("k").over(Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quota = F.greatest(F.lit(0), F.least(F.col("k"), F.col("chosen") - F.col("before")))
     quotas = counts.withColumn("before", before).join(plan, ["key", "size"]).select("key", "size", "bucket", "rounds", quota.alias("quota"), "target", "source_size")
-    own = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("hash", "doc_id"))
+    own = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("hash", "doc_id", "text_hash"))
     taken = F.col("size") * (F.col("rounds") + (F.col("own") <= F.col("quota")).cast("long"))
-    return rows.withColumn("own", own).join(quotas, ["key", "size", "bucket"]).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
-
-
-def apply_mix(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """docs with each document as often as the mix takes it; all columns stay. doc_id must be unique; rows without it, and documents of no words, stay once."""
-    chosen = mix(docs, doc_id=doc_id, **how).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int").alias("_times"))
-    joined = docs.join(chosen.where("_id is not null"), docs[doc_id] == F.col("_id"), "left")
-    times = F.coalesce("_times", F.lit(1))
-    return joined.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+    return rows.withColumn("own", own).join(quotas, ["key", "size", "bucket"]).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "text_hash")
+
+
+def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs with each document as often as the mix takes it; all columns stay, whatever their names.
+
+    Rows without doc_id, and documents of no words, stay once. Rows that share doc_id and text are told apart by their
+    number only: together they come as often as the mix takes them together.
+    """
+    times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1)
+    chosen = mix(docs, doc_id=doc_id, text=text, **how).where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.sum(times).alias("times"), F.count("*").alias("n"))
+    chosen = cut(chosen)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.struct("*").alias("row"))
+    joined = rows.join(chosen, ["doc_id", "text_hash"], "left")
+    one = F.col("n").isNull() | (F.col("n") == 1)
+    single = joined.where(one).withColumn("times", F.coalesce("times", F.lit(1)))
+    again = chosen.where("n > 1")
+    if again.limit(1).count():
+        own = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("text_hash"))
+        several = rows.join(again, ["doc_id", "text_hash"]).withColumn("own", own)
+        single = single.unionByName(several.withColumn("times", F.expr("times div n") + (F.col("own") <= F.expr("times % n")).cast("long")).drop("own"))
+    return single.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

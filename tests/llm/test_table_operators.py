@@ -15,11 +15,30 @@ from panelspark.llm.labelled import held_out, sample
 SPACE_RE = r"[^\x20\x09-\x0D]+"
 
 
-def test_targets():
-    got = mixing.targets([("b", 100), (None, 1000), ("a", 10), ("c", 0)])
-    assert got["a"] == 20 and got["c"] == 0 and got["b"] == 200
-    assert abs(sum(got.values()) - 1.5 * 1110) < 1e-9 and all(got[s] <= 2 * n for s, n in (("a", 10), ("b", 100), (None, 1000)))
-    assert mixing.targets([]) == {}
+def water_level(totals, weights=(5, 2, 1), share=1.5, most=2.0):
+    """source -> target, by raising the level source by source."""
+    rows = sorted(totals, key=lambda r: (r[0] is None, r[0] or ""))
+    weight = {s: weights[k % len(weights)] for k, (s, _) in enumerate(rows)}
+    cap, left = {s: most * n for s, n in rows}, share * sum(n for _, n in rows)
+    out, free = {}, [s for s, _ in rows]
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = [s for s in free if weight[s] * level > cap[s]]
+        if not full:
+            return out | {s: weight[s] * level for s in free}
+        out |= {s: cap[s] for s in full}
+        left -= sum(cap[s] for s in full)
+        free = [s for s in free if s not in out]
+    return out
+
+
+@pytest.mark.parametrize("totals", [[("b", 100), (None, 1000), ("a", 10), ("c", 0)], [(f"s{k * 37 % 101}", k * k) for k in range(101)], [("a", 0)], []])
+def test_targets(spark, totals):
+    table = spark.createDataFrame([("~" if s is None else "=" + s, n) for s, n in totals], "key string, total long").repartition(3)
+    got = {None if r.key == "~" else r.key[1:]: r.target for r in mixing.targets(table).collect()}
+    want = water_level(totals)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 * max(1, want[s]) for s in want)
+    assert abs(sum(got.values()) - 1.5 * sum(n for _, n in totals)) < 1e-6 and all(got[s] <= 2 * n for s, n in totals)
 
 
 def test_knapsack():
@@ -32,7 +51,21 @@ def test_knapsack():
         take = mixing.knapsack(size, n, budget)
         assert (take <= n).all() and int(take @ size) == best
         fit = mixing.fit_budget(size, n, min(budget, int(n @ size)))
-        assert (fit <= n).all() and (fit >= 0).all() and int(fit @ size) <= budget
+        assert (fit <= n).all() and (fit >= 0).all() and int(fit @ size) == min(best, int(n @ size))
+
+
+def test_budget_of_long_documents():
+    assert int(mixing.fit_budget(np.array([40_000, 50_000, 70_000]), np.ones(3, np.int64), 90_000) @ [40_000, 50_000, 70_000]) == 90_000
+    r = rng(12)
+    for _ in range(25):
+        size = np.array(sorted(r.sample(range(32_769, 400_000), 5)))
+        n = np.array([r.randrange(1, 3) for _ in size])
+        budget = r.randrange(40_000, int(n @ size))
+        best = max(s for c in itertools.product(*(range(k + 1) for k in n)) if (s := int(np.dot(c, size))) <= budget)
+        fit = mixing.fit_budget(size, n, budget)
+        assert (fit <= n).all() and best - 1 <= int(fit @ size) <= budget
+        coarse = mixing.fit_budget(size, n, budget, cells=20_000)  # in units of some words
+        assert (coarse <= n).all() and int(coarse @ size) <= budget
 
 
 def test_mix(spark):
@@ -45,19 +78,29 @@ def test_mix(spark):
     for x in got:
         assert x["size"] == len(words(texts[x.doc_id], SPACE_RE)) and x.taken in (0, x["size"], 2 * x["size"])
         by.setdefault(x.source, []).append(x)
-    goal = mixing.targets([(s, sum(x["size"] for x in v)) for s, v in by.items()])
+    goal = water_level([(s, sum(x["size"] for x in v)) for s, v in by.items()])
     for s, v in by.items():
         assert v[0].source_size == sum(x["size"] for x in v) and abs(v[0].target - goal[s]) < 1e-6
         assert abs(sum(x.taken for x in v) - goal[s]) <= 1
     again = {x.doc_id: x.taken for x in mixing.mix(df.repartition(5)).collect()}
     assert again == {x.doc_id: x.taken for x in got}
     assert mixing.mix(df.limit(0)).count() == 0
+    df = df.withColumn("_times", F.lit(3)).withColumn("row", F.lit(4)).withColumn("copy", F.lit(5)).withColumn("n", F.lit(5)).withColumn("text_hash", F.lit("x"))
     copies = mixing.apply_mix(df)
     assert copies.columns == df.columns
     times = {r_.doc_id: r_["count"] for r_ in copies.groupBy("doc_id").count().collect()}
     assert all(times.get(x.doc_id, 0) == (x.taken // x["size"] if x["size"] else 1) for x in got)
 
 
+def test_mix_of_repeated_rows(spark):
+    df = docs(spark, ["a b", "a b", "a b", "c d e", None, "f"] * 4, [1, 1, 1, 1, 2, None] * 4, ["s"] * 24)
+    got = mixing.mix(df).collect()
+    copies = mixing.apply_mix(df).collect()
+    want = sum(x.taken // x["size"] for x in got if x.doc_id == 1)
+    assert sum(x.doc_id == 1 for x in copies) == want and sum(x.doc_id != 1 for x in copies) == 8
+    assert mixing.apply_mix(df.limit(0)).count() == 0
+
+
 def test_mix_spread_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ROWS_A_BUCKET", 7)
     r = rng(3)
