@@ -16,12 +16,20 @@ what links connect.
    never meet in one task: they branch on, level by level, as rows; what doesn't
    fall apart is compared in pairs of blocks. Only a spanning forest of likely
    links leaves a task, not all pairs of a group.
-3. The components of likely links are families. Each family gathers once (in pairs
-   of blocks if large), and links are confirmed on the full sets there.
-
-A pair at the threshold misses all first-level nodes with a chance of
-(1 - similarity) ** 10, about 1e-7. Trees and sketches only pick candidates; a wrong
-candidate costs time, never a link.
+3. The components of likely links are families. A family is dealt into blocks of at
+   most ``BLOCK_ROWS`` rows, each with the family's first member as a pivot, and all
+   pairs of a block are confirmed on the full sets. Mostly the pivot joins the blocks.
+   Where a family still has several parts, the members outside its largest part meet
+   all others once more, block by block, so every pair of different parts is compared.
+   A text is read once, and again only for such pairs.
+
+Every step before the last only picks candidates; a wrong candidate costs time, and the
+confirmation passes no pair by. A pair at the threshold is missed if it shares no
+first-level node, a chance of (1 - similarity) ** 10, about 1e-7; if its sketches agree
+on under ``percent`` - SLACK of the bins, about 2e-6 at 64 bins; or if every node that
+has both is so large that it branches, and parts them: a visit to a node of over 2,900
+unlike sets finds about 80 % of such pairs, which leaves 4e-5 of pairs that share no
+smaller node. Links through other members join most of these all the same.
 
 Edge cases: null, empty and blank texts have an empty set and stay alone; texts of
 fewer words than a shingle count as one shingle; rows are linked by their texts, so
@@ -45,13 +53,13 @@ from panelspark.llm.text import NOT_SPACE, U64, Words, mix, words
 WIDTH, PERCENT = 4, 80
 TREES = 8
 BINS = 64
-#: A pair is likely if its sketches agree on so many of the bins in use: four deviations under the threshold.
-SLACK = 0.2
+#: A pair is likely if its sketches agree on so many of the bins in use: five deviations under the threshold.
+SLACK = 0.26
 NODE_ROWS = 40_000
 LEVELS = 6
 LEAF = 96
 #: Most vertices and shingles of a block when links are confirmed.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 
 _POLY = U64(0x9E3779B97F4A7C15 | 1)
 
@@ -175,7 +183,7 @@ def search_node(ids: np.ndarray, sk: np.ndarray, least: float, forest: Forest, n
     if len(kinds) == 1:
         return
     rest = np.flatnonzero(root != kinds[count.argmax()])
-    if n <= LEAF or len(rest) * n <= 1 << 20 or depth >= 12:
+    if n <= LEAF or len(rest) * n <= 1 << 23 or depth >= 12:
         for i in rest.tolist():  # all pairs, but for those within the largest part
             for j in np.flatnonzero((likeness(sk[i], sk) >= least) & (root != root[i])).tolist():
                 forest.join(int(ids[i]), int(ids[j]))
@@ -281,14 +289,15 @@ def linked(a: int, b: int, inter, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
 
-def confirm(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The part of each set after all links among them are confirmed on the full sets; parts are named by their first member."""
+def confirm(sets: list[np.ndarray], percent: int, part: np.ndarray | None = None) -> np.ndarray:
+    """The part of each set after all links among them are confirmed on the full sets; parts are named by their first member.
+
+    part: the parts known before; sets of one part aren't compared.
+    """
     n = len(sets)
-    part = np.arange(n)
+    part = np.arange(n) if part is None else part.copy()
     size = np.array([len(s) for s in sets])
-    sk = sketch(sets)
-    flat = np.concatenate(sets)
-    values, place = np.unique(flat, return_inverse=True)
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
     wide = -(-len(values) // 64)
     bits = None
     if n * wide <= 1 << 23:
@@ -296,99 +305,129 @@ def confirm(sets: list[np.ndarray], percent: int) -> np.ndarray:
         np.bitwise_or.at(bits, (np.repeat(np.arange(n), size), place >> 6), U64(1) << (place & 63).astype(U64))
     step = max(1, (1 << 20) // wide)
     for i in range(n - 1):
-        near = likeness(sk[i], sk[i + 1 :])
-        ok = (near >= percent / 100 - SLACK) & (part[i + 1 :] != part[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :]))
+        ok = (part[i + 1 :] != part[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :]))
         cand = i + 1 + np.flatnonzero(ok)
-        if bits is None:
-            for j in cand[np.argsort(-near[cand - i - 1], kind="stable")].tolist():
-                if part[i] != part[j]:
-                    at = np.searchsorted(sets[j], sets[i])
-                    inter = np.count_nonzero(sets[j][np.minimum(at, size[j] - 1)] == sets[i])
-                    if linked(size[i], size[j], inter, percent):
-                        part[part == max(part[i], part[j])] = min(part[i], part[j])
-            continue
         for k in range(0, len(cand), step):
             c = cand[k : k + step]
-            inter = np.bitwise_count(bits[c] & bits[i]).sum(1, dtype=np.int64)
+            if bits is None:
+                inter = np.array([_common(sets[i], sets[j]) if part[i] != part[j] else 0 for j in c.tolist()])
+            else:
+                inter = np.bitwise_count(bits[c] & bits[i]).sum(1, dtype=np.int64)
             for j in c[linked(size[i], size[c], inter, percent)].tolist():
                 if part[i] != part[j]:
                     part[part == max(part[i], part[j])] = min(part[i], part[j])
     return part
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    at = np.searchsorted(b, a)
+    return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
+
+
 def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """gid, id, hi, lo, text, sorted by gid -> (a, b): b is the first vertex of a's part within the group."""
-        group, ids, sets = None, [], []
+        """gid, id, hi, lo, part, text, sorted by gid and id -> (a, b): b is the first vertex of a's part within the group."""
+        group, ids, sets, parts = None, [], [], []
 
         def close() -> pa.RecordBatch:
-            part = confirm(sets, percent) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+            _, first, inverse = np.unique(np.array(parts), return_index=True, return_inverse=True)
+            part = confirm(sets, percent, first[inverse])
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[p] for p in part], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            gid, vid, hi, lo = (batch.column(k).to_numpy() for k in range(4))
-            for row, w in words(batch.column(4), NOT_SPACE):
+            gid, vid, hi, lo, known = (batch.column(k).to_numpy() for k in range(5))
+            for row, w in words(batch.column(5), NOT_SPACE):
                 for k, s in enumerate(shingles(w, width), row):
                     if not len(s) or np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D))) != hi[k].view(U64) or np.add.reduce(mix(s ^ U64(0x14057B7EF767814F))) != lo[k].view(U64):
                         continue  # another text under the same doc_id
                     if gid[k] != group:
                         if ids:
                             yield close()
-                        group, ids, sets = gid[k], [], []
+                        group, ids, sets, parts = gid[k], [], [], []
                     if not ids or vid[k] != ids[-1]:
-                        ids.append(int(vid[k]))
-                        sets.append(s)
+                        ids.append(int(vid[k])), sets.append(s), parts.append(int(known[k]))
         if ids:
             yield close()
 
     return run
 
 
+def _links(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """placed (gid, id, rep, hi, lo, part) -> confirmed links (a, b) within each group."""
+    read = docs.join(placed, docs["doc_id"] == placed["rep"]).select("gid", "id", "hi", "lo", "part", "text")
+    return read.repartition("gid").sortWithinPartitions("gid", "id").mapInArrow(_confirm(width, percent), "a long, b long")
+
+
+def _dealt(rows: Column, shingle_count: Column, block_rows: int, block_shingles: int) -> Column:
+    return F.greatest(F.ceil(rows / block_rows), F.ceil(shingle_count / block_shingles)).cast("int")
+
+
+def confirmed(docs: DataFrame, vertices: DataFrame, likely: DataFrame, width: int, percent: int, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The parts (id, root) that links confirmed on full sets make of the families of likely links."""
+    families = connected(likely).withColumnRenamed("root", "family")
+    members = vertices.select("id", "rep", "hi", "lo", "n").join(families, "id")
+    sizes = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    members = cut(members.join(sizes.select("family", _dealt(F.col("rows"), F.col("shingles"), block_rows, block_shingles).alias("blocks")), "family"))
+    columns = ["gid", "id", "rep", "hi", "lo", "part"]
+    gid = lambda *c: F.xxhash64(*c).alias("gid")
+    own = members.select(gid("family", F.pmod(F.xxhash64("id"), "blocks")), "id", "rep", "hi", "lo", F.col("id").alias("part"))
+    large = members.where("blocks > 1")
+    if not large.limit(1).count():
+        return cut(_links(docs, own, width, percent).select(F.col("a").alias("id"), F.col("b").alias("root")))
+    pivots = large.where("id = family").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pivots = pivots.select(gid("family", F.col("b").cast("long")), "id", "rep", "hi", "lo", F.col("id").alias("part"))
+    links = cut(_links(docs, own.unionByName(pivots.select(columns)), width, percent))
+    parts = cut(connected(links))
+
+    now = large.join(parts, "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
+    by_part = now.groupBy("family", "part").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    largest = by_part.groupBy("family").agg(F.max(F.struct("k", "part"))["part"].alias("main"), F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("s").alias("s"))
+    out = by_part.join(largest.where("parts > 1").select("family", "main"), "family").where("part <> main").groupBy("family").agg(F.sum("k").alias("out_k"), F.sum("s").alias("out_s"))
+    split = largest.where("parts > 1").join(out, "family").select("family", "main", _dealt(F.col("k"), F.col("s"), block_rows, block_shingles).alias("all_blocks"), _dealt(F.col("out_k"), F.col("out_s"), block_rows, block_shingles).alias("out_blocks"))
+    open_ = cut(now.join(split, "family"))
+    if not open_.limit(1).count():
+        return parts
+    block = lambda seed, blocks: F.pmod(F.xxhash64("id", F.lit(seed)), blocks).cast("int")
+    every = open_.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1))).withColumn("y", block(1, F.col("all_blocks")))
+    rest = open_.where("part <> main").withColumn("x", block(2, F.col("out_blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)))
+    placed = every.unionByName(rest).select(gid("family", "x", "y"), "id", "rep", "hi", "lo", "part")
+    return cut(connected(links.union(_links(docs, placed, width, percent))))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept."""
+    """One row for each document: doc_id, n_shingles, component_id, kept, text_hash."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = docs.select("doc_id", _describe(width, trees, percent)("text").alias("r")).select("doc_id", "r.*")
+    described = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _describe(width, trees, percent)("text").alias("r")).select("doc_id", "text_hash", "r.*")
     base = cut(described)
     alive = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     vertices = base.where(alive).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
     vertices = cut(vertices.withColumn("id", F.monotonically_increasing_id()))
-
-    families = connected(likely_links(vertices, percent, node_rows)).withColumnRenamed("root", "family")
-    members = vertices.select("id", "rep", "hi", "lo", "n").join(families, "id")
-    sizes = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    one = (F.col("rows") <= block_rows) & (F.col("shingles") <= block_shingles)
-    blocks = F.when(one, 1).otherwise(F.greatest(F.ceil(2 * F.col("rows") / block_rows), F.ceil(2 * F.col("shingles") / block_shingles))).cast("int").alias("blocks")
-    members = cut(members.join(sizes.select("family", blocks), "family"))
-    several = members.where("blocks > 1").limit(1).count() > 0
-    placed = block_pairs(members, "family", F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.col("blocks"))
-    read = docs.join(placed, docs["doc_id"] == placed["rep"]).select("gid", "id", "hi", "lo", "text")
-    links = read.repartition("gid").sortWithinPartitions("gid", "id").mapInArrow(_confirm(width, percent), "a long, b long")
-    parts = connected(links) if several else links.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    parts = cut(parts.where("id is not null"))
+    parts = confirmed(docs, vertices, likely_links(vertices, percent, node_rows), width, percent, block_rows, block_shingles)
 
     named = parts.join(vertices.select("id", "rep"), "id")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     named = named.join(least, "root").select("id", "least")
     ids = vertices.select("id", "hi", "lo", "rep").join(named, "id", "left").select("hi", "lo", F.coalesce("least", "rep").alias("least"), F.lit(True).alias("seen"))
-    out = base.select("doc_id", "n", "hi", "lo").join(ids, ["hi", "lo"], "left")
+    out = base.select("doc_id", "n", "hi", "lo", "text_hash").join(ids, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one document of each component; all columns stay. Of rows equal in doc_id and text one stays."""
-    found = cut(near_duplicates(docs, doc_id, text, **how).select(F.col("doc_id").alias(doc_id), "kept"))
-    gone = found.where("not kept").select(doc_id).distinct()
-    out = docs.join(gone, doc_id, "left_anti").select(docs.columns)
-    again = cut(found.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(doc_id))
+    """docs with one document of each component; all columns stay. Rows are known by doc_id and text: of rows equal in both one stays, and another text under a dropped row's id is judged by itself."""
+    found = cut(near_duplicates(docs, doc_id, text, **how).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "kept"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("_i"), F.xxhash64(text).alias("_h"), F.struct("*").alias("row"))
+    out = rows.join(found.where("not kept").select("_i", "_h").distinct(), ["_i", "_h"], "left_anti")
+    again = cut(found.where("kept and _i is not null").groupBy("_i", "_h").count().where("count > 1").select("_i", "_h"))
     if not again.count():
-        return out
-    once = out.join(again, doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id, text])
-    return out.join(again, doc_id, "left_anti").select(docs.columns).unionByName(once)
+        return out.select("row.*")
+    once = rows.join(again, ["_i", "_h"]).dropDuplicates(["_i", "_h"])
+    return out.join(again, ["_i", "_h"], "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE_SQL = rf"""

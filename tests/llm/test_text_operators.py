@@ -112,7 +112,7 @@ def near_copies(r, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"node_rows": 8, "block_rows": 10}, {"block_shingles": 400}])
+@pytest.mark.parametrize("how", [{}, {"node_rows": 8, "block_rows": 10}, {"block_shingles": 400}, {"block_rows": 3}])
 def test_near_duplicates(spark, how):
     r = rng(4)
     texts = [*odd_texts(), "a b c d e f g h", "A  b c\nd e f g H"]
@@ -135,6 +135,26 @@ def test_drop_near_duplicates(spark):
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_other_text_under_a_dropped_id(spark):
+    df = docs(spark, ["a b c d e", "a b c d e", "none of these words is in another text"], [1, 2, 2]).withColumn("row", F.lit(1))
+    assert sorted((x.doc_id, x.text) for x in near_dups.drop_near_duplicates(df).collect()) == [(1, "a b c d e"), (2, "none of these words is in another text")]
+
+
+def test_likely_links_of_a_large_node():
+    """Pairs at exactly 80 %: what one visit to a node of thousands of unlike sets finds, and what the sketches let pass."""
+    r = np.random.Generator(np.random.PCG64(8))
+    sets = []
+    for _ in range(1500):
+        both = r.integers(1, 2**64, 440, dtype=np.uint64)
+        sets += [np.sort(both[:400]), np.sort(np.concatenate((both[:360], both[400:])))]  # 360 of 440 values shared
+    sk = near_dups.sketch(sets)
+    least = 0.8 - near_dups.SLACK
+    assert (near_dups.likeness(sk[::2], sk[1::2]) >= least).all()
+    forest = near_dups.Forest()
+    near_dups.search_node(np.arange(len(sets)), sk, least, forest, 5)
+    assert np.mean([forest.find(k) == forest.find(k + 1) for k in range(0, len(sets), 2)]) > 0.75
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(0, 60) if k % 10] + [(100, 3), (3, 3), (None, 4)], "a long, b long")
     got = dict(connected(e).collect())
