@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over metadata dimensions.
 
 Four dimensions are quantised to ``BITS`` bits each: language and source by their
-rank among the values (code point order, null last), text size by its logarithm, and
+rank among the values (order of UTF-8 bytes, which is that of code points; null last), text size by its logarithm, and
 doc_id by its place between the smallest and the largest. A document's cell lies on a
 Hilbert curve through the grid; documents ordered by cell are cut into runs, the
 shards. Neighbours on the curve are neighbours in every dimension, so the bounds of a
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut, table
+from panelspark.llm.common import cut, free_name, table
 
 SHARDS = 24
 BITS = 4
@@ -124,17 +124,36 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     return ranked.withColumn("shard", number.cast("int")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - begin).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
-def shard_bounds(docs: DataFrame, placed: DataFrame, doc_id: str = "doc_id", columns: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Rows, bytes and bounds of each shard, for pruning: a row for each shard."""
-    also = docs.select(F.col(doc_id).alias("doc_id"), *columns).dropDuplicates(["doc_id"])
-    bounds = [f(c).alias(f"{c}_{n}") for c in ("doc_id", "size", *columns) for n, f in (("min", F.min), ("max", F.max))]
-    return placed.join(also, "doc_id", "left").groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *bounds)
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs as one column ``row``, with what its row in ``placed`` is found by: rows equal in doc_id and text are numbered."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("c"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("s"), F.struct("*").alias("row"))
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("i", "c", "s").orderBy("c")))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, to: str, doc_id: str = "doc_id") -> None:
-    """Writes each document's columns into its shard's folder, in slot order. doc_id must be unique here."""
-    joined = docs.join(placed.select(F.col("doc_id").alias(doc_id), "shard", "slot"), doc_id)
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(to)
+def place_rows(docs: DataFrame, placed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """row (a struct of the columns of docs), shard and slot of each document; null and repeated ids find theirs, too."""
+    where = placed.select(F.col("doc_id").alias("i2"), F.col("text_crc32").alias("c2"), F.col("size").alias("s2"), "shard", "slot")
+    where = where.withColumn("k2", F.row_number().over(Window.partitionBy("i2", "c2", "s2").orderBy("shard", "slot")))
+    same = F.col("i").eqNullSafe(F.col("i2")) & (F.col("c") == F.col("c2")) & (F.col("s") == F.col("s2")) & (F.col("k") == F.col("k2"))
+    return _keyed(docs, doc_id, text).join(where, same).select("row", "shard", "slot", F.col("s").alias("size"))
+
+
+def shard_bounds(docs: DataFrame, placed: DataFrame, doc_id: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+    """Rows, bytes, bounds and numbers of nulls of each shard, for pruning: a row for each shard. A reader that looks for nulls keeps the shards that count some."""
+    rows = place_rows(docs, placed, doc_id, text)
+    stats = [f(c).alias(f"{n}_{k}") for n, c in [("size", F.col("size")), *((c, F.col(f"row.`{c}`")) for c in columns)] for k, f in (("min", F.min), ("max", F.max), ("nulls", lambda c: F.count_if(c.isNull())))]
+    return rows.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *stats)
+
+
+def write_shards(docs: DataFrame, placed: DataFrame, to: str, doc_id: str = "doc_id", text: str = "text") -> str:
+    """Writes the documents into a folder for each shard, in slot order, and returns the name of the folders' column: ``shard``, or another one if docs has that.
+
+    Rows are dealt over ranges of (shard, slot), so a large shard is written by several tasks, as several files in order.
+    """
+    name = free_name(docs, "shard")
+    rows = place_rows(docs, placed, doc_id, text).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(to)
+    return name
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

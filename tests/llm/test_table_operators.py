@@ -146,11 +146,18 @@ def test_shard_ranks(spark, n):
 
 def test_shard_files(spark, tmp_path):
     r = rng(5)
-    df = docs(spark, [sentence(r, 5) for _ in range(50)])
+    texts = [sentence(r, 5) for _ in range(50)] + ["twice", "twice", None, None]
+    df = docs(spark, texts, [*range(48), None, None, 7, 7, 8, None]).withColumn("shard", F.lit("own")).withColumn("slot", F.lit(1)).withColumn("row", F.lit(2))
     placed = hilbert.shard(df, 4)
-    assert hilbert.shard_bounds(df, placed).agg(F.sum("rows")).head()[0] == 50
-    hilbert.write_shards(df, placed, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 4
+    bounds = hilbert.shard_bounds(df, placed).collect()
+    assert sum(x["rows"] for x in bounds) == 54 and sum(x.doc_id_nulls for x in bounds) == 3 and sum(x.source_nulls for x in bounds) == 8
+    name = hilbert.write_shards(df, placed, str(tmp_path / "s"))
+    out = spark.read.parquet(str(tmp_path / "s"))
+    assert name == "shard_" and out.columns == [*df.columns, name]
+    key = lambda x: (str(x.doc_id), str(x.text), str(x.source), x.shard)
+    assert sorted(map(key, out.collect())) == sorted(map(key, df.collect()))
+    assert {x[name]: x["count"] for x in out.groupBy(name).count().collect()} == {x.shard: x["rows"] for x in bounds}
+    hilbert.write_shards(df.limit(0), hilbert.shard(df.limit(0)), str(tmp_path / "none"))
 
 
 def vectors(spark, rows):
