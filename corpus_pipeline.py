@@ -1,4 +1,12 @@
-"""The corpus pipeline: STAGES, each over all rows that the one before kept."""
+"""The corpus pipeline: STAGES, each over all rows that the one before kept.
+
+Every stage but the last returns the columns of documents, whatever further columns these have and whatever their
+names. Edge cases, for all stages: no rows give no rows (``mixed`` and ``sharded`` included); a null language or source
+is a value of its own; a null, empty or blank text has no words, so it is scored by the classifier's biases, has no
+near-duplicates, isn't contaminated and is taken once by the mix; rows without doc_id are never near-duplicates, and
+the mix takes them once; repeated rows (equal in doc_id and text) are one document for near-duplicates, and one of
+them stays; very long texts are taken whole. Without labels nothing is toxic; without benchmark nothing is contaminated.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.llm import decontaminate, hilbert, mixing, near_dups, toxicity
-from panelspark.llm.common import fresh_dir, table
+from panelspark.llm.common import fresh_dir, remove_dir, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +54,13 @@ ORACLE_SQL = None  # neither a trained classifier nor a knapsack can be put in S
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order over ``documents``; each result is written to the shared folder, read again, and removed once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         where = fresh_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(where)
         docs = spark.read.parquet(where)
+        if before:
+            remove_dir(spark, before)
+        before = where
     return STAGES[-1][1](spark, docs, sf_dir)
