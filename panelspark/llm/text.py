@@ -1,6 +1,6 @@
 """Words of Arrow string columns as numpy arrays, without a Python object for each word.
 
-``Slices`` walks a string column in pieces of about a megabyte. A word's 64-bit
+``pieces`` walks a string column in pieces of about 256 KB. A word's 64-bit
 value is a polynomial over the 64-bit codes of its bytes, read off one running
 sum for the whole piece, and then mixed. Equal words have equal values; two
 given different words share one with a chance of about 2**-60.
@@ -18,7 +18,7 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 _CODES = _rng.integers(1, 2**64, 256, dtype=U64)
 _BASE = int(_rng.integers(1, 2**62)) * 2 + 1
 _BASE_INV = pow(_BASE, -1, 2**64)
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Lower-cases A-Z.
 LOWER = np.arange(256, dtype=np.uint8)

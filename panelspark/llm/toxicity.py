@@ -37,6 +37,8 @@ DIM, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
 STEMS = (4, 5, 6)
 EPOCHS, BATCH, BATCH_WORDS = 5, 16, 20_000
 FEW = 40
+#: Words whose filter responses are held at once when texts are scored.
+STEP = 8192
 
 
 def word_ids(w: Words) -> np.ndarray:
@@ -83,12 +85,16 @@ class Net:
         return out
 
     def logits(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The maxima are taken over STEP words at a time, so memory doesn't grow with the texts."""
         size = np.diff(first)
-        some = np.flatnonzero(size)
-        pooled = np.zeros((len(size), len(self.bias)), np.float32)
-        if len(some):
-            left = np.repeat(first[1:], size) - np.arange(len(ids))
-            pooled[some] = np.maximum.reduceat(self.responses(self.embed(ids), left), first[:-1][some], axis=0)
+        pooled = np.full((len(size), len(self.bias)), -np.inf, np.float32)
+        left = np.repeat(first[1:], size) - np.arange(len(ids))
+        for a in range(0, len(ids), STEP):
+            z, more = a + STEP, a + STEP + max(WIDTHS) - 1
+            r = self.responses(self.embed(ids[a:more]), left[a:more])[:STEP]
+            rows = np.flatnonzero((size > 0) & (first[:-1] < z) & (first[1:] > a))
+            pooled[rows] = np.maximum(pooled[rows], np.maximum.reduceat(r, np.maximum(first[rows] - a, 0), axis=0))
+        pooled[size == 0] = 0
         return np.maximum(pooled + self.bias, 0) @ self.out + self.out_bias
 
     def scores(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
