@@ -14,13 +14,17 @@ document but the holder.
   at most SHARD_KEYS keys on average) into one cuckoo filter: buckets of 4 16-bit
   fingerprints, which can be taken out again (``update_filters``).
 * ``dedup_lines`` asks the filters first, so that of all lines only those that may be
-  repeated leave their task; the exact table settles them, spread over SALTS. Filters
-  are broadcast if the table's count of repeated keys bounds them by MOST_FILTER_BYTES;
-  else all lines go to the exact table. Both ways give equal results.
+  repeated go to the exact table. Up to MOST_FILTER_BYTES in all, the filters are
+  broadcast, and lines ask them where they are; more filters than that are met by the
+  lines in their own shards: (key, doc_id) of each line goes to its shard's task, which
+  holds one filter at a time. The exact table settles what passes.
+* A key in a third of all documents meets nowhere: the keys that hold at least
+  1 / MOST_HOT of all repeated lines (so there are at most MOST_HOT of them) are
+  broadcast with their holders, and settled where a text is rewritten.
 
 Keys are 128-bit hash values. Edge cases: each row is a document, so repeated rows
 count as often as they come, and all rows with the holder's doc_id keep the line; a
-null doc_id is no holder unless all are null; a null or empty text is one empty line;
+null doc_id is no holder unless all are null, and such rows are joined by their texts; a null or empty text is one empty line;
 lines may end in \\r; no rows, no result.
 """
 
@@ -39,7 +43,7 @@ from panelspark.llm.text import LOWER, NOT_SPACE, U64, mix, pieces, powers
 LEAST_CHARS, LEAST_DOCS = 20, 3
 SHARD_KEYS = 100_000
 MOST_FILTER_BYTES = 64 << 20
-SALTS = 8
+MOST_HOT = 1000
 
 _CODES = np.random.Generator(np.random.PCG64(77)).integers(1, 2**64, (2, 256), dtype=U64)
 
@@ -138,7 +142,8 @@ class CuckooFilter:
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> CuckooFilter:
-        return cls(0, np.frombuffer(raw, np.uint16).reshape(-1, 4).copy())
+        """A filter to ask; ``copy`` its slots to change it."""
+        return cls(0, np.frombuffer(raw, np.uint16).reshape(-1, 4))
 
     def to_bytes(self) -> bytes:
         return self.slots.tobytes()
@@ -219,7 +224,7 @@ def update_filters(filters: DataFrame, keys: DataFrame, added: DataFrame, remove
 
     def update(old: pa.Table, t: pa.Table) -> pa.Table:
         shard = (t if t.num_rows else old)["shard"][0].as_py()
-        f = CuckooFilter.from_bytes(old["filter"][0].as_py()) if old.num_rows else CuckooFilter(16)
+        f = CuckooFilter(0, CuckooFilter.from_bytes(old["filter"][0].as_py()).slots.copy()) if old.num_rows else CuckooFilter(16)
         if t.num_rows:
             w, (hi, lo) = t["w"].to_numpy(), _values(t)
             f.remove(hi[w < 0], lo[w < 0])
@@ -230,69 +235,116 @@ def update_filters(filters: DataFrame, keys: DataFrame, added: DataFrame, remove
     return filters.groupBy("shard").cogroup(what.withColumn("shard", _shard(shards)).groupBy("shard")).applyInArrow(update, "shard int, filter binary")
 
 
-def dedup_lines(docs: DataFrame, refs: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, filter_bytes: int = MOST_FILTER_BYTES) -> DataFrame:
-    """One row for each document: doc_id, n_lines, n_dropped, kept (the text that stays). ``refs``: the exact table; by default that of ``docs``."""
+def _at_filters(shards: int):
+    """(shard, kind, filter, doc_id, part, hi, lo), each shard's filter before its lines -> the lines that their filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            shard, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.flatnonzero((np.diff(shard, prepend=-1) != 0) | (kind == 0)).tolist()
+            for k, stop in zip(starts, [*starts[1:], len(shard)], strict=True):
+                begin = k
+                if kind[k] == 0:
+                    now, held, begin = shard[k], CuckooFilter.from_bytes(batch.column(2)[k].as_py()), k + 1
+                if now == shard[k] and stop > begin:
+                    part = batch.slice(begin, stop - begin)
+                    hit = held.contains(part.column(5).to_numpy().view(U64), part.column(6).to_numpy().view(U64))
+                    yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(hit)) for c in (3, 4, 5, 6)], names=["doc_id", "part", "hi", "lo"])
+
+    return run
+
+
+def _is_hot(hot: tuple[np.ndarray, dict], hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Which keys are among the hot ones."""
+    out = np.isin(hi, hot[0])
+    at = np.flatnonzero(out)
+    out[at] = [k in hot[1] for k in zip(hi[at].view(np.int64).tolist(), lo[at].view(np.int64).tolist(), strict=True)]
+    return out
+
+
+def dedup_lines(docs: DataFrame, refs: DataFrame | None = None, filters: DataFrame | None = None, shards: int | None = None, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, filter_bytes: int = MOST_FILTER_BYTES, most_hot: int = MOST_HOT) -> DataFrame:
+    """One row for each document: doc_id, n_lines, n_dropped, kept (the text that stays).
+
+    refs: the exact table; by default that of ``docs``. filters, shards: the filters of its repeated keys, as ``build_filters``
+    and ``update_filters`` give them; by default they are built.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
     if refs is None:
         refs = reference_counts(docs, least_chars=least_chars)
-    repeated = cut(refs.where(F.col("n") >= least_docs).select("hi", "lo", "holder"))
-    n = repeated.count()
-    shards = max(1, -(-n // SHARD_KEYS))
-    sent = None
-    if n * 8 + shards * 64 <= filter_bytes:  # at most 8 bytes a key: the filters are between 21 % and 85 % full
-        sent = spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in build_filters(repeated, shards).collect()})
+    repeated = cut(refs.where(F.col("n") >= least_docs).select("hi", "lo", "n", "holder"))
+    n, n_lines = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    hot_rows = repeated.where(F.col("n") * most_hot >= n_lines).collect()  # at most most_hot rows
+    hot = spark.sparkContext.broadcast((np.array([r.hi for r in hot_rows], np.int64).view(U64), {(r.hi, r.lo): r.holder for r in hot_rows}))
+    if filters is None:
+        shards = max(1, -(-n // SHARD_KEYS))
+        filters = build_filters(repeated, shards)
+    filters = cut(filters)
+    bound = filters.agg(F.sum(F.octet_length("filter") + 64)).head()[0] or 0
+    sent = spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in filters.collect()}) if bound <= filter_bytes else None
 
     @F.arrow_udf("array<struct<hi:long,lo:long>>")
     def maybe_repeated(col: pa.Array) -> pa.Array:
-        filters = sent and {s: CuckooFilter.from_bytes(b) for s, b in sent.value.items()}
-        out = []
+        """The keys of each text that their filters may hold, or all keys if the filters aren't here; without the hot ones."""
+        here = sent and {s: CuckooFilter.from_bytes(b) for s, b in sent.value.items()}
+        his, los, count = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for _, raw, bounds in pieces(col):
             x = Lines(raw, bounds)
             ok = np.flatnonzero(x.chars >= least_chars)
-            hi, lo = x.value[0][ok], x.value[1][ok]
-            if sent:
+            hi, lo, row = x.value[0][ok], x.value[1][ok], x.row[ok]
+            if here is not None:
                 shard = ((hi >> U64(32)) % U64(shards)).astype(int)
                 hit = np.zeros(len(ok), bool)
-                for s, f in filters.items():
+                for s in np.unique(shard).tolist():
                     own = shard == s
-                    hit[own] = f.contains(hi[own], lo[own])
-                ok, hi, lo = ok[hit], hi[hit], lo[hit]
-            got: list = [None] * (len(bounds) - 1)
-            for r, h, k in zip(x.row[ok].tolist(), hi.view(np.int64).tolist(), lo.view(np.int64).tolist(), strict=True):
-                got[r] = [(h, k)] if got[r] is None else [*got[r], (h, k)]
-            out += got
-        return pa.array([g and [{"hi": h, "lo": k} for h, k in dict.fromkeys(g)] for g in out], pa.list_(pa.struct([("hi", pa.int64()), ("lo", pa.int64())])))
-
-    salt = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SALTS))
-    lines = docs.select("doc_id", F.explode(maybe_repeated("text")).alias("k")).select("doc_id", "k.hi", "k.lo").withColumn("salt", salt("doc_id"))
-    exact = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    drops = lines.join(exact, ["hi", "lo", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    drops = drops.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("hi", "lo")).alias("keys"))
+                    hit[own] = s in here and here[s].contains(hi[own], lo[own])
+                hi, lo, row = hi[hit], lo[hit], row[hit]
+            cold = ~_is_hot(hot.value, hi, lo)
+            hi, lo, row = hi[cold], lo[cold], row[cold]
+            order = np.lexsort((lo, hi, row))
+            hi, lo, row = hi[order], lo[order], row[order]
+            new = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]) | (row[1:] != row[:-1]))[: len(row)]
+            his.append(hi[new]), los.append(lo[new]), count.append(np.bincount(row[new], minlength=len(bounds) - 1))
+        keys = pa.StructArray.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (his, los)], names=["hi", "lo"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(count))), pa.int32()), keys)
+
+    lines = docs.select("doc_id", "part", F.explode(maybe_repeated("text")).alias("k")).select("doc_id", "part", "k.hi", "k.lo")
+    if sent is None:
+        columns = ["shard", "kind", "filter", "doc_id", "part", "hi", "lo"]
+        asking = lines.select(_shard(shards).alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), "doc_id", "part", "hi", "lo")
+        answering = filters.select("shard", F.lit(0).alias("kind"), "filter", *[F.lit(None).cast("long").alias(c) for c in columns[3:]])
+        meeting = asking.unionByName(answering).repartition("shard").sortWithinPartitions("shard", "kind")
+        lines = meeting.mapInArrow(_at_filters(shards), "doc_id long, part long, hi long, lo long")
+    drops = lines.join(repeated.select("hi", "lo", "holder"), ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
+    drops = drops.groupBy(F.col("doc_id").alias("id"), F.col("part").alias("id_part")).agg(F.collect_set(F.struct("hi", "lo")).alias("keys"))
 
     @F.arrow_udf("struct<n_lines:long,n_dropped:long,kept:string>")
-    def rewrite(col: pa.Array, keys: pa.Array) -> pa.Array:
-        keys = keys.to_pylist()
+    def rewrite(ids: pa.Array, col: pa.Array, keys: pa.Array) -> pa.Array:
+        ids, keys = ids.to_pylist(), keys.to_pylist()
         n_lines, n_dropped, kept = [], [], []
         for row, raw, bounds in pieces(col):
             x = Lines(raw, bounds)
             data = raw.tobytes()
             n_lines += np.diff(x.first).tolist()
+            hot_line = (x.chars >= least_chars) & _is_hot(hot.value, *x.value)
+            some_hot = np.add.reduceat(hot_line, x.first[:-1]).tolist() if len(hot_line) else []
             for r in range(len(bounds) - 1):
                 own = keys[row + r]
-                if not own:
+                if not own and not some_hot[r]:
                     n_dropped.append(0), kept.append(data[bounds[r] : bounds[r + 1]])
                     continue
-                gone = {(k["hi"], k["lo"]) for k in own}
+                gone = {(k["hi"], k["lo"]) for k in own or ()}
                 lines = range(x.first[r], x.first[r + 1])
                 hi, lo = (v[x.first[r] : x.first[r + 1]].view(np.int64).tolist() for v in x.value)
-                stay = [k for k, h, b in zip(lines, hi, lo, strict=True) if x.chars[k] < least_chars or (h, b) not in gone]
+                stay = [k for k, h, b in zip(lines, hi, lo, strict=True) if x.chars[k] < least_chars or not ((h, b) in gone or hot_line[k] and hot.value[1][h, b] != ids[row + r])]
                 n_dropped.append(len(lines) - len(stay))
                 kept.append(b"\n".join(data[x.start[k] : x.end[k]] for k in stay))
         return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["n_lines", "n_dropped", "kept"])
 
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["id"]), "left")
-    return joined.select("doc_id", rewrite("text", "keys").alias("r")).select("doc_id", "r.*")
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["id"]) & (docs["part"] == drops["id_part"]), "left")
+    return joined.select("doc_id", rewrite("doc_id", "text", "keys").alias("r")).select("doc_id", "r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
