@@ -6,15 +6,17 @@ another character; ``PieceCounter`` checks the model for such pieces. So a text
 falls apart into pre-tokens (a run of spaces and what follows it), and its count
 is the sum over them:
 
-* tier 1: one pass over all texts keeps the most frequent pre-tokens of each task
-  (at most ``PER_TASK``); their sums give the ``TOP`` most frequent ones, whose
-  counts are broadcast as one table. Pre-tokens of over ``LONGEST`` characters are
-  left out, so the table has a proven bound of TOP * LONGEST characters;
+* tier 1: the ``TOP`` most frequent pre-tokens of a sample of texts (random rows of
+  about ``SAMPLE_BYTES`` together, each of at most ``SAMPLE_TEXT`` bytes, so what comes
+  to the driver is bounded) and their counts are broadcast as one table. Pre-tokens of
+  over ``LONGEST`` characters are left out, so the table has a proven bound of
+  TOP * LONGEST characters;
 * tier 2: what tier 1 lacks is encoded by the library and kept in a worker's own
-  cache, which starts anew at ``CACHE`` entries.
+  cache, which starts anew at ``CACHE`` entries; pre-tokens of over ``KEPT`` characters
+  aren't kept, so the cache holds at most CACHE * KEPT characters.
 
-Only those bounded summaries move between tasks; pre-tokens of the second pass
-never do. Both tiers change speed only, never a count.
+No pre-token ever moves between tasks, and nothing is shuffled. The sample and both
+tiers change speed only, never a count: every pre-token of every text is counted.
 
 Edge cases: null and empty texts have 0 tokens; texts with the model's own space
 sign, and models that don't fulfil the condition, are encoded whole; texts of any
@@ -25,7 +27,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 import sentencepiece
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import table
 
 TOP = 1 << 16
-PER_TASK = 1 << 14
+SAMPLE_BYTES, SAMPLE_TEXT = 16_000_000, 1 << 16
 LONGEST = 32
-CACHE = 400_000
+CACHE, KEPT = 400_000, 64
 LIMIT = 4096
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -70,15 +71,19 @@ class PieceCounter:
     def count(self, text: str) -> int:
         if not self.splits or SPACE in text:
             return len(self.model.encode(text))
-        parts = pre_tokens(text)
+        parts, long = pre_tokens(text), 0
         known = self.known
         if new := [p for p in parts if p not in known]:
+            new = list(dict.fromkeys(new))
+            if any(len(p) > KEPT for p in new):
+                apart = {p: len(self.model.encode(p)) for p in new if len(p) > KEPT}
+                long = sum(apart.get(p, 0) for p in parts)
+                parts, new = [p for p in parts if p not in apart], [p for p in new if p not in apart]
             if len(known) + len(new) > self.limit:
                 known = self.known = dict(self.frequent)
-                new = [p for p in parts if p not in known]
-            new = list(dict.fromkeys(new))
+                new = [p for p in dict.fromkeys(parts) if p not in known]
             known.update(zip(new, self.lengths(new), strict=True))
-        return sum(map(known.__getitem__, parts))
+        return sum(map(known.__getitem__, parts)) + long
 
 
 _counters: dict[tuple[str, int], PieceCounter] = {}
@@ -92,38 +97,26 @@ def _counter(path: str, frequent: Broadcast) -> PieceCounter:
     return _counters[key]
 
 
-def summaries(per_task: int, longest: int):
-    """Per task: its most frequent pre-tokens. A task's table is thinned when it holds 500,000."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(pre_tokens(text))
-                    if len(seen) > 500_000:
-                        seen = Counter(dict(seen.most_common(250_000)))
-        top = [(w, n) for w, n in seen.most_common(per_task) if 0 < len(w) <= longest]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["w", "n"])
-
-    return run
-
-
-def frequent_lengths(docs: DataFrame, text: str, path: str, top: int = TOP, per_task: int = PER_TASK) -> dict[str, int]:
-    """The token counts of the most frequent pre-tokens of all texts; at most ``top``."""
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(summaries(per_task, LONGEST), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(top).collect()
-    found = [r.w for r in rows]
+def frequent_lengths(docs: DataFrame, text: str, path: str, top: int = TOP, sample_bytes: int = SAMPLE_BYTES) -> dict[str, int]:
+    """The token counts of the most frequent pre-tokens of a sample of texts; at most ``top``."""
+    sizes = docs.select(F.octet_length(text).alias("b")).where(F.col("b").between(1, SAMPLE_TEXT))
+    share = sample_bytes / max(1, sizes.agg(F.sum("b")).head()[0] or 0)
+    few = docs.select(F.col(text).alias("t")).where(F.octet_length("t").between(1, SAMPLE_TEXT) & (F.rand(7) < share))
+    seen: Counter[str] = Counter()
+    for r in few.collect():  # about sample_bytes
+        seen.update(w for w in pre_tokens(r.t) if 0 < len(w) <= LONGEST)
+    found = [w for w, _ in sorted(seen.most_common(top))]
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     return dict(zip(found, map(len, model.encode(found)), strict=True)) if found else {}
 
 
-def token_count(docs: DataFrame, text: str = "text", path: str | None = None, top: int = TOP, per_task: int = PER_TASK) -> Column:
+def token_count(docs: DataFrame, text: str = "text", path: str | None = None, top: int = TOP, sample_bytes: int = SAMPLE_BYTES) -> Column:
     """A column with the token count of each text of ``docs``."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(MODEL)
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text, path, top, per_task))
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text, path, top, sample_bytes))
 
     @F.arrow_udf("long")
     def count(col: pa.Array) -> pa.Array:
