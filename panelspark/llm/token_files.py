@@ -15,9 +15,13 @@ the documents asked for, and checks each frame against its checksum.
 
 Documents lie in ascending doc_id order over all files (nulls last; rows with
 equal doc_id by their ids). The range borders come from approximate quantiles of
-doc_id alone, so each text is encoded once and only ids are shuffled. A task
-writes under a name of its own and renames the file when it is whole: a lost
-executor's task can run again. Files go to a folder that all executors share.
+doc_id alone, so each text is encoded once and only ids are shuffled. A doc_id (or
+null) of more rows than a file holds is spread over several files by a hash of its
+texts, so its rows are in order of (that hash, ids).
+
+A task writes files of names that no other attempt uses, and the table of files names
+those of the attempts that counted: a lost executor's task can run again on any file
+system. What other attempts left is removed at the end.
 
 Encoding: a byte-level BPE with the usual word pattern always has a border before
 a space that follows a non-space or precedes one, and around a line break between two
@@ -53,7 +57,8 @@ from panelspark.llm.common import fresh_dir, table
 MODEL = "byte_bpe_50k.json"
 FRAME_IDS = 1 << 16
 ROWS_A_FILE = 500_000
-CACHE = 1_000_000
+#: Entries of a worker's cache, and the longest part in it.
+CACHE, KEPT = 1_000_000, 64
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_TABLE, SKIPPABLE_DOCS, SEEKABLE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 
@@ -134,12 +139,18 @@ class Encoder:
 
     def _part(self, text: str) -> bytes:
         """The ids of a text of its own, by a small cache."""
+        if len(text) > KEPT:
+            return self.raw([text])[0]
         if text not in self.begin:
             if len(self.begin) > self.cache // 8:
                 self.begin.clear()
             self.begin[text] = self.raw([text])[0] if text else b""
         return self.begin[text]
 
+    def _long(self, part: str) -> bytes:
+        """The ids of a part that isn't kept."""
+        return self.raw([part if part[0] == "\n" else " " + part])[0]
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
@@ -154,11 +165,11 @@ class Encoder:
         got = list(map(self.inner.get, parts))
         if None in got:
             if len(self.inner) > self.cache:
-                self.inner = {}
-                self.learn(parts)
+                self.inner, new = {}, parts
             else:
-                self.learn([p for p, g in zip(parts, got, strict=True) if g is None])
-            got = map(self.inner.__getitem__, parts)
+                new = [p for p, g in zip(parts, got, strict=True) if g is None]
+            self.learn([p for p in new if len(p) <= KEPT])
+            got = [self.inner[p] if len(p) <= KEPT else self._long(p) for p in parts]
         return self._part(head) + b"".join(got)
 
 
@@ -255,23 +266,33 @@ class FileReader:
         return [self.document(i) for i in np.flatnonzero((self.doc_ids == doc_id) & ~self.nulls)]
 
 
-def write_files(docs: DataFrame, to: str, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, frame_ids: int = FRAME_IDS, files: int | None = None) -> DataFrame:
+def write_files(docs: DataFrame, to: str, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, frame_ids: int = FRAME_IDS, files: int | None = None, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
     """Writes the files into the folder ``to`` and returns one row for each: file, part, n_docs, n_tokens, start (ids in the files before)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
     if files is None:
-        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // ROWS_A_FILE))
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // rows_a_file))
     cuts = [k / files for k in range(1, files)]
-    borders = np.array(sorted(set(docs.select(F.percentile_approx("i", cuts, max(10_000, 50 * files))).head()[0] or ())) if cuts else [], np.int64)
+    borders = sorted(set(docs.select(F.percentile_approx("i", cuts, max(10_000, 50 * files))).head()[0] or ())) if cuts else []
+    # A hot doc_id has a range of its own, as wide as the files it takes; there are at most rows / rows_a_file of them.
+    heavy = {r.i: -(-r["count"] // rows_a_file) for r in docs.groupBy("i").count().where(F.col("count") > rows_a_file).collect()}
+    borders = np.array(sorted({*borders, *(x - k for x in heavy if x is not None for k in (0, 1))}), np.int64)
+    wide = np.ones(len(borders) + 1, np.int64)  # ids up to a border and over the one before; then nulls with the rest, or apart
+    for x, k in heavy.items():
+        if x is not None:
+            wide[np.searchsorted(borders, x)] = k
+    begin = np.append(0, np.cumsum(wide))
+    n_parts = int(begin[-1]) + heavy.get(None, 0)
 
     @F.arrow_udf("struct<ids:binary,part:int>")
-    def encode(col: pa.Array, ids: pa.Array) -> pa.Array:
+    def encode(col: pa.Array, ids: pa.Array, spread: pa.Array) -> pa.Array:
         enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
-        if ids.null_count:
-            part = [len(borders) if x is None else int(np.searchsorted(borders, x)) for x in ids.to_pylist()]
-        else:
-            part = np.searchsorted(borders, ids.to_numpy(zero_copy_only=False))
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        spread = spread.to_numpy()
+        at = np.searchsorted(borders, ids.fill_null(0).to_numpy())
+        part = begin[at] + spread % wide[at]
+        part[null] = begin[-1] + spread[null] % heavy[None] if None in heavy else begin[-1] - 1
         out = [enc.ids(t) + end if t else end for t in col.to_pylist()]
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(part, pa.int32())], names=["ids", "part"])
 
@@ -282,10 +303,9 @@ def write_files(docs: DataFrame, to: str, path: str, doc_id: str = "doc_id", tex
         for batch in batches:
             for i, ids, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None:
-                    part, name = p, f"part-{p:06d}.ids.zst"
+                    part, name = p, f"part-{p:06d}-{uuid.uuid4().hex}.ids.zst"
                     fs.create_dir(folder, recursive=True)
-                    trial = f"{folder}/.{name}.{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(trial)
+                    out = fs.open_output_stream(f"{folder}/{name}", compression=None)
                     writer = FileWriter(out, frame_ids)
                 ids = np.frombuffer(ids, dtype)
                 writer.add(i, ids)
@@ -293,12 +313,12 @@ def write_files(docs: DataFrame, to: str, path: str, doc_id: str = "doc_id", tex
         if writer is not None:
             writer.close()
             out.close()
-            fs.move(trial, f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([len(writer.docs)], pa.int64()), pa.array([n_tokens], pa.int64())], names=["file", "part", "n_docs", "n_tokens"])
 
-    coded = docs.select("i", encode("t", "i").alias("r")).select("i", "r.ids", "r.part")
-    placed = coded.repartitionById(len(borders) + 1, F.col("part")).sortWithinPartitions(F.col("i").asc_nulls_last(), "ids")
+    coded = docs.select("i", encode("t", "i", F.pmod(F.xxhash64("t"), F.lit(1 << 40))).alias("r")).select("i", "r.ids", "r.part")
+    placed = coded.repartitionById(n_parts, F.col("part")).sortWithinPartitions(F.col("i").asc_nulls_last(), "ids")
     written = placed.mapInArrow(write, "file string, part int, n_docs long, n_tokens long").collect()  # a row for each file
+    _remove_others(to, {r.file for r in written})
     start, rows = 0, []
     for r in sorted(written, key=lambda r: r.part):
         rows.append((r.file, r.part, r.n_docs, r.n_tokens, start))
@@ -306,6 +326,14 @@ def write_files(docs: DataFrame, to: str, path: str, doc_id: str = "doc_id", tex
     return spark.createDataFrame(rows, "file string, part int, n_docs long, n_tokens long, start long")
 
 
+def _remove_others(to: str, names: set[str]) -> None:
+    """Removes from the folder what attempts left whose result didn't count."""
+    fs, folder = pafs.FileSystem.from_uri(to)
+    for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if f.base_name.endswith(".ids.zst") and f.base_name not in names:
+            fs.delete_file(f.path)
+
+
 def read_files(files: DataFrame, where: str) -> DataFrame:
     """All documents of the files, decoded: doc_id, start, n_tokens, ids_crc32, file, frame."""
 
