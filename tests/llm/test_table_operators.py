@@ -165,41 +165,65 @@ def vectors(spark, rows):
 
 
 def brute_nearest(rows, k):
-    ok = {}
-    for i, v, *_ in rows:
-        if i is not None and v and None not in v and np.isfinite(v).all() and any(v):
-            ok[i] = min(ok.get(i, v), v)
-    ids = np.array(sorted(ok))
-    x = np.array([ok[i] for i in ids], np.float32).astype(float)
-    out = {}
-    for i, q in zip(ids, x, strict=True):
+    """[(query id, its neighbours)] for each query row."""
+    ok = [(i, v) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    ids = np.array([i for i, _ in ok])
+    x = np.array([v for _, v in ok], np.float32).astype(float)
+    out = []
+    for at, (i, q) in enumerate(zip(ids, x, strict=True)):
         if i % 20 == 0:
             s = np.zeros(len(ids))
             for d in range(x.shape[1]):
                 s += q[d] * x[:, d]
-            o = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
-            out[int(i)] = [(int(ids[j]), s[j]) for j in o]
+            o = [j for j in np.lexsort((ids, -s)) if j != at][:k]
+            out.append((int(i), [(int(ids[j]), s[j]) for j in o]))
     return out
 
 
+def found_nearest(df):
+    got = {}
+    for x in df.orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    return got
+
+
 def test_nearest_ties_and_bad_vectors(spark):
     r = np.random.Generator(np.random.PCG64(3))
     rows = [(k, [float(x) for x in r.normal(size=6).astype(np.float32)], 0.0, 1) for k in range(150)]
     rows += [(200 + k, rows[7][1], 0.0, 1) for k in range(60)]
-    rows += [(400, None, 0.0, 1), (420, [0.0] * 6, 0.0, 1), (440, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0.0, 1), (460, [float("nan")] * 6, 0.0, 1), (480, [], 0.0, 1), (None, rows[0][1], 0.0, 1), (20, rows[20][1], 0.0, 1)]
-    got = {}
-    for x in multi_index.nearest_neighbours(vectors(spark, rows), F.col("vec_id") % 20 == 0, 20, recall=1.0).orderBy("query_id", "rank").collect():
-        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
-    want = brute_nearest(rows, 20)
+    rows += [(401, None, 0.0, 1), (421, [0.0] * 6, 0.0, 1), (441, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0.0, 1), (460, [float("nan")] * 6, 0.0, 1), (480, [], 0.0, 1), (None, rows[0][1], 0.0, 1), (21, rows[21][1], 0.0, 1), (21, rows[20][1], 0.0, 1)]
+    got = found_nearest(multi_index.nearest_neighbours(vectors(spark, rows), F.col("vec_id") % 20 == 0, 20, recall=1.0))
+    want = dict(brute_nearest(rows, 20))
     assert set(got) == set(want)
-    found = [len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]
-    assert np.mean(found) > 0.95
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / len({v for v, _ in want[q]}) for q in want]) > 0.95
     for q, v in got.items():
         assert v == sorted(v, key=lambda t: (-t[1], t[0])) and len(v) == 20 and q not in {i for i, _ in v}
     tied = [v for v, s in got[0] if s == dict(want[0]).get(7, None)]
     assert tied == sorted(tied)
 
 
+def test_nearest_with_repeated_query_ids(spark):
+    rows = [(20, [1.0, 0.0], 0.0, 1), (20, [0.0, 1.0], 0.0, 1), (1, [1.0, 1.0], 0.0, 1)]
+    got = multi_index.nearest_neighbours(vectors(spark, rows), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == sorted((q, k + 1, *v) for q, near in brute_nearest(rows, 20) for k, v in enumerate(near))
+
+
+def test_nearest_over_blocks_at_the_default_recall(spark):
+    """Several blocks, several Arrow batches of queries, the default recall."""
+    r = np.random.Generator(np.random.PCG64(6))
+    x = r.normal(size=(4000, 16)) + 2 * r.normal(size=(40, 16))[r.integers(40, size=4000)]
+    rows = [(k, [float(c) for c in v], 0.0, 1) for k, v in enumerate(x.astype(np.float32))]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = found_nearest(multi_index.nearest_neighbours(vectors(spark, rows), F.col("vec_id") % 20 == 0, block_rows=300))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = dict(brute_nearest(rows, 20))
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
 def test_nearest_few(spark):
     rows = [(k, [1.0, float(k)], 0.0, 1) for k in range(4)]
     got = multi_index.nearest_neighbours(vectors(spark, rows), F.col("vec_id") == 0).orderBy("rank").collect()

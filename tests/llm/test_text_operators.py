@@ -186,13 +186,33 @@ def line_texts(r):
     return ["\n".join(forms[r.randrange(4)](pool[r.randrange(len(pool))]) for _ in range(r.randrange(1, 6))) for _ in range(60)] + odd_texts() + ["\n\n"]
 
 
-@pytest.mark.parametrize("filter_bytes", [64 << 20, 0])
-def test_line_dedup(spark, filter_bytes):
+@pytest.mark.parametrize("how", [{}, {"filter_bytes": 0}, {"filter_bytes": 0, "most_hot": 2}, {"most_hot": 5}])
+def test_line_dedup(spark, monkeypatch, how):
+    """Filters broadcast or met in their shards; nearly all, some or nearly no keys settled as hot ones."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 5)
     texts = line_texts(rng(6))
-    ids = [*range(len(texts) - 2), None, 3]
-    got = line_dedup.dedup_lines(docs(spark, texts, ids), filter_bytes=filter_bytes).collect()
+    ids = [*range(len(texts) - 4), None, None, None, 3]
+    texts[-3] = texts[-4] = texts[0]
+    got = line_dedup.dedup_lines(docs(spark, texts, ids), **how).collect()
     assert sorted((str(x.doc_id), x.n_lines, x.n_dropped, x.kept or "") for x in got) == brute_lines(list(zip(ids, texts, strict=True)))
-    assert line_dedup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
+    assert line_dedup.dedup_lines(docs(spark, texts).limit(0), **how).count() == 0
+
+
+@pytest.mark.parametrize("how", [{}, {"filter_bytes": 0}])
+def test_line_dedup_by_kept_filters(spark, how):
+    """Documents come and go; the filters are updated, and dedup_lines goes through them."""
+    texts = line_texts(rng(8))
+    a, b = texts[:40], texts[40:]
+    first, more = docs(spark, a), docs(spark, b, range(1000, 1000 + len(b)))
+    key = lambda refs: refs.where("n >= 3").select("hi", "lo")
+    refs = line_dedup.reference_counts(first)
+    old = line_dedup.build_filters(key(refs), 4)
+    both = line_dedup.insert(refs, more)
+    filters = line_dedup.update_filters(old, key(both), key(both).subtract(key(refs)), key(refs).subtract(key(both)), 4)
+    back = line_dedup.delete(both, first, more)
+    filters = line_dedup.update_filters(filters, key(back), key(back).subtract(key(both)), key(both).subtract(key(back)), 4)
+    got = line_dedup.dedup_lines(more, back, filters, 4, most_hot=2, **how).collect()
+    assert sorted((str(x.doc_id), x.n_lines, x.n_dropped, x.kept or "") for x in got) == brute_lines(list(zip(range(1000, 1000 + len(b)), b, strict=True)))
 
 
 def test_line_dedup_is_reversible(spark):
@@ -211,7 +231,7 @@ def test_filters(spark):
     hi, lo = r.integers(0, 2**64, (2, 3000), dtype=np.uint64)
     f = line_dedup._filled(hi[:2000], lo[:2000])
     assert f.contains(hi[:2000], lo[:2000]).all() and f.contains(hi[2000:], lo[2000:]).mean() < 0.01
-    f = line_dedup.CuckooFilter.from_bytes(f.to_bytes())
+    f = line_dedup.CuckooFilter(0, line_dedup.CuckooFilter.from_bytes(f.to_bytes()).slots.copy())
     f.remove(hi[:1000], lo[:1000])
     assert f.contains(hi[1000:2000], lo[1000:2000]).all() and f.contains(hi[:1000], lo[:1000]).mean() < 0.01
     keys = lambda a, b: spark.createDataFrame([(int(x), int(y)) for x, y in zip(hi[a:b].view(np.int64), lo[a:b].view(np.int64), strict=True)], "hi long, lo long")

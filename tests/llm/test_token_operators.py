@@ -26,23 +26,27 @@ def test_piece_counter():
     path = public_tokenizers.path(token_counts.MODEL)
     c = token_counts.PieceCounter(path, {"a": 1}, cache=50)
     assert c.splits
-    for t in fuzz(1, 3000):
+    for t in [*fuzz(1, 3000), "a " + "long" * 50 + "  " + "longer" * 4000 + " a"]:
         assert c.count(t) == len(c.model.encode(t)), repr(t)
+        assert len(c.known) <= c.limit + 20 and max(map(len, c.known)) <= token_counts.KEPT
 
 
 def test_token_counts(spark):
     texts = odd_texts() + fuzz(2, 40)
     df = docs(spark, texts).withColumn("t", F.lit(1)).withColumn("w", F.lit(1))
     model = token_counts.PieceCounter(public_tokenizers.path(token_counts.MODEL), {}).model
-    got = dict(df.select("doc_id", token_counts.token_count(df, top=20)).collect())
-    assert got == {k: len(model.encode(t)) if t else 0 for k, t in enumerate(texts)}
+    for size in (16_000_000, 40):
+        got = dict(df.select("doc_id", token_counts.token_count(df, top=20, sample_bytes=size)).collect())
+        assert got == {k: len(model.encode(t)) if t else 0 for k, t in enumerate(texts)}
+    flat = spark.range(3).select(F.lit("a text of words").alias("text"))
+    assert "Exchange" not in flat.select(token_counts.token_count(flat))._jdf.queryExecution().executedPlan().toString()
     assert df.limit(0).select(token_counts.token_count(df.limit(0))).count() == 0
 
 
 def test_encoder():
     e = token_files.Encoder(public_tokenizers.path(token_files.MODEL), cache=100)
     assert e.splits
-    for t in fuzz(3, 5000):
+    for t in [*fuzz(3, 5000), "a " + "long" * 50 + " \nb " + "longer" * 4000, "w" * 90 + " c\n" + "é!" * 60]:
         assert np.frombuffer(e.ids(t), e.dtype).tolist() == e.model.encode(t, add_special_tokens=False).ids, repr(t)
 
 
@@ -65,6 +69,21 @@ def test_files_round_trip(spark, tmp_path):
     assert token_files.write_files(df.limit(0), str(tmp_path / "none"), path).count() == 0
 
 
+def test_hot_ids_take_several_files(spark, tmp_path):
+    texts, ids = fuzz(6, 300), [5] * 120 + [None] * 120 + list(range(60))
+    path, where = public_tokenizers.path(token_files.MODEL), str(tmp_path / "hot")
+    (tmp_path / "hot").mkdir()
+    (tmp_path / "hot" / "part-000000-of-a-lost-task.ids.zst").write_bytes(b"half a file")
+    files = token_files.write_files(docs(spark, texts, ids), where, path, files=3, rows_a_file=50)
+    assert {f.name for f in (tmp_path / "hot").iterdir() if f.suffix == ".zst"} == {r.file for r in files.collect()}
+    assert files.agg(F.max("n_docs")).head()[0] < 100 and files.agg(F.sum("n_docs")).head()[0] == 300
+    got = sorted(token_files.read_files(files, where).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(ids, key=lambda i: (i is None, i or 0))
+    model = token_files.Encoder(path).model
+    crc = lambda t: zlib.crc32(np.array([*(model.encode(t, add_special_tokens=False).ids if t else []), 0], "<u4").tobytes())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(i), crc(t)) for i, t in zip(ids, texts, strict=True))
+
+
 def test_random_access_reads_one_frame():
     out = io.BytesIO()
     w = token_files.FileWriter(out, frame_ids=100)
