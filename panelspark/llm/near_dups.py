@@ -60,6 +60,8 @@ LEVELS = 6
 LEAF = 96
 #: Most vertices and shingles of a block when links are confirmed.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
+#: Ids of texts to read are broadcast up to this number (8 bytes each), so that other texts aren't shuffled.
+MOST_IDS = 500_000
 
 _POLY = U64(0x9E3779B97F4A7C15 | 1)
 
@@ -355,6 +357,10 @@ def _confirm(width: int, percent: int):
 
 def _links(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
     """placed (gid, id, rep, hi, lo, part) -> confirmed links (a, b) within each group."""
+    placed = cut(placed)
+    ids = placed.select(F.col("rep").alias("doc_id")).distinct()
+    if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     read = docs.join(placed, docs["doc_id"] == placed["rep"]).select("gid", "id", "hi", "lo", "part", "text")
     return read.repartition("gid").sortWithinPartitions("gid", "id").mapInArrow(_confirm(width, percent), "a long, b long")
 
@@ -368,7 +374,8 @@ def confirmed(docs: DataFrame, vertices: DataFrame, likely: DataFrame, width: in
     families = connected(likely).withColumnRenamed("root", "family")
     members = vertices.select("id", "rep", "hi", "lo", "n").join(families, "id")
     sizes = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    members = cut(members.join(sizes.select("family", _dealt(F.col("rows"), F.col("shingles"), block_rows, block_shingles).alias("blocks")), "family"))
+    several = cut(sizes.select("family", _dealt(F.col("rows"), F.col("shingles"), block_rows, block_shingles).alias("blocks")).where("blocks > 1"))
+    members = cut(members.join(several, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
     columns = ["gid", "id", "rep", "hi", "lo", "part"]
     gid = lambda *c: F.xxhash64(*c).alias("gid")
     own = members.select(gid("family", F.pmod(F.xxhash64("id"), "blocks")), "id", "rep", "hi", "lo", F.col("id").alias("part"))
@@ -377,22 +384,27 @@ def confirmed(docs: DataFrame, vertices: DataFrame, likely: DataFrame, width: in
         return cut(_links(docs, own, width, percent).select(F.col("a").alias("id"), F.col("b").alias("root")))
     pivots = large.where("id = family").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pivots = pivots.select(gid("family", F.col("b").cast("long")), "id", "rep", "hi", "lo", F.col("id").alias("part"))
-    links = cut(_links(docs, own.unionByName(pivots.select(columns)), width, percent))
-    parts = cut(connected(links))
+    # The pivot has the least id of its family and is all that blocks share, so a part's first member names it across blocks.
+    parts = cut(_links(docs, own.unionByName(pivots.select(columns)), width, percent).distinct().select(F.col("a").alias("id"), F.col("b").alias("root")))
 
-    now = large.join(parts, "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
+    now = large.join(parts, "id").withColumnRenamed("root", "part")
     by_part = now.groupBy("family", "part").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     largest = by_part.groupBy("family").agg(F.max(F.struct("k", "part"))["part"].alias("main"), F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("s").alias("s"))
     out = by_part.join(largest.where("parts > 1").select("family", "main"), "family").where("part <> main").groupBy("family").agg(F.sum("k").alias("out_k"), F.sum("s").alias("out_s"))
     split = largest.where("parts > 1").join(out, "family").select("family", "main", _dealt(F.col("k"), F.col("s"), block_rows, block_shingles).alias("all_blocks"), _dealt(F.col("out_k"), F.col("out_s"), block_rows, block_shingles).alias("out_blocks"))
-    open_ = cut(now.join(split, "family"))
+    split = cut(split.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1))))  # all_blocks is what ``blocks`` was
+    open_ = cut(now.withColumn("z", F.pmod(F.xxhash64("id"), "blocks").cast("int")).join(split, ["family", "z"]))
     if not open_.limit(1).count():
         return parts
     block = lambda seed, blocks: F.pmod(F.xxhash64("id", F.lit(seed)), blocks).cast("int")
     every = open_.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1))).withColumn("y", block(1, F.col("all_blocks")))
     rest = open_.where("part <> main").withColumn("x", block(2, F.col("out_blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)))
     placed = every.unionByName(rest).select(gid("family", "x", "y"), "id", "rep", "hi", "lo", "part")
-    return cut(connected(links.union(_links(docs, placed, width, percent))))
+    met = _links(docs, placed, width, percent)
+    of = lambda c: parts.select(F.col("id").alias(c), F.col("root").alias(f"{c}_part"))
+    joined = connected(met.where("a <> b").join(of("a"), "a").join(of("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b")))
+    joined = joined.select(F.col("id").alias("part"), F.col("root").alias("whole"))
+    return cut(parts.withColumnRenamed("root", "part").join(joined, "part", "left").select("id", F.coalesce("whole", "part").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
