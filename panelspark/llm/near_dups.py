@@ -59,7 +59,7 @@ NODE_ROWS = 40_000
 LEVELS = 6
 LEAF = 96
 #: Most vertices and shingles of a block when links are confirmed.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 1_000_000
 #: Ids of texts to read are broadcast up to this number (8 bytes each), so that other texts aren't shuffled.
 MOST_IDS = 500_000
 
