@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import available_periods, period_tag, slug, to_day, to_double
-from panelspark.operators.stories import widen
+from panelspark.operators.stories import distinct_names
 from panelspark.operators.windows import last_per_period
 
 OHLCV = ["date", "open", "high", "low", "close", "volume"]
@@ -44,22 +44,23 @@ def indicator_fits(config: DataFrame, start: Column, end: Column, period: str =
     return config.where(there.isNull() | (F.col(period) <= there))
 
 
+def _last_values(clean: DataFrame, keys: list[str], names: list[str] | None) -> DataFrame:
+    """(keys, date, _name, _v) -> keys, the last date, and the last value of each name: one shuffle. Without ``names`` a pass over the data finds them."""
+    names = distinct_names(clean, "_name") if names is None else names
+    own = lambda c, n: F.when(F.col("_name") == n, F.col(c))
+    return clean.groupBy(*keys).agg(F.max("date").alias("date"), *[F.max_by(own("_v", n), own("date", n)).alias(n) for n in names])
+
+
 def economics_table(long: DataFrame, names: list[str] | None = None, freq: str = "quarterly", name: str = "name", date: str = "date", value: str = "value") -> DataFrame:
     """(name, date, value) -> date, time_range and one econ_* column a name: the last value of each period. One shuffle instead of a join for each series."""
     clean = long.select(F.concat(F.lit("econ_"), slug(name)).alias("_name"), to_day(date).alias("date"), to_double(value).alias("_v")).where("date is not null and _v is not null")
-    clean = clean.withColumn("time_range", period_tag("date", freq))
-    last = clean.groupBy("time_range", "_name").agg(F.max_by("_v", "date").alias("_v"))
-    ends = clean.groupBy("time_range").agg(F.max("date").alias("date"))
-    return ends.join(widen(last, ["time_range"], "_name", "_v", names), "time_range")
+    return _last_values(clean.withColumn("time_range", period_tag("date", freq)), ["time_range"], names)
 
 
 def technical_table(long: DataFrame, names: list[str] | None = None, freq: str = "quarterly", key: str = "ticker", date: str = "date", value: str = "value") -> DataFrame:
     """(ticker, name, period, timeframe, date, value) -> ticker, date, time_range and one tech_* column an indicator."""
     clean = long.select(key, technical_name("name", "period", "timeframe").alias("_name"), to_day(date).alias("date"), to_double(value).alias("_v")).where("date is not null and _v is not null")
-    clean = clean.withColumn("time_range", period_tag("date", freq))
-    last = clean.groupBy(key, "time_range", "_name").agg(F.max_by("_v", "date").alias("_v"))
-    ends = clean.groupBy(key, "time_range").agg(F.max("date").alias("date"))
-    return ends.join(widen(last, [key, "time_range"], "_name", "_v", names), [key, "time_range"])
+    return _last_values(clean.withColumn("time_range", period_tag("date", freq)), [key, "time_range"], names)
 
 
 def outer_join_series(series: dict[str, DataFrame], date: str = "date") -> DataFrame:

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from panelspark.functions.scalar import clip, quarter_end
 from panelspark.operators.windows import forward_fill
 
+#: Of quantile sketches: the rank error is at most 1 / ACCURACY of the rows.
+ACCURACY = 100_000
 
-def fill_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """NULLs become the column's median, 0 where there is none."""
-    one = df.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"_m_{c}") for c in columns])
+
+def fill_medians(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
+    """NULLs become the column's median, 0 where there is none. ``approximate`` takes quantile sketches."""
+    median = (lambda c: F.percentile_approx(c, 0.5, ACCURACY)) if approximate else F.median
+    one = df.agg(*[F.coalesce(median(c), F.lit(0.0)).alias(f"_m_{c}") for c in columns])
     return df.crossJoin(F.broadcast(one)).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns}).drop(*one.columns)
 
 
-def _quartiles(c: str):
+def _quartiles(c: str, approximate: bool = False):
+    if approximate:
+        return F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY).alias(f"_q_{c}")
     return F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}")
 
 
@@ -25,12 +31,15 @@ def _scaled(c: str):
     return (F.col(c) - q[1]) / F.when(spread == 0, 1.0).otherwise(spread)
 
 
-def robust_scale(df: DataFrame, columns: list[str], per_key: list[str] = (), key: str = "ticker", bound: float = 5.0) -> DataFrame:
-    """(x - median) / interquartile range, over all rows, or for ``per_key`` columns over the key's rows and kept within the bound; a range of 0 counts as 1."""
+def robust_scale(df: DataFrame, columns: list[str], per_key: list[str] = (), key: str = "ticker", bound: float = 5.0, approximate: bool = False) -> DataFrame:
+    """(x - median) / interquartile range, over all rows, or for ``per_key`` columns over the key's rows and kept within the bound; a range of 0 counts as 1.
+
+    ``approximate`` takes quantile sketches for what goes over all rows: an exact percentile holds every distinct value in one task.
+    """
     everywhere = [c for c in columns if c not in per_key]
     out = df
     if everywhere:
-        one = df.agg(*[_quartiles(c) for c in everywhere])
+        one = df.agg(*[_quartiles(c, approximate) for c in everywhere])
         out = out.crossJoin(F.broadcast(one)).withColumns({c: _scaled(c) for c in everywhere}).drop(*one.columns)
     if per_key:
         own = df.groupBy(key).agg(*[_quartiles(c) for c in per_key])

@@ -24,6 +24,7 @@ class PanelConfig:
     test: float = 0.15
     fill_stories: bool = True
     fill_indicators: bool = False
+    approximate_medians: bool = False
 
 
 def check_ratios(train: float, val: float, test: float) -> None:
@@ -38,10 +39,10 @@ def average_by_period(df: DataFrame, key: str = "ticker", date: str = "date", fr
     return tagged.groupBy(key, "time_range").agg(F.max(date).alias(end), *[F.avg(F.col(c).cast("double")).alias(c) for c in values])
 
 
-def merge_panel(fundamental: DataFrame, story: DataFrame | None = None, economics: DataFrame | None = None, technical: DataFrame | None = None, small: bool = True) -> DataFrame:
+def merge_panel(fundamental: DataFrame, story: DataFrame | None = None, economics: DataFrame | None = None, technical: DataFrame | None = None) -> DataFrame:
     """Fundamentals with stories and technicals of the same (ticker, time_range) and macro of the same time_range, all left.
 
-    Dates of the right sides are dropped before the joins. Macro has one row a period: with ``small`` it is broadcast.
+    Dates of the right sides are dropped before the joins. Macro has one row a period; Spark broadcasts it if its size allows that.
     """
     out = fundamental
     dates = lambda df: [c for c in df.columns if c not in KEYS and (c == "date" or c.endswith("_date") or c.startswith("quarter_end_date"))]
@@ -49,7 +50,7 @@ def merge_panel(fundamental: DataFrame, story: DataFrame | None = None, economic
         out = out.join(story.drop(*dates(story)), KEYS, "left")
     if economics is not None:
         econ = economics.drop(*dates(economics))
-        out = out.join(F.broadcast(econ) if small else econ, "time_range", "left")
+        out = out.join(econ, "time_range", "left")
     if technical is not None:
         out = out.join(technical.drop(*dates(technical)), KEYS, "left")
     return out
@@ -99,9 +100,13 @@ def annotate_rows(df: DataFrame, sequence_length: int, min_points: int, horizon:
     }).drop("_n")
 
 
-def fit_medians(df: DataFrame, columns: list[str], split: str = "split") -> DataFrame:
-    """One row: medians of the training rows (of all rows if none train), 0 where there is no value."""
-    train = [F.coalesce(F.median(F.when(F.col(split) == "train", F.col(c))), F.when(F.count_if(F.col(split) == "train") == 0, F.median(c)), F.lit(0.0)).alias(c) for c in columns]
+def fit_medians(df: DataFrame, columns: list[str], split: str = "split", approximate: bool = False) -> DataFrame:
+    """One row: medians of the training rows (of all rows if none train), 0 where there is no value.
+
+    ``approximate`` takes quantile sketches: bounded memory for any number of distinct values.
+    """
+    median = (lambda c: F.percentile_approx(c, 0.5, 100_000)) if approximate else F.median
+    train = [F.coalesce(median(F.when(F.col(split) == "train", F.col(c))), F.when(F.count_if(F.col(split) == "train") == 0, median(F.col(c))), F.lit(0.0)).alias(c) for c in columns]
     return df.agg(*train)
 
 

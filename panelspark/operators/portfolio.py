@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.scalar import EPS, drawdown, growth, previous_quarter_end, strategy_label
 from panelspark.operators.windows import by, cumulative_product, first_per_key
 
+# The keys of an evaluation sample and of a run.
 SAMPLE = ["evaluation_scope", "source_split", "run_id", "sample_key", "time_range", "quarter_end_date", "future_quarter_end_date"]
 RUN = ["risk_penalty", "concentration_penalty", "model_family", "model_target"]
 

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import scores
 from panelspark.functions.scalar import clip, with_floor
-from panelspark.operators.windows import as_of, by, first_per_key, historical_percentile, history, rolling_zscore, trailing
+from panelspark.operators.windows import as_of, by, first_per_key, historical_percentiles, history, rolling_zscore, trailing
 
+# The schema of the fundamental dataset, and which of its columns are summed, averaged, clipped, scored and ranked.
 FLOWS = ["rev", "ni", "gp", "op_inc", "capex", "rnd", "fcf", "div_paid", "repurchase"]
 STOCKS = ["assets", "liabilities", "curr_assets", "curr_liab", "equity"]
 WINSORIZED = ["fcf_yield", "buyback_yield", "pe_ratio", "ps_ratio", "ev_ebitda", "beneish_mscore", "altman_zscore", "gross_margin", "net_margin", "roa", "asset_turnover", "current_ratio", "debt_to_equity", "revenue_growth_yoy", "eps_growth_yoy"]
 Z_SCORED = ["revenue_growth_yoy", "eps_growth_yoy", "rd_intensity", "capex_to_sales"]
 RANKED = ["pe_ratio", "ps_ratio"]
 FEATURES = [
-    "gross_margin", "net_margin", "roa", "asset_turnover", "current_ratio", "debt_to_equity", "fcf_yield", "rd_intensity", "capex_to_sales", "pe_ratio", "ps_ratio", "ev_ebitda", "buyback_yield",
-    "revenue_growth_yoy", "eps_growth_yoy", "piotroski_fscore", "beneish_mscore", "ohlson_oscore", "altman_zscore",
+    "piotroski_fscore", "beneish_mscore", "ohlson_oscore", "altman_zscore", "gross_margin", "net_margin", "roa", "asset_turnover", "current_ratio", "debt_to_equity", "fcf_yield",
+    "revenue_growth_yoy", "eps_growth_yoy", "rd_intensity", "capex_to_sales", "pe_ratio", "ps_ratio", "ev_ebitda", "buyback_yield",
 ]
 
 
@@ -98,7 +99,8 @@ def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float
 
 def against_history(df: DataFrame, rows: int = 12, least: int = 1, key: str = "ticker", date: str = "report_date") -> DataFrame:
     """Rolling z-scores of growth and intensity; historical percentiles of the price ratios."""
-    return df.withColumns({c: rolling_zscore(c, key, date, rows, least) for c in Z_SCORED} | {c: historical_percentile(c, key, date) for c in RANKED})
+    scored = df.withColumns({c: rolling_zscore(c, key, date, rows, least) for c in Z_SCORED})
+    return historical_percentiles(scored, RANKED, key, date)
 
 
 def fundamental_dataset(income: DataFrame, balance: DataFrame, cashflow: DataFrame, prices: DataFrame, config: FundamentalConfig = FundamentalConfig()) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import is_bearish, is_bullish, published_timestamp, to_double, topics
 from panelspark.operators.windows import first_per_key
 
+# The schema of the story table.
 STORY_COLUMNS = ["ticker", "date", "time_published", "title", "summary", "source", "source_domain", "category_within_source", "url", "overall_sentiment_score", "overall_sentiment_label", "ticker_relevance_score", "ticker_sentiment_score", "ticker_sentiment_label", "authors_json", "topics_json", "banner_image"]
 
 
@@ -50,17 +51,26 @@ def aggregate_stories(stories: DataFrame, period: str = "time_range", key: str =
 
 def topic_relevance(stories: DataFrame, period: str = "time_range", key: str = "ticker", topics_json: str = "topics_json") -> DataFrame:
     """Long form (key, period, topic, relevance): the mean over all stories of the period, 0 for stories without the topic; the last of a story's repeated topics counts."""
-    total = stories.groupBy(key, period).agg(F.count("*").alias("stories"))
     listed = stories.select(key, period, topics(topics_json).alias("_l"))  # a column of its own: parsed once
     last = F.filter("_l", lambda t, i: ~F.exists(F.slice("_l", i + 2, F.size("_l")), lambda u: u["topic"] == t["topic"]))
-    each = listed.select(key, period, F.explode(last).alias("t")).select(key, period, "t.topic", "t.score")
-    return each.groupBy(key, period, "topic").agg(F.sum("score").alias("total")).join(total, [key, period]).select(key, period, "topic", (F.col("total") / F.col("stories")).alias("relevance"))
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("topic"), F.lit(0.0).alias("score")))  # counts the story
+    each = listed.select(key, period, F.explode(F.concat(itself, last)).alias("t")).select(key, period, "t.topic", "t.score")
+    sums = each.groupBy(key, period, "topic").agg(F.sum("score").alias("total"), F.count("*").alias("n"))
+    stories_ = F.max(F.when(F.col("topic").isNull(), F.col("n"))).over(Window.partitionBy(key, period))
+    return sums.select(key, period, "topic", (F.col("total") / stories_).alias("relevance")).where("topic is not null")
+
+
+def distinct_names(df: DataFrame, name: str, most: int = 1000) -> list[str]:
+    """The distinct values of a column that is to become columns; an error if there are over ``most``."""
+    names = [r[0] for r in df.select(name).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"{name} has over {most} values, too many for columns")
+    return sorted(names)
 
 
 def widen(df: DataFrame, keys: list[str], name: str, value: str, names: list[str] | None = None, prefix: str = "", fill: float | None = None) -> DataFrame:
     """One column for each name. The list of names is taken from the data if it isn't given: names are few (topics, indicators)."""
-    if names is None:
-        names = [r[0] for r in df.select(name).distinct().orderBy(name).collect()]
+    names = distinct_names(df, name) if names is None else names
     wide = df.groupBy(*keys).pivot(name, names).agg(F.first(value))
     wide = wide.select(*keys, *[F.col(f"`{n}`").alias(f"{prefix}{n}") for n in names])
     return wide.fillna(fill) if fill is not None else wide

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def by(keys: list[str] | str, *order: str | Column):
@@ -60,12 +65,36 @@ def resample_daily(panel: DataFrame, key: str, time: str) -> DataFrame:
     return forward_fill(calendar_spine(panel, key, time).join(kept, [key, time], "left"), key, time, values).select(panel.columns)
 
 
-def historical_percentile(x: str, keys: str, time: str) -> Column:
-    """The share of a key's rows up to this one whose value is below this one's; NULL before the first value."""
-    w = history(keys, time)
-    below = F.size(F.filter(F.collect_list(x).over(w), lambda v: v < F.col(x)))
-    share = F.coalesce(below, F.lit(0)) / F.count(F.lit(1)).over(w)
-    return F.when(F.count(x).over(w) > 0, F.when(F.col(x).isNotNull(), share).otherwise(0.0))
+def historical_percentiles(df: DataFrame, columns: list[str], key: str, time: str) -> DataFrame:
+    """df with each column replaced by the share of the key's rows up to this one whose value is below this one's: 0 for NULL, and NULL before the first value.
+
+    Rows stream through sorted by (key, time). A task holds the sorted values of one key at a time and looks each row up
+    by bisection. Keys are never null here: rows without key count as one key.
+    """
+    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in columns else f for f in df.schema])
+    at = [df.columns.index(c) for c in columns]
+    key_at = df.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, seen = object(), 0, [[] for _ in at]
+        for batch in batches:
+            out: list[list[float | None]] = [[] for _ in at]
+            values = [batch.column(k).to_pylist() for k in at]
+            for row, k in enumerate(batch.column(key_at).to_pylist()):
+                if k != now:
+                    now, n, seen = k, 0, [[] for _ in at]
+                n += 1
+                for held, column, shares in zip(seen, values, out, strict=True):
+                    v = column[row]
+                    if v is not None:
+                        shares.append(bisect_left(held, v) / n)
+                        insort(held, v)
+                    else:
+                        shares.append(0.0 if held else None)
+            done = {k: pa.array(x, pa.float64()) for k, x in zip(at, out, strict=True)}
+            yield pa.RecordBatch.from_arrays([done.get(k, batch.column(k)) for k in range(batch.num_columns)], names=batch.schema.names)
+
+    return df.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, schema)
 
 
 def rolling_zscore(x: str, keys: str, time: str, rows: int = 12, least: int = 1) -> Column:

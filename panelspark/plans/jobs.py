@@ -41,7 +41,8 @@ def clean_counters(tables: dict[str, DataFrame]) -> DataFrame:
 def preprocess(fundamental: DataFrame, story: DataFrame | None, economics: DataFrame | None, technical: DataFrame | None, config: PanelConfig = PanelConfig(), date: str = "quarter_end_date") -> tuple[DataFrame, dict[str, DataFrame]]:
     """Merge, resample, fill, split, impute by training medians, scale by training means and deviations -> panel and the fitted tables.
 
-    The merged panel is persisted: boundaries, medians and scaling each read it once.
+    The merged panel is persisted: boundaries, medians and scaling each read it once. It is returned with the fitted tables,
+    as ``merged``: unpersist it when the panel is written.
     """
     panel.check_ratios(config.train, config.val, config.test)
     merged = panel.merge_panel(fundamental, story, economics, technical)
@@ -56,10 +57,10 @@ def preprocess(fundamental: DataFrame, story: DataFrame | None, economics: DataF
     rows = panel.assign_splits(panel.annotate_rows(merged, config.sequence_length, config.min_points, config.horizon, date=date), boundaries, date)
     features = feature_columns(rows, STATE)
     rows = rows.withColumns({c: F.col(c).cast("double") for c in features})
-    medians = panel.fit_medians(rows, features)
+    medians = panel.fit_medians(rows, features, approximate=config.approximate_medians)
     filled = panel.impute(rows, medians, features)
     scaling = panel.fit_scaling(filled, features)
-    return panel.standardize(filled, scaling, features), {"boundaries": boundaries, "medians": medians, "scaling": scaling}
+    return panel.standardize(filled, scaling, features), {"boundaries": boundaries, "medians": medians, "scaling": scaling, "merged": merged}
 
 
 def sequence_dataset(rows: DataFrame, prices: DataFrame, horizons: list[int], length: int, threshold: float = 0.02, freq: str = "quarterly", features: list[str] | None = None) -> DataFrame:

@@ -65,7 +65,8 @@ def wide_targets(spark, sf):
     return rounded(wide.select("ticker", "quarter_end_date", "future_price_t1", "future_price_t4", "future_quarter_end_date_t4", "class_target_t1", "future_return_t4"), 9)
 
 
-@query(f"WITH {S.SQL_PRICES} SELECT p.ticker, p.date AS quarter_end_date, h AS horizon, f.price AS future_price FROM prices p CROSS JOIN (VALUES (1), (7), (30)) v(h) LEFT JOIN prices f ON f.ticker = p.ticker AND f.date = p.date + h::INT")
+@query(f"""WITH {S.SQL_PRICES.replace("AS (", "AS MATERIALIZED (", 1)}, asked AS MATERIALIZED (SELECT ticker, date, h AS horizon, (date + h)::DATE AS future FROM prices, (SELECT unnest([1, 7, 30]) AS h))
+SELECT a.ticker, a.date AS quarter_end_date, a.horizon, f.price AS future_price FROM asked a LEFT JOIN prices f ON f.ticker = a.ticker AND f.date = a.future""")
 def daily_targets(spark, sf):
     daily = targets.period_prices(S.prices(spark, sf), "daily")
     return targets.future_prices(daily, [1, 7, 30], freq="daily").select("ticker", "quarter_end_date", "horizon", "future_price")
@@ -211,11 +212,7 @@ def topic_relevance(spark, sf):
 @query("""SELECT (user_id + k)::VARCHAR AS ticker, event_id::VARCHAR AS url, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time_published, value AS overall_sentiment_score, round(value / (k + 2), 4) AS ticker_sentiment_score
 FROM events, (VALUES (0), (1)) v(k)""")
 def news_rows(spark, sf):
-    e = S.read(spark, sf, "events")
-    mention = lambda k: F.struct((F.col("user_id") + k).cast("string").alias("ticker"), F.lit("0.5").alias("relevance_score"), F.round(F.col("value") / (k + 2), 4).cast("string").alias("ticker_sentiment_score"), F.lit("Neutral").alias("ticker_sentiment_label"))
-    text = lambda n: F.lit("x").alias(n)
-    article = F.struct(text("title"), text("summary"), text("source"), text("source_domain"), text("category_within_source"), F.col("event_id").cast("string").alias("url"), F.date_format("ts", "yyyyMMdd'T'HHmmss").alias("time_published"), F.col("value").cast("string").alias("overall_sentiment_score"), text("overall_sentiment_label"), F.array(F.lit("a")).alias("authors"), F.array(F.struct(F.lit("t").alias("topic"), F.lit("0.1").alias("relevance_score"))).alias("topics"), text("banner_image"), F.array(mention(0), mention(1)).alias("ticker_sentiment"))
-    payload = e.groupBy("user_id", F.to_date("ts")).agg(F.collect_list(article).alias("feed"))
+    payload = S.news(spark, sf)
     return stories.story_rows(payload).select("ticker", "url", "date", "time_published", "overall_sentiment_score", "ticker_sentiment_score")
 
 
@@ -234,7 +231,7 @@ def windowed_stories(spark, sf):
 
 @query(f"WITH {S.SQL_MACRO} SELECT max(date) AS date, {S.SQL_TAG.format('date')} AS time_range, arg_max(v, date) AS econ_order_value, arg_max(n, date) AS econ_order_count FROM months GROUP BY 2")
 def economics_table(spark, sf):
-    return indicators.economics_table(S.macro(spark, sf))
+    return indicators.economics_table(S.macro(spark, sf))  # finds the names itself
 
 
 @query(f"WITH {S.SQL_PRICES}, {S.SQL_TECHNICAL} SELECT ticker, max(date) AS date, {S.SQL_TAG.format('date')} AS time_range, arg_max(sma, date) AS tech_sma_5_1day, arg_max(rsi, date) AS tech_rsi_14_1day FROM technical GROUP BY 1, 3")
@@ -243,7 +240,7 @@ def technical_table(spark, sf):
 
 
 def _technical(spark, sf) -> DataFrame:
-    return indicators.technical_table(S.technical(spark, sf))
+    return indicators.technical_table(S.technical(spark, sf), ["tech_sma_5_1day", "tech_rsi_14_1day"])
 
 
 @query(f"""WITH {S.SQL_PRICES}, {S.SQL_TECHNICAL}, {S.SQL_STORIES}, {_STORY_AGG}, {S.SQL_MACRO}, {S.SQL_PANEL},
@@ -252,7 +249,7 @@ tech AS (SELECT ticker, {S.SQL_TAG.format("date")} AS time_range, arg_max(sma, d
 SELECT p.ticker, p.time_range, p.quarter_end_date, f1, f2, coalesce(story_count, 0) AS story_count, round(coalesce(overall_sentiment_mean, 0), 9) AS overall_sentiment_mean, econ_order_value, econ_order_count, tech_sma_5_1day, tech_rsi_14_1day
 FROM panel p LEFT JOIN agg ON agg.ticker = p.ticker AND agg.time_range = p.time_range LEFT JOIN econ ON econ.time_range = p.time_range LEFT JOIN tech ON tech.ticker = p.ticker AND tech.time_range = p.time_range""")
 def merged_panel(spark, sf):
-    out = panels.merge_panel(S.panel(spark, sf), stories.aggregate_stories(S.stories(spark, sf)), indicators.economics_table(S.macro(spark, sf)), _technical(spark, sf))
+    out = panels.merge_panel(S.panel(spark, sf), stories.aggregate_stories(S.stories(spark, sf)), indicators.economics_table(S.macro(spark, sf), ["econ_order_value", "econ_order_count"]), _technical(spark, sf))
     out = panels.zero_fill(out, ["story_count", "overall_sentiment_mean"])
     return rounded(out.select("ticker", "time_range", "quarter_end_date", "f1", "f2", "story_count", "overall_sentiment_mean", "econ_order_value", "econ_order_count", "tech_sma_5_1day", "tech_rsi_14_1day"), 9)
 
@@ -302,7 +299,8 @@ def preprocessed_panel(spark, sf):
 FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY quarter_end_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
 def history_features(spark, sf):
     p = S.panel(spark, sf)
-    return p.select("ticker", "quarter_end_date", F.round(windows.rolling_zscore("f1", "ticker", "quarter_end_date"), 8).alias("z"), windows.historical_percentile("f1", "ticker", "quarter_end_date").alias("share"))
+    scored = p.select("ticker", "quarter_end_date", F.round(windows.rolling_zscore("f1", "ticker", "quarter_end_date"), 8).alias("z"), F.col("f1").alias("share"))
+    return windows.historical_percentiles(scored, ["share"], "ticker", "quarter_end_date")
 
 
 @query("""WITH ranges AS (SELECT o_orderpriority AS name, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1),
@@ -484,7 +482,7 @@ def alpha_heatmap(spark, sf):
 @query(_W + """, e AS (SELECT a.ticker, a.quarter_end_date, a.current_price, a.future_price, (a.weight + b.weight) / 2 AS weight FROM w a JOIN w b ON b.ticker = a.ticker AND b.quarter_end_date = a.quarter_end_date WHERE a.run_id = 3 AND b.run_id = 6)
 SELECT quarter_end_date, count(*)::INT AS ticker_count, round(sum(weight * future_price) / sum(weight * current_price), 5) AS portfolio_growth, round(sum(future_price) / sum(current_price), 5) AS benchmark_growth, round(max(weight), 5) AS max_weight, round(1 / sum(weight * weight), 4) AS effective_holdings FROM e GROUP BY 1""")
 def ensemble(spark, sf):
-    s = portfolio.sample_summary(portfolio.ensemble(S.weights(spark, sf), 3, 6, check=False))
+    s = portfolio.sample_summary(portfolio.ensemble(S.weights(spark, sf), 3, 6))  # counts that the runs match one to one
     return s.select("quarter_end_date", "ticker_count", *[F.round(c, 5).alias(c) for c in ("portfolio_growth", "benchmark_growth", "max_weight")], F.round("effective_holdings", 4).alias("effective_holdings"))
 
 
@@ -636,8 +634,9 @@ def outer_series(spark, sf):
     return indicators.outer_join_series({"a": m.where("name = 'Order Value' AND month(date) <= 8"), "b": m.where("name = 'order-count' AND month(date) >= 5")})
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}, {b}::DOUBLE, {c}::DOUBLE)" for k, (a, _, b, c, _) in enumerate(sorted(S.RUNS, key=lambda x: (x[2], x[3], x[0])), 1)) + ") v(place, run_id, risk_penalty, concentration_penalty)")
+@query("""WITH runs AS (SELECT n_nationkey AS run_id, round((n_regionkey * 0.05)::DOUBLE, 2) AS risk_penalty, round(((n_nationkey % 3) * 0.1)::DOUBLE, 1) AS concentration_penalty FROM nation)
+SELECT row_number() OVER (ORDER BY risk_penalty, concentration_penalty, run_id)::INT AS place, run_id, risk_penalty, concentration_penalty FROM runs""")
 def sweep_index(spark, sf):
-    order = Window.orderBy("risk_penalty", "concentration_penalty", "run_id")
-    used = portfolio.sweep_index(S.weights(spark, sf))
+    order = Window.orderBy("risk_penalty", "concentration_penalty", "run_id")  # a row for each run
+    used = portfolio.sweep_index(S.sweep(spark, sf).unionByName(S.sweep(spark, sf)))
     return used.select(F.row_number().over(order).alias("place"), "run_id", "risk_penalty", "concentration_penalty")

@@ -74,6 +74,19 @@ SQL_STORIES = f"""stories AS (SELECT l_suppkey::VARCHAR AS ticker, l_shipdate::D
   l_linestatus, l_tax, l_discount, {SQL_TAG.format("l_shipdate")} AS time_range, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem)"""
 
 
+def news(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
+    """Payloads (window, feed) by user: an article for each event, which mentions two tickers. With ``gaps``, every 11th article has no time and every 7th names no ticker first."""
+    e = read(spark, sf_dir, "events")
+    text = lambda n: F.lit("x").alias(n)
+    first = F.when(F.lit(gaps) & (F.col("event_id") % 7 == 0), "").otherwise(F.col("user_id").cast("string"))
+    mention = lambda t, k: F.struct(t.alias("ticker"), F.lit("0.5").alias("relevance_score"), F.round(F.col("value") / (k + 2), 4).cast("string").alias("ticker_sentiment_score"), F.lit("Neutral").alias("ticker_sentiment_label"))
+    mentions = F.array(mention(first, 0)) if gaps else F.array(mention(first, 0), mention((F.col("user_id") + 1).cast("string"), 1))
+    at = F.when(~F.lit(gaps) | (F.col("event_id") % 11 != 0), F.date_format("ts", "yyyyMMdd'T'HHmmss"))
+    window = F.pmod("user_id", F.lit(5)).cast("string")
+    article = F.struct(text("title"), text("summary"), window.alias("source"), text("source_domain"), text("category_within_source"), F.concat(F.lit("first-" if gaps else ""), F.col("event_id").cast("string")).alias("url"), at.alias("time_published"), F.col("value").cast("string").alias("overall_sentiment_score"), text("overall_sentiment_label"), F.array(F.lit("a")).alias("authors"), F.array(F.struct(F.lit("t").alias("topic"), F.lit("0.1").alias("relevance_score"))).alias("topics"), text("banner_image"), mentions.alias("ticker_sentiment"))
+    return e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.any_value(window).alias("window"), F.collect_list(article).alias("feed"))
+
+
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly series (name, date, value) of the orders."""
     months = read(spark, sf_dir, "orders").groupBy(F.to_date(F.trunc("o_orderdate", "month")).alias("date")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"), F.count("*").cast("double").alias("n"))
@@ -105,6 +118,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_PANEL = f"""panel AS (SELECT ticker, quarter_end_date, f1, CASE WHEN (month(quarter_end_date) + year(quarter_end_date) + ticker::INT) % 7 = 0 THEN NULL ELSE f2 END AS f2, f3, {SQL_TAG.format("quarter_end_date")} AS time_range
   FROM (SELECT l_suppkey::VARCHAR AS ticker, {SQL_QE.format("l_shipdate")} AS quarter_end_date, round(avg(l_extendedprice), 8) AS f1, round(sum(l_quantity), 3) AS f2, round(avg(l_discount), 9) AS f3 FROM lineitem GROUP BY 1, 2))"""
 
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for each nation, with penalties from its keys."""
+    n = read(spark, sf_dir, "nation")
+    penalties = [F.round(F.col("n_regionkey") * 0.05, 2).alias("risk_penalty"), F.round((F.col("n_nationkey") % 3) * 0.1, 1).alias("concentration_penalty")]
+    family = F.when(F.col("n_nationkey") % 2 == 0, "attention").otherwise("bilstm").alias("model_family")
+    return n.select(F.col("n_nationkey").alias("run_id"), *penalties, family, F.concat(F.lit("models."), "n_name").alias("model_target"))
+
+
 #: Runs of the stand-in sweep: id, family, risk and concentration penalty, weight of the score.
 RUNS = [(1, "attention", 0.0, 0.0, 1.0), (2, "attention", 0.1, 0.0, -1.0), (3, "attention", 0.0, 0.1, 2.0), (4, "bilstm", 0.0, 0.0, 0.5), (5, "bilstm", 0.1, 0.1, -0.5), (6, "bilstm", 0.1, 0.0, 3.0)]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,22 +116,26 @@ def split_file(spark: SparkSession, path: str, split: str, freq: str = "quarterl
     return df.withColumns({date: period_end(date, freq), "split": F.lit(split)}).withColumn("time_range", period_tag(date, freq))
 
 
+#: The name of a landed {name}.json, a file or a folder of part files (a partition's folder, too).
+_LANDED = r"/(?:[^/=]*=)?([^/=]+)\.json(?:/[^/]*)?$"
+
+
 def news(spark: SparkSession, path: str) -> DataFrame:
     """Landed news payloads, one JSON document a file; any number of request windows."""
     return spark.read.schema(schemas.FEED).option("multiLine", True).json(path)
 
 
 def indicator_payloads(spark: SparkSession, path: str, field: str = "value") -> DataFrame:
-    """Landed [{date, value}] payloads, one file an indicator -> name (of the file), date, value."""
+    """Landed [{date, value}] payloads, one {name}.json (a file, or a folder of part files) an indicator -> name, date, value."""
     df = spark.read.schema(f"date string, `{field}` string").option("multiLine", True).json(path)
-    name = F.regexp_extract("_metadata.file_name", r"^(.*?)\.json$", 1)
+    name = F.regexp_extract("_metadata.file_path", _LANDED, 1)
     return df.select(name.alias("name"), "date", F.col(f"`{field}`").alias("value"))
 
 
 def technical_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Landed technical payloads under {ticker}__{name}__{period}__{timeframe}.json -> those keys, date, and a map of all values."""
     lines = spark.read.option("wholetext", True).text(path)
-    part = F.split(F.regexp_extract("_metadata.file_name", r"^(.*?)\.json$", 1), "__")
+    part = F.split(F.regexp_extract("_metadata.file_path", _LANDED, 1), "__")
     rows = lines.select(part[0].alias("ticker"), part[1].alias("name"), part[2].try_cast("int").alias("period"), part[3].alias("timeframe"), F.explode(F.from_json("value", "array<map<string,string>>")).alias("m"))
     numbers = F.map_filter(F.transform_values(F.map_filter("m", lambda k, _: k != "date"), lambda _, v: to_double(v)), lambda _, v: v.isNotNull())
     return rows.select("ticker", "name", "period", "timeframe", F.try_element_at("m", F.lit("date")).alias("date"), numbers.alias("values"))
@@ -154,10 +160,15 @@ def available_scopes(spark: SparkSession, folder: str, table: str, scopes: list[
 def sweep_runs(spark: SparkSession, root: str, file: str = "run.json") -> DataFrame:
     """The numbered run folders of a sweep, with their JSON; run_id is the folder."""
     df = spark.read.option("multiLine", True).json(f"{root}/*/{file}")
-    run = F.regexp_extract("_metadata.file_path", r"/(\d+)/[^/]+$", 1)
+    run = F.regexp_extract("_metadata.file_path", r"/(\d+)/" + re.escape(file) + "(?:/[^/]*)?$", 1)
     return df.withColumn("run_id", run.try_cast("int")).where("run_id is not null")
 
 
+def sweep_artifacts(spark: SparkSession, root: str, config: str = "config.json", metrics: str = "metrics.json") -> DataFrame:
+    """The numbered run folders of a sweep: the config and the metrics of each run, joined by run_id; NULL metrics for runs that have none."""
+    return sweep_runs(spark, root, config).join(sweep_runs(spark, root, metrics), "run_id", "left")
+
+
 def story_template(spark: SparkSession) -> DataFrame:
     """An empty story table: what a source that has nothing gives."""
     return spark.createDataFrame([], ", ".join(f"{c} {'double' if c.endswith('_score') else 'string'}" for c in STORY_COLUMNS))

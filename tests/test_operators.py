@@ -64,7 +64,8 @@ def test_windows_like_pandas(spark):
     s = pd.Series(v, dtype=float)
     z = (s - s.rolling(3, 1).mean()) / s.rolling(3, 1).std()
     share = s.expanding(1).apply(lambda w: (w < w.iloc[-1]).sum() / len(w))
-    got = df.select("t", windows.rolling_zscore("v", "k", "t", 3).alias("z"), windows.historical_percentile("v", "k", "t").alias("p")).orderBy("t").collect()
+    df = df.withColumn("z", windows.rolling_zscore("v", "k", "t", 3)).withColumn("p", F.col("v"))
+    got = windows.historical_percentiles(df, ["p"], "k", "t").orderBy("t").collect()
     for r, a, b in zip(got, z, share, strict=True):
         assert (r.z is None) == math.isnan(a) and (r.z is None or abs(r.z - a) < 1e-12)
         assert (r.p is None) == math.isnan(b) and (r.p is None or abs(r.p - b) < 1e-12)

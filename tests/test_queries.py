@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from panelspark.plans.queries import QUERIES, SQL
+from panelspark.plans.registry import QUERIES, SQL
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
