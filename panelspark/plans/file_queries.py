@@ -35,14 +35,14 @@ def _landed_statements(spark, sf):
     return where
 
 
-@query(f"""WITH {S.SQL_PRICES}, {S.SQL_STATEMENTS} SELECT i.ticker, i.report_date, round(i.rev, 4) AS rev, round(i.ni, 4) AS ni, round(b.assets, 4) AS assets, round(c.op_cash, 4) AS op_cash, s.s_name AS company, p.n AS price_rows
+@query(f"""WITH {S.SQL_PRICES}, {S.SQL_STATEMENTS} SELECT i.ticker, i.report_date, i.rev, i.ni, b.assets, c.op_cash, s.s_name AS company, p.n AS price_rows
 FROM income i JOIN balance b USING (ticker, report_date) LEFT JOIN cashflow c USING (ticker, report_date) LEFT JOIN supplier s ON s.s_suppkey::VARCHAR = i.ticker LEFT JOIN (SELECT ticker, count(*) AS n FROM prices GROUP BY 1) p USING (ticker)""")
 def landed_statements(spark, sf):
     t = readers.statements(spark, _landed_statements(spark, sf))
     filed = statements.align_statements(t["income"], t["balance"], t["cashflow"])
     per = t["prices"].groupBy("ticker").agg(F.count("*").alias("price_rows"))
     out = filed.join(t["companies"].select(F.col("Ticker").alias("ticker"), F.col("Company Name").alias("company")), "ticker", "left").join(per, "ticker", "left")
-    return rounded(out.select("ticker", "report_date", "rev", "ni", "assets", "op_cash", "company", "price_rows"), 4)
+    return out.select("ticker", "report_date", "rev", "ni", "assets", "op_cash", "company", "price_rows")
 
 
 @query(f"WITH {S.SQL_PRICES} SELECT ticker, {S.SQL_TAG.format('date')} AS time_range, max(date) AS quarter_end_date, round(avg(price), 7) AS price, round(avg(sqrt(price)), 7) AS root FROM prices GROUP BY 1, 2")
@@ -113,12 +113,11 @@ def landed_sweep(spark, sf):
     """Configs and metrics of a sweep's runs in numbered folders; every fifth run has no metrics, and a folder that isn't a run's is passed by."""
     root = fresh_folder(spark, "sweep")
     runs = S.sweep(spark, sf).join(S.read(spark, sf, "nation").select(F.col("n_nationkey").alias("run_id"), F.length("n_name").cast("double").alias("val_loss")), "run_id")
-    for (k,) in sorted(runs.select("run_id").collect()):  # a sweep has few runs
-        one = runs.where(F.col("run_id") == k)
-        one.select("risk_penalty", "model_family").write.json(f"{root}/{k}/config.json")
-        if k % 5:
-            one.select("val_loss").write.json(f"{root}/{k}/metrics.json")
-    runs.select("risk_penalty").limit(1).write.json(f"{root}/notes/config.json")
+    config = runs.select("run_id", F.lit("config.json").alias("file"), F.to_json(F.struct("risk_penalty", "model_family")).alias("value"))
+    metrics = runs.where("run_id % 5 <> 0").select("run_id", F.lit("metrics.json").alias("file"), F.to_json(F.struct("val_loss")).alias("value"))
+    notes = config.limit(1).withColumn("run_id", F.lit("notes"))
+    both = config.unionByName(metrics).withColumn("run_id", F.col("run_id").cast("string")).unionByName(notes)
+    both.repartition(1).write.partitionBy("run_id", "file").text(root)
     return readers.sweep_artifacts(spark, root).select(F.col("run_id").cast("long").alias("run_id"), "risk_penalty", "val_loss")
 
 
@@ -128,6 +127,13 @@ ranked AS (SELECT run_id, row_number() OVER (ORDER BY alpha DESC, run_id)::INT A
 """
 
 
+def _landed_weights(spark, sf):
+    """The weight rows as a table of their own, so that what reads them often doesn't make them anew."""
+    where = fresh_folder(spark, "weights")
+    sinks.table(_scoped(spark, sf), where)
+    return spark.read.parquet(where)
+
+
 def _scoped(spark, sf):
     w = S.weights(spark, sf).withColumnRenamed("source_split", "split").drop("evaluation_scope")
     both = samples.scope_rows(w, "all").unionByName(samples.scope_rows(w, "val"))
@@ -138,7 +144,7 @@ def _scoped(spark, sf):
 def saved_evaluation(spark, sf):
     """The whole evaluation of all runs, saved under its fixed names by scope; the top strategies are read back."""
     root = fresh_folder(spark, "evaluation")
-    tables = jobs.evaluate(_scoped(spark, sf))
+    tables = jobs.evaluate(_landed_weights(spark, sf))
     sinks.evaluation(tables, root)
     top = spark.read.parquet(f"{root}/top_strategies")
     return top.select("evaluation_scope", "run_id", "strategy_rank", "model_family", "sample_count", F.round("mean_growth_alpha", 6).alias("alpha"), F.round(F.log("cumulative_growth"), 6).alias("log_growth"))
@@ -148,7 +154,7 @@ def saved_evaluation(spark, sf):
 UNION ALL SELECT evaluation_scope, run_id, (date_trunc('quarter', min(quarter_end_date)) - INTERVAL 1 DAY)::DATE, 'base', 0.0 FROM scoped GROUP BY 1, 2)
 SELECT curve.*, strategy_rank FROM curve JOIN ranked USING (run_id) WHERE strategy_rank <= 5""")
 def evaluation_curves(spark, sf):
-    curves = jobs.evaluate(_scoped(spark, sf))
+    curves = jobs.evaluate(_landed_weights(spark, sf))
     top = curves["top_strategies"].select("run_id", "strategy_label", "strategy_rank").distinct()
     return curves["strategy_nav"].join(top, ["run_id", "strategy_label"]).select("evaluation_scope", "run_id", "quarter_end_date", "source_split", F.round(F.log("nav"), 6).alias("log_nav"), "strategy_rank")
 
@@ -156,7 +162,7 @@ def evaluation_curves(spark, sf):
 def _saved_weights(spark, sf):
     folder = fresh_folder(spark, "saved")
     names = schemas.EVALUATION.replace(",", "").split()[::2]
-    rows = portfolio.weight_rows(_scoped(spark, sf)).select(*names)
+    rows = portfolio.weight_rows(_landed_weights(spark, sf)).select(*names)
     for scope in ("val", "all"):
         write_csv(rows.where(F.col("evaluation_scope") == scope), f"{folder}/{scope}/weights.csv")
     return folder

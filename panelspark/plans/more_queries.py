@@ -35,7 +35,7 @@ def preprocessed_with_all(spark, sf):
     return rows.select("ticker", "quarter_end_date", "split", *[F.round(names.get(c, c), 6).alias(c) for c in _NUMBERS])
 
 
-@query(_JOINED + ", t AS (SELECT *, sum(f1) OVER w AS a, sum(f3) OVER w AS b, count(*) OVER w AS length FROM j WINDOW w AS (PARTITION BY ticker ORDER BY quarter_end_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) SELECT split, ticker, quarter_end_date, round(a + b, 3) AS total, round(p1, 3) AS p1, round(p2, 3) AS p2 FROM t WHERE window_ready AND horizon_target_ready AND length = 4 AND p1 IS NOT NULL AND p2 IS NOT NULL")
+@query(_JOINED + ", t AS (SELECT *, sum(f1) OVER w AS a, sum(f3) OVER w AS b, count(*) OVER w AS length FROM j WINDOW w AS (PARTITION BY ticker ORDER BY quarter_end_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) SELECT split, ticker, quarter_end_date, round(a + b, 5) AS total, round(p1, 7) AS p1, round(p2, 7) AS p2 FROM t WHERE window_ready AND horizon_target_ready AND length = 4 AND p1 IS NOT NULL AND p2 IS NOT NULL")
 def sequence_dataset(spark, sf):
     """The sequence job over the panel, with an explicit list of features."""
     got = jobs.sequence_dataset(_state(spark, sf), S.prices(spark, sf), [1, 2], 4, features=["f1", "f3"])
@@ -43,9 +43,9 @@ def sequence_dataset(spark, sf):
     # features and targets are 32-bit in samples: they are compared to what 32 bits hold of such sums
     exact = samples.with_sequences(_state(spark, sf), ["f1", "f3"], 4).select("ticker", "quarter_end_date", F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda s, x: s + x).alias("t"))
     prices = targets.attach_targets(targets.period_prices(S.prices(spark, sf)), [1, 2]).select("ticker", "quarter_end_date", "future_price_t1", "future_price_t2")
-    near = lambda a, b: F.when(F.abs(a - b) <= 1e-6 * F.abs(b), F.round(b, 3))
+    near = lambda a, b, digits=7: F.when(F.abs(a - b) <= 1e-6 * F.abs(b), F.round(b, digits))
     both = got.join(exact, ["ticker", "quarter_end_date"]).join(prices, ["ticker", "quarter_end_date"])
-    return both.select("split", "ticker", "quarter_end_date", near(total, F.col("t")).alias("total"), *[near(F.col("price_targets")[k], F.col(f"future_price_t{k + 1}")).alias(f"p{k + 1}") for k in (0, 1)])
+    return both.select("split", "ticker", "quarter_end_date", near(total, F.col("t"), 5).alias("total"), *[near(F.col("price_targets")[k], F.col(f"future_price_t{k + 1}")).alias(f"p{k + 1}") for k in (0, 1)])
 
 
 @query(_MEMBERS + " SELECT split, quarter_end_date, count(*)::INT AS ticker_count, round(sum(p1 / quarter_price) / count(*), 6) AS mean_growth FROM m GROUP BY 1, 2")

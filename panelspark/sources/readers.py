@@ -159,8 +159,8 @@ def available_scopes(spark: SparkSession, folder: str, table: str, scopes: list[
 
 def sweep_runs(spark: SparkSession, root: str, file: str = "run.json") -> DataFrame:
     """The numbered run folders of a sweep, with their JSON; run_id is the folder."""
-    df = spark.read.option("multiLine", True).json(f"{root}/*/{file}")
-    run = F.regexp_extract("_metadata.file_path", r"/(\d+)/" + re.escape(file) + "(?:/[^/]*)?$", 1)
+    df = spark.read.option("multiLine", True).json(f"{root}/*/*{file}")
+    run = F.regexp_extract("_metadata.file_path", r"/(?:[^/=]*=)?(\d+)/(?:[^/=]*=)?" + re.escape(file) + "(?:/[^/]*)?$", 1)
     return df.withColumn("run_id", run.try_cast("int")).where("run_id is not null")
 
 
