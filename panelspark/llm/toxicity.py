@@ -19,6 +19,7 @@ labels); repeated rows give repeated results; a null language has the common thr
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import table
-from panelspark.llm.labelled import held_out, sample
+from panelspark.llm.labelled import held_out, sample_rows
 from panelspark.llm.text import ALNUM, U64, Words, words
 
 MAX_DOCS, MAX_BYTES = 5000, 16_000_000
@@ -218,8 +219,16 @@ def fit(rows: list[tuple[str | None, str | None, int]], epochs: int = EPOCHS, se
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Net:
-    rows = sample(docs, labels, label, [lang], max_docs, max_bytes, doc_id, text)
-    return fit([(r[text], r[lang], r["_y"]) for r in rows])
+    """Fitted in one task over the bounded sample; only the fitted network comes to the driver."""
+    rows = sample_rows(docs, labels, label, [lang], max_docs, max_bytes, doc_id, text)
+    rows = rows.select(F.col("_place"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.col("_y"))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1:] for r in got]))], pa.binary())], names=["net"])
+
+    fitted = rows.repartition(1).mapInArrow(train, "net binary").collect()
+    return pickle.loads(fitted[0].net) if fitted else fit([])
 
 
 def toxicity(spark: SparkSession, text: Column, lang: Column, net: Net) -> Column:

@@ -321,3 +321,54 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+
+
+def naive_score(net, ids):
+    """The network word by word."""
+    pooled = np.full(len(net.bias), -np.inf)
+    at = 0
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            for i in range(len(ids)):
+                total = sum(float(net.filters[:, at + j * toxicity.FILTERS + f] @ sum(net.table[x] for x in ids[i + j])) for j in range(width) if i + j < len(ids))
+                pooled[k * toxicity.FILTERS + f] = max(pooled[k * toxicity.FILTERS + f], total)
+        at += width * toxicity.FILTERS
+    pooled = pooled if len(ids) else np.zeros(len(net.bias))
+    z = float(np.maximum(pooled + net.bias, 0) @ net.out + net.out_bias)
+    return 1 / (1 + np.exp(-(net.scale * z + net.offset)))
+
+
+def test_convolution_by_a_naive_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEP", 7)  # texts go through in many steps
+    r = rng(13)
+    texts = ["", "one", sentence(r, 2), sentence(r, 40), "", sentence(r, 7), sentence(r, 8)]
+    net = toxicity.Net.new(np.random.Generator(np.random.PCG64(4)))
+    net.scale, net.offset = 1.5, -0.25
+    ((_, w),) = toxicity.words(toxicity.pa.array(texts), toxicity.ALNUM)
+    ids = toxicity.word_ids(w)
+    got = net.scores(ids, w.first)
+    want = [naive_score(net, ids[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_held_out_labels_change_no_score(spark):
+    df, labels = labelled(spark, 200)
+    other = labels.withColumn("toxic", F.when(held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    score = lambda given: [x[0] for x in df.select("doc_id", toxicity.toxicity(spark, df["text"], df["lang"], toxicity.toxicity_model(df, given))["score"].alias("s")).orderBy("doc_id").select("s").collect()]
+    assert score(labels) == score(other)
+    assert toxicity.drop_toxic(df.limit(0), labels).count() == 0
+
+
+def test_co_training_exchanges_and_gains():
+    """Few labels and two views that each know the class only in part: rounds hand labels over, and beat the first round."""
+    r = np.random.Generator(np.random.PCG64(2))
+    y = (r.random(3000) < 0.5).astype(int)
+    view = lambda: (np.where(r.random((3000, 30)) < 0.3, y[:, None], r.integers(0, 2, (3000, 30)))).astype(np.float32)
+    a, b = view(), view()
+    known, pool, new = slice(0, 60), slice(60, 1500), slice(1500, 3000)
+    right = {}
+    for rounds in (0, 4):
+        model = quality.co_train((a[known], b[known]), y[known], (a[pool], b[pool]), rounds=rounds)
+        right[rounds] = np.mean((model.score(a[new], b[new]) >= 0.5) == y[new])
+        assert (min(model.exchanged) > 100) == (rounds > 0)
+    assert right[4] > right[0]
