@@ -37,6 +37,8 @@ from panelspark.llm.text import NOT_SPACE, U64, Words, mix, pieces
 MAX_DOCS, POOL, MAX_BYTES = 6000, 3000, 25_000_000
 ROUNDS, EXCHANGE, SURE = 4, 0.05, 0.95
 BUCKETS = 512
+#: Columns of view one before its hashed word shapes. All are shares or means: the size itself is a column of view two only.
+MEASURES = 11
 META_BUCKETS = 64
 
 
@@ -45,7 +47,7 @@ def content_features(w: Words, source_bytes: np.ndarray) -> np.ndarray:
     rows = len(w.first) - 1
     size = np.diff(w.first)
     row = np.repeat(np.arange(rows), size)
-    out = np.zeros((rows, 12 + 2 * BUCKETS), np.float32)
+    out = np.zeros((rows, MEASURES + 2 * BUCKETS), np.float32)
     if not len(w.value):
         return out
     n = np.maximum(size, 1)
@@ -72,12 +74,11 @@ def content_features(w: Words, source_bytes: np.ndarray) -> np.ndarray:
     out[:, 8] = per((last == 46) | (last == 33) | (last == 63))
     out[:, 9] = per((first >= 65) & (first <= 90))
     out[:, 10] = per(last >= 128)
-    out[:, 11] = np.log1p(size) / 10
     ends = w.raw[w.end - 1].astype(U64) * U64(256) + w.raw[np.maximum(w.end - 2, w.start)]
     begins = first.astype(U64) * U64(64) + np.minimum(length, 63).astype(U64)
     for k, x in enumerate((ends, begins)):
         at = row * BUCKETS + (mix(x + U64(k << 32)) >> U64(55)).astype(np.int64)
-        out[:, 12 + k * BUCKETS : 12 + (k + 1) * BUCKETS] = np.sqrt(np.bincount(at, minlength=rows * BUCKETS).reshape(rows, BUCKETS) / n[:, None])
+        out[:, MEASURES + k * BUCKETS : MEASURES + (k + 1) * BUCKETS] = np.sqrt(np.bincount(at, minlength=rows * BUCKETS).reshape(rows, BUCKETS) / n[:, None])
     return out
 
 
@@ -203,7 +204,7 @@ def _content(texts: list[str | None]) -> np.ndarray:
     out = []
     for _, w, raw in with_raw(pa.array(texts, pa.string())):
         out.append(content_features(w, raw))
-    return np.concatenate(out) if out else np.zeros((0, 12 + 2 * BUCKETS), np.float32)
+    return np.concatenate(out) if out else np.zeros((0, MEASURES + 2 * BUCKETS), np.float32)
 
 
 def with_raw(col: pa.Array):
