@@ -8,28 +8,24 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import cut
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head())
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> (id, root): every vertex that has an edge to another one, with the smallest vertex it reaches.
 
     Self-loops and repeated edges don't matter; null ends are left out; no edges, no rows. A round shuffles the edges
-    by vertex; minima are pre-aggregated, so a vertex of any degree sends one row a task.
+    by vertex; minima are pre-aggregated, so a vertex of any degree sends one row a task. A round never adds edges, and
+    what it repeats falls together in the next one, so nothing is made distinct on the way.
+
+    Done are stars: no vertex with a smaller neighbour has another one. The aggregate that tells so is the one that the
+    next round starts from, or the result.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = cut(edges)
-    before = _mark(edges)
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        ends = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")))
+        if not ends.agg(F.bool_or(F.expr("m < u and top > m"))).head()[0]:
+            return ends.select(F.col("u").alias("id"), F.least("u", "m").alias("root"))
+        low = ends.select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
-        now = _mark(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.union(low.select("u", F.col("m").alias("v"))))

@@ -389,9 +389,9 @@ def confirmed(docs: DataFrame, vertices: DataFrame, likely: DataFrame, width: in
 
     now = large.join(parts, "id").withColumnRenamed("root", "part")
     by_part = now.groupBy("family", "part").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
-    largest = by_part.groupBy("family").agg(F.max(F.struct("k", "part"))["part"].alias("main"), F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("s").alias("s"))
-    out = by_part.join(largest.where("parts > 1").select("family", "main"), "family").where("part <> main").groupBy("family").agg(F.sum("k").alias("out_k"), F.sum("s").alias("out_s"))
-    split = largest.where("parts > 1").join(out, "family").select("family", "main", _dealt(F.col("k"), F.col("s"), block_rows, block_shingles).alias("all_blocks"), _dealt(F.col("out_k"), F.col("out_s"), block_rows, block_shingles).alias("out_blocks"))
+    split = by_part.groupBy("family").agg(F.max(F.struct("k", "part", "s")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("s").alias("s")).where("parts > 1")
+    dealt = lambda rows, shingle_count: _dealt(rows, shingle_count, block_rows, block_shingles)
+    split = split.select("family", F.col("main.part").alias("main"), dealt(F.col("k"), F.col("s")).alias("all_blocks"), dealt(F.col("k") - F.col("main.k"), F.col("s") - F.col("main.s")).alias("out_blocks"))
     split = cut(split.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1))))  # all_blocks is what ``blocks`` was
     open_ = cut(now.withColumn("z", F.pmod(F.xxhash64("id"), "blocks").cast("int")).join(split, ["family", "z"]))
     if not open_.limit(1).count():
