@@ -43,7 +43,7 @@ from panelspark.llm.common import cut, table
 SYMBOL = 20
 SHARD_TURNS = 500_000
 CHUNK = 1 << 16
-TRIES = 32
+TRIES = 256
 GROUP, HEADS = 5, 9
 NOTHING = hashlib.sha256(b"").hexdigest()
 
