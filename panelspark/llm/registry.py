@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, hilbert, line_dedup, mixing, multi_index, near_dups, prefix_trie, quality, token_counts, token_files, toxicity
+from panelspark.llm import decontaminate, hilbert, line_dedup, mixing, multi_index, near_dups, prefix_trie, quality, spelling, token_counts, token_files, toxicity
 
 _MODULES = {
     "op1_mixing": mixing,
@@ -19,6 +19,7 @@ _MODULES = {
     "op8_multi_index": multi_index,
     "op9_decontaminate": decontaminate,
     "op10_near_dups": near_dups,
+    "op11_spelling": spelling,
     "op13_prefix_trie": prefix_trie,
 }
 
