@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, hilbert, line_dedup, mixing, multi_index, near_dups, prefix_trie, quality, spelling, token_counts, token_files, toxicity
+from panelspark.llm import decontaminate, hilbert, line_dedup, mixing, multi_index, near_dups, prefix_trie, quality, sanitise, spelling, token_counts, token_files, toxicity
 
 _MODULES = {
     "op1_mixing": mixing,
@@ -20,6 +20,7 @@ _MODULES = {
     "op9_decontaminate": decontaminate,
     "op10_near_dups": near_dups,
     "op11_spelling": spelling,
+    "op12_sanitise": sanitise,
     "op13_prefix_trie": prefix_trie,
 }
 
