@@ -6,9 +6,11 @@ import re
 import uuid
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+ROWS_A_RUN = 50_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,10 +56,31 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame, name: str, *by: str | Column) -> DataFrame:
-    """df with a column of gapless ranks from 0 in the order ``by``: rows are sorted over ranges, and a row for each range comes to the driver."""
-    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()))
+    """df with a column of gapless ranks from 0 in the order ``by``: rows are sorted over ranges, and a row for each range comes to the driver.
+
+    Rows that are equal in all of ``by`` are dealt over ranges, too, so no number of them lands in one task.
+    """
+    salt = free_name(df, "_salt")
+    ranged = df.withColumn(salt, F.rand(11)).repartitionByRange(*by, salt).sortWithinPartitions(*by).drop(salt)
+    placed = cut(ranged.withColumn(name, F.monotonically_increasing_id()))
     parts = sorted(placed.groupBy(F.shiftright(name, 33).alias("p")).count().collect())
     starts = accumulate((k for _, k in parts), initial=0)
     first = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(parts, starts)], "_p long, _s long")
     own = F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("_p", F.shiftright(name, 33)).join(F.broadcast(first), "_p").withColumn(name, own + F.col("_s")).drop("_p", "_s")
+
+
+def occurrences(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df with a column of gapless numbers from 0 among the rows that are equal in keys (null equals null), in any order.
+
+    Rows are ranked over all keys and dealt to runs of ranks; only keys that go on over the border of a run have their
+    first rank sent, and there are fewer of them than runs. So a key of any number of rows is spread over tasks.
+    """
+    ranked = numbered(df, "_rank", *keys).withColumn("_run", F.expr(f"_rank div {ROWS_A_RUN}"))
+    same = [F.col(k) for k in keys]
+    over = ranked.groupBy("_run", *same).agg(F.min("_rank").alias("_low"), F.max("_rank").alias("_high"))
+    over = over.where(f"_low % {ROWS_A_RUN} = 0 or _high % {ROWS_A_RUN} = {ROWS_A_RUN - 1}").groupBy(*same).agg(F.min("_low").alias("_first"), F.count("*").alias("_runs")).where("_runs > 1")
+    sent = over.select(F.struct(*same).alias("_key"), "_first")
+    found = ranked.withColumn("_own", F.min("_rank").over(Window.partitionBy("_run", *same)))
+    found = found.join(F.broadcast(sent), F.struct(*same).eqNullSafe(F.col("_key")), "left")
+    return found.withColumn(name, F.col("_rank") - F.coalesce("_first", "_own")).drop("_rank", "_run", "_own", "_key", "_first")

@@ -7,11 +7,10 @@ Hilbert curve through the grid; documents ordered by cell are cut into runs, the
 shards. Neighbours on the curve are neighbours in every dimension, so the bounds of a
 shard's columns (``shard_bounds``) let readers skip files on any of them.
 
-A rank over all rows needs no single sort: rows are counted by (cell, bucket of a hash
-of doc_id), the counts are summed cell by cell and then bucket by bucket, and each
-(cell, bucket) numbers its own rows. The grid has a fixed number of cells; the number
-of buckets grows with the rows, so a cell that holds a third of all rows is spread over
-as many tasks as it needs. ``law="rows"`` cuts by number of rows: shard sizes differ by
+A rank over all rows needs no single sort: rows (ids, sizes and checksums) are sorted by
+(cell, doc_id, checksum) over ranges, and a range's ranks follow from the counts of those
+before it. A cell, a null or repeated id, or repeated rows of any number are dealt over as
+many ranges as they need. ``law="rows"`` cuts by number of rows: shard sizes differ by
 one row at most. Only row keys and the distinct languages and sources are shuffled,
 never texts.
 
@@ -29,14 +28,13 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut, free_name, table
+from panelspark.llm.common import cut, free_name, numbered, occurrences, table
 
 SHARDS = 24
 BITS = 4
-ROWS_A_BUCKET = 50_000
 
 
 def curve_index(x: np.ndarray, bits: int) -> np.ndarray:
@@ -105,37 +103,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     low, span = top.low or 0, max(1, (top.high or 0) - (top.low or 0) + 1)
     by_size = F.least(F.lit(cells - 1), F.floor(F.log2(F.col("size").cast("double") / 8) * cells / 20)).cast("int")
     by_id = F.least(F.lit(cells - 1), ((F.coalesce("doc_id", F.lit(low)) - F.lit(low)).cast("double") / span * cells).cast("int"))
-    buckets = max(1, -(-n // ROWS_A_BUCKET))
-    key = F.xxhash64("doc_id", F.lit(5))
-    keyed = rows.select("doc_id", "size", "text_crc32", curve_column(bits, ranks(rows, "lang", bits), ranks(rows, "source", bits), by_size, by_id).alias("cell"), F.pmod(key, F.lit(buckets)).alias("bucket"))
-    keyed = cut(keyed)
-
-    counts = keyed.groupBy("cell", "bucket").agg(F.count("*").alias("k"))
-    by_cell = counts.groupBy("cell").agg(F.sum("k").alias("k"))  # at most 2 ** (4 * bits) rows
-    before_cell = F.coalesce(F.sum("k").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_cell = by_cell.select("cell", before_cell.alias("before_cell"))
-    before_bucket = F.coalesce(F.sum("k").over(Window.partitionBy("cell").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.withColumn("before", before_bucket).join(by_cell, "cell").select("cell", "bucket", (F.col("before") + F.col("before_cell")).alias("start"))
-
-    numbered = keyed.withColumn("own", F.row_number().over(Window.partitionBy("cell", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1)
-    ranked = numbered.join(starts, ["cell", "bucket"]).withColumn("rank", F.col("start") + F.col("own"))
+    keyed = rows.select("doc_id", "size", "text_crc32", curve_column(bits, ranks(rows, "lang", bits), ranks(rows, "source", bits), by_size, by_id).alias("cell"))
+    ranked = numbered(keyed, "rank", "cell", "doc_id", "text_crc32", "size")
     number = F.expr(f"rank * {shards} div {max(n, 1)}")
     begin = F.expr(f"(shard * {max(n, 1)} + {shards - 1}) div {shards}")
     return ranked.withColumn("shard", number.cast("int")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - begin).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs as one column ``row``, with what its row in ``placed`` is found by: rows equal in doc_id and text are numbered."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("c"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("s"), F.struct("*").alias("row"))
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("i", "c", "s").orderBy("c")))
-
-
 def place_rows(docs: DataFrame, placed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row (a struct of the columns of docs), shard and slot of each document; null and repeated ids find theirs, too."""
+    """row (a struct of the columns of docs), shard and slot of each document; null and repeated ids find theirs, too.
+
+    Rows equal in doc_id and text have numbers on both sides, so that each meets one; rows of one key and number are alone.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("c"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("s"), F.struct("*").alias("row"))
     where = placed.select(F.col("doc_id").alias("i2"), F.col("text_crc32").alias("c2"), F.col("size").alias("s2"), "shard", "slot")
-    where = where.withColumn("k2", F.row_number().over(Window.partitionBy("i2", "c2", "s2").orderBy("shard", "slot")))
+    rows, where = occurrences(rows, "k", "i", "c", "s"), occurrences(where, "k2", "i2", "c2", "s2")
     same = F.col("i").eqNullSafe(F.col("i2")) & (F.col("c") == F.col("c2")) & (F.col("s") == F.col("s2")) & (F.col("k") == F.col("k2"))
-    return _keyed(docs, doc_id, text).join(where, same).select("row", "shard", "slot", F.col("s").alias("size"))
+    return rows.join(where, same).select("row", "shard", "slot", F.col("s").alias("size"))
 
 
 def shard_bounds(docs: DataFrame, placed: DataFrame, doc_id: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:

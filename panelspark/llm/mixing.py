@@ -4,22 +4,26 @@ Sources in code point order (null last) weigh WEIGHTS over and over. Together th
 to give SHARE of all words; a source gives at most twice its own, and what that cuts
 off is shared again by weight among the others until none is above.
 
-A source's target is met from below as nearly as its lengths allow:
+A source's target is met from below:
 
 1. whole repeats: as often as the source fits into its target, every document is taken;
 2. the rest is a subset sum over lengths. Documents are counted by exact length. Each
    length first gives its proportional share, then, from long to short, what still
    fits. Then documents are put back, the shortest first, until at least ``SWAPS`` are
-   and there is room for ``CAPACITY`` words and for twice the longest document (or until
-   none is left: then the result is the best there is), and bounded-knapsack dynamic
-   programming over the counts left fills that room. It runs for lengths of any size:
-   where the room is over ``CELLS`` words, it counts in units of as many words as make
-   it fit, lengths rounded up, so it never goes over;
+   and there is room for ``CAPACITY`` words and for twice the longest document, and
+   bounded-knapsack dynamic programming over the counts left fills that room: sums that
+   can be reached are the bits of a number, and halving the counts leads back from the
+   best one. Where that leaves a gap and the rest is at most ``CELLS`` words, dynamic
+   programming runs over the whole rest, so the result is the best there is. Beyond, the
+   gap is what no choice among the documents put back fills. Only where the room itself is
+   over ``CELLS`` words, that is for a document of over 33 million words, it is counted in
+   units of several words, lengths rounded up: never over, and under by less than a unit
+   for each document that fills the room;
 3. of each length, the documents with the smallest seeded hashes are taken.
 
-Counts by (source, length, hash bucket) are pre-aggregated. A hot source or length is
-spread over buckets, whose number grows with the rows; a bucket's quota follows from
-the counts, and each numbers its own rows. Sources are ranked and their targets found
+Rows (ids, sizes and hashes, no texts) are ranked by source, length and hash, in ranges; runs
+of ranks are the buckets by which a source, a length or repeated rows of any number are
+counted and joined with their quotas, so none of them meets in one task. Sources are ranked and their targets found
 in a table, so their number has no bound; a task plans one source from its distinct
 lengths.
 
@@ -32,16 +36,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut, numbered, table
+from panelspark.llm.common import cut, numbered, occurrences, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 CAPACITY = 1 << 15
-CELLS = 1 << 23
+CELLS = 1 << 26
 SWAPS = 16
 ROWS_A_BUCKET = 50_000
 SPACES = r"[^\x20\x09-\x0D]+"
@@ -67,44 +71,54 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     return ranked.select("key", F.when(share_of > F.col("cap"), F.col("cap")).otherwise(share_of).alias("target"))
 
 
+def _reach(adds: list[int], limit: int) -> tuple[int, int]:
+    """The sums up to limit that some of adds give, as the bits of a number, and how many of adds were looked at until limit was among them."""
+    mask, sums, used = (1 << (limit + 1)) - 1, 1, 0
+    for a in adds:
+        sums |= (sums << a) & mask
+        used += 1
+        if sums >> limit:
+            break
+    return sums, used
+
+
+def _bits(x: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(x.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
+
+
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take for the largest sum up to budget: dynamic programming over sums, counts split in powers of two.
 
-    ``step[s]`` is the part whose addition first reached the sum s, so one array leads back from the best sum.
+    The way back from the best sum halves the parts: of both halves' sums one pair adds up to it, and each half goes on with its own.
     """
     take = np.zeros(len(lengths), np.int64)
     if budget <= 0:
         return take
-    step = np.full(budget + 1, -1, np.int32)
-    reach = np.zeros(budget + 1, bool)
-    reach[0] = True
-    parts, top = [], 0
+    parts: list[tuple[int, int, int]] = []
     for k, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
-        if length <= 0:
+        left, part = min(count, budget // length) if length > 0 else 0, 1
+        while left > 0:
+            part = min(part, left)
+            parts.append((part * length, k, part))
+            left, part = left - part, part * 2
+    sums, used = _reach([a for a, _, _ in parts], budget)
+    todo = [(parts[:used], sums.bit_length() - 1)]
+    while todo:
+        some, goal = todo.pop()
+        if not goal:
+            continue
+        if len(some) == 1:
+            take[some[0][1]] += some[0][2]
             continue
-        count, part = min(count, budget // length), 1
-        while count > 0 and not reach[budget]:
-            part = min(part, count)
-            add = part * length
-            if add <= budget:
-                stop = min(budget, top + add)
-                fresh = np.flatnonzero(reach[: stop + 1 - add] & ~reach[add : stop + 1]) + add
-                if len(fresh):
-                    reach[fresh], step[fresh] = True, len(parts)
-                    parts.append((k, part))
-                    top = max(top, int(fresh[-1]))
-            count -= part
-            part *= 2
-    at = top
-    while at:
-        k, part = parts[step[at]]
-        take[k] += part
-        at -= part * int(lengths[k])
+        one, two = some[: len(some) // 2], some[len(some) // 2 :]
+        a, b = (_bits(_reach([x for x, _, _ in half], goal)[0], goal + 1) for half in (one, two))
+        first = int(np.argmax(a & b[::-1]))
+        todo += [(one, first), (two, goal - first)]
     return take
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY, cells: int = CELLS) -> np.ndarray:
-    """How many documents of each length to take, so that their words come nearest to budget from below."""
+    """How many documents of each length to take, so that their words come nearest to budget from below; the best there is if budget is at most ``cells``."""
     order = np.argsort(-lengths, kind="stable")
     size, n = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     total = int((size * n).sum())
@@ -124,6 +138,9 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: i
             left, put = left + back * int(size[k]), put + back
     unit = max(1, -(-left // cells))
     take += knapsack(-(-size[::-1] // unit), (n - take)[::-1], left // unit)[::-1]
+    if int((size * take).sum()) < min(budget, total) and budget <= cells:
+        take = knapsack(size[::-1], n[::-1], budget)[::-1]
+        take[size == 0] = n[size == 0]
     out = np.empty_like(take)
     out[order] = take
     return out
@@ -146,20 +163,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """One row for each document: doc_id, size, source_size, target, taken, source, text_hash."""
     key = F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), "source"))  # null last
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
-    rows = cut(rows.withColumn("key", key).withColumn("hash", F.xxhash64("doc_id", F.lit(seed))))
-    totals = cut(rows.groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("n")))
-    goals = targets(totals.select("key", "total"), weights, share)
-    buckets = max(1, -(-(totals.agg(F.sum("n")).head()[0] or 0) // ROWS_A_BUCKET))
-
-    rows = rows.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
-    counts = rows.groupBy("key", "size", "bucket").agg(F.count("*").alias("k"))
-    plan = counts.groupBy("key", "size").agg(F.sum("k").alias("n")).join(goals, "key").groupBy("key").applyInPandas(_plan(capacity), "key string, size long, rounds long, chosen long, target double, source_size long")
-    before = F.coalesce(F.sum("k").over(Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = F.greatest(F.lit(0), F.least(F.col("k"), F.col("chosen") - F.col("before")))
-    quotas = counts.withColumn("before", before).join(plan, ["key", "size"]).select("key", "size", "bucket", "rounds", quota.alias("quota"), "target", "source_size")
-    own = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("hash", "doc_id", "text_hash"))
-    taken = F.col("size") * (F.col("rounds") + (F.col("own") <= F.col("quota")).cast("long"))
-    return rows.withColumn("own", own).join(quotas, ["key", "size", "bucket"]).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "text_hash")
+    rows = rows.withColumn("key", key).withColumn("hash", F.xxhash64("doc_id", "text_hash", F.lit(seed)))
+    ranked = numbered(rows, "rank", "key", "size", "hash", "doc_id", "text_hash").withColumn("bucket", F.expr(f"rank div {ROWS_A_BUCKET}"))
+    counts = cut(ranked.groupBy("key", "size", "bucket").agg(F.count("*").alias("k"), F.min("rank").alias("low")))
+    totals = counts.groupBy("key").agg(F.sum(F.col("size") * F.col("k")).alias("total"))
+    goals = targets(totals, weights, share)
+
+    by_size = counts.groupBy("key", "size").agg(F.sum("k").alias("n"), F.min("low").alias("first"))
+    plan = by_size.join(goals, "key").groupBy("key").applyInPandas(_plan(capacity), "key string, size long, rounds long, chosen long, target double, source_size long")
+    quotas = counts.select("key", "size", "bucket").join(plan.join(by_size.select("key", "size", "first"), ["key", "size"]), ["key", "size"])
+    taken = F.col("size") * (F.col("rounds") + (F.col("rank") - F.col("first") < F.col("chosen")).cast("long"))
+    return ranked.join(quotas, ["key", "size", "bucket"]).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "text_hash")
 
 
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -172,15 +186,15 @@ def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how
     chosen = mix(docs, doc_id=doc_id, text=text, **how).where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.sum(times).alias("times"), F.count("*").alias("n"))
     chosen = cut(chosen)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.struct("*").alias("row"))
-    joined = rows.join(chosen, ["doc_id", "text_hash"], "left")
-    one = F.col("n").isNull() | (F.col("n") == 1)
-    single = joined.where(one).withColumn("times", F.coalesce("times", F.lit(1)))
+    one = rows.join(chosen.where("n = 1"), ["doc_id", "text_hash"], "left")
     again = chosen.where("n > 1")
-    if again.limit(1).count():
-        own = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("text_hash"))
-        several = rows.join(again, ["doc_id", "text_hash"]).withColumn("own", own)
-        single = single.unionByName(several.withColumn("times", F.expr("times div n") + (F.col("own") <= F.expr("times % n")).cast("long")).drop("own"))
-    return single.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    if not again.isEmpty():
+        one = one.join(again.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti")
+        several = occurrences(rows.join(again, ["doc_id", "text_hash"]), "own", "doc_id", "text_hash")
+        times = F.expr("times div n") + (F.col("own") < F.expr("times % n")).cast("long")
+        one = one.unionByName(several.withColumn("times", times).drop("own"))
+    all_ = one.withColumn("times", F.coalesce("times", F.lit(1)))
+    return all_.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from helpers import rng
 
 from panelspark.llm import prefix_trie
-from tests.llm.helpers import rng
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth int, n double"
 

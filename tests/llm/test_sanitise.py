@@ -6,10 +6,10 @@ import re
 from collections import defaultdict
 
 import pytest
+from helpers import docs, odd_texts, rng
 from pyspark.sql import functions as F
 
 from panelspark.llm import sanitise
-from tests.llm.helpers import docs, odd_texts, rng
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",

@@ -5,9 +5,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from helpers import docs, odd_texts, rng
 
 from panelspark.llm import spelling
-from tests.llm.helpers import docs, odd_texts, rng
 
 
 def near(x, y):

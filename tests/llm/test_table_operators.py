@@ -2,6 +2,7 @@
 
 import itertools
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from helpers import docs, odd_texts, rng, sentence, words
 from pyspark.sql import functions as F
 
-from panelspark.llm import hilbert, mixing, multi_index, quality, toxicity
+from panelspark.llm import common, hilbert, mixing, multi_index, quality, toxicity
 from panelspark.llm.labelled import held_out, sample
 
 SPACE_RE = r"[^\x20\x09-\x0D]+"
@@ -68,6 +69,42 @@ def test_budget_of_long_documents():
         assert (coarse <= n).all() and int(coarse @ size) <= budget
 
 
+def bitset_best(size, n, budget):
+    sums = 1
+    for a, k in zip(size.tolist(), n.tolist(), strict=True):
+        for _ in range(k):
+            sums |= sums << a
+    return (sums & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+
+def test_budget_is_the_best_there_is():
+    assert int(mixing.fit_budget(np.array([5000001, 4000003, 3000007]), np.ones(3, np.int64), 9000004) @ [5000001, 4000003, 3000007]) == 9000004
+    r = rng(31)
+    for low, high, kinds in ((1000, 90_000, 40), (1000, 90_000, 6), (4_000_000, 7_000_000, 5), (1, 300, 80)):
+        for _ in range(12):
+            size = np.array(sorted(r.sample(range(low, high), kinds)))
+            n = np.array([r.randrange(1, 4) for _ in size])
+            budget = r.randrange(low, min(int(n @ size), mixing.CELLS))
+            fit = mixing.fit_budget(size, n, budget)
+            assert (fit <= n).all() and (fit >= 0).all() and int(fit @ size) == bitset_best(size, n, budget)
+
+
+def test_occurrences(spark, monkeypatch):
+    monkeypatch.setattr(common, "ROWS_A_RUN", 7)
+    rows = [("hot", 1)] * 100 + [(None, 2)] * 30 + [(f"k{k}", k % 3) for k in range(40)] + [("hot", 2)] * 3
+    df = spark.createDataFrame(rows, "a string, b long").withColumn("_salt", F.lit(1)).repartition(6)
+    got = common.occurrences(df, "k", "a", "b").collect()
+    assert sorted(((x.a, x.b), x.k) for x in got if x.a) + sorted(((x.a, x.b), x.k) for x in got if not x.a) == sorted((key, k) for key, c in Counter(x for x in rows if x[0]).items() for k in range(c)) + [((None, 2), k) for k in range(30)]
+    spread = df.sparkSession.createDataFrame([(None,)] * 3000, "i long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = common.numbered(spread, "k", "i").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r_["count"] for r_ in counts) < 1500
+    assert common.occurrences(df.limit(0), "k", "a").collect() == []
+
+
 def test_mix(spark):
     r = rng(2)
     texts = [(t or "")[:400] for t in odd_texts()] + [None] + [sentence(r, r.randrange(1, 60)) for _ in range(300)]
@@ -119,9 +156,9 @@ def test_curve():
         assert set(np.abs(np.diff(grid[np.argsort(at)], axis=0)).sum(1)) == {1}
 
 
-@pytest.mark.parametrize("bucket", [50_000, 9])
-def test_shards(spark, monkeypatch, bucket):
-    monkeypatch.setattr(hilbert, "ROWS_A_BUCKET", bucket)
+@pytest.mark.parametrize("run", [50_000, 9])
+def test_shards(spark, monkeypatch, run):
+    monkeypatch.setattr(common, "ROWS_A_RUN", run)
     r = rng(4)
     texts = odd_texts() + [sentence(r, r.randrange(1, 80)) for _ in range(90)] + ["copy"] * 40
     ids = [*range(len(texts) - 2), None, 3]
@@ -320,7 +357,7 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
 
 
 def naive_score(net, ids):
