@@ -2,48 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import clip, quarter_end
+from panelspark.operators.quantiles import exact_quantiles, literal
 from panelspark.operators.windows import forward_fill
+from panelspark.sources.landing import kept
 
 #: Of quantile sketches: the rank error is at most 1 / ACCURACY of the rows.
 ACCURACY = 100_000
 
 
-def fill_medians(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """NULLs become the column's median, 0 where there is none. ``approximate`` takes quantile sketches."""
-    median = (lambda c: F.percentile_approx(c, 0.5, ACCURACY)) if approximate else F.median
-    one = df.agg(*[F.coalesce(median(c), F.lit(0.0)).alias(f"_m_{c}") for c in columns])
-    return df.crossJoin(F.broadcast(one)).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns}).drop(*one.columns)
+def _quantiles(df: DataFrame, columns: list[str], probabilities: list[float], approximate: bool) -> dict[str, list[float | None]]:
+    if not approximate:
+        return exact_quantiles(df, columns, probabilities)
+    found = df.agg(*[F.percentile_approx(c, probabilities, ACCURACY).alias(c) for c in columns]).head()
+    return {c: found[c] or [None] * len(probabilities) for c in columns}
 
 
-def _quartiles(c: str, approximate: bool = False):
-    if approximate:
-        return F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY).alias(f"_q_{c}")
-    return F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}")
+def fill_medians(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
+    """NULLs become the column's median, 0 where there is none. df is kept: exact medians are selected in a few passes over it, ``approximate`` ones are one pass of sketches."""
+    df = kept(df)
+    found = _quantiles(df, columns, [0.5], approximate)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(found[c][0] if found[c][0] is not None else 0.0)) for c in columns})
 
 
-def _scaled(c: str):
-    q = F.col(f"_q_{c}")
-    spread = q[2] - q[0]
-    return (F.col(c) - q[1]) / F.when(spread == 0, 1.0).otherwise(spread)
+def _scaled(c: str, low: Column, middle: Column, high: Column) -> Column:
+    spread = high - low
+    return (F.col(c) - middle) / F.when(spread == 0, 1.0).otherwise(spread)
 
 
 def robust_scale(df: DataFrame, columns: list[str], per_key: list[str] = (), key: str = "ticker", bound: float = 5.0, approximate: bool = False) -> DataFrame:
     """(x - median) / interquartile range, over all rows, or for ``per_key`` columns over the key's rows and kept within the bound; a range of 0 counts as 1.
 
-    ``approximate`` takes quantile sketches for what goes over all rows: an exact percentile holds every distinct value in one task.
+    What goes over all rows is selected exactly in a few passes over the kept df, or by one pass of sketches if ``approximate``.
+    What goes over a key's rows is an aggregate by key.
     """
     everywhere = [c for c in columns if c not in per_key]
+    df = kept(df)
     out = df
     if everywhere:
-        one = df.agg(*[_quartiles(c, approximate) for c in everywhere])
-        out = out.crossJoin(F.broadcast(one)).withColumns({c: _scaled(c) for c in everywhere}).drop(*one.columns)
+        found = _quantiles(df, everywhere, [0.25, 0.5, 0.75], approximate)
+        out = out.withColumns({c: _scaled(c, *[literal(v) for v in found[c]]) for c in everywhere})
     if per_key:
-        own = df.groupBy(key).agg(*[_quartiles(c) for c in per_key])
-        out = out.join(own, key).withColumns({c: clip(_scaled(c), -bound, bound) for c in per_key}).drop(*[f"_q_{c}" for c in per_key])
+        own = df.groupBy(key).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in per_key])
+        out = out.join(own, key).withColumns({c: clip(_scaled(c, *[F.col(f"_q_{c}")[k] for k in range(3)]), -bound, bound) for c in per_key}).drop(*[f"_q_{c}" for c in per_key])
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import feature_columns, period_tag
+from panelspark.operators.quantiles import exact_quantiles
 from panelspark.operators.windows import by, resample_daily
 
 KEYS = ["ticker", "time_range"]
@@ -103,11 +104,14 @@ def annotate_rows(df: DataFrame, sequence_length: int, min_points: int, horizon:
 def fit_medians(df: DataFrame, columns: list[str], split: str = "split", approximate: bool = False) -> DataFrame:
     """One row: medians of the training rows (of all rows if none train), 0 where there is no value.
 
-    ``approximate`` takes quantile sketches: bounded memory for any number of distinct values.
+    df is read in a few passes, so it should be a table or kept: exact medians are selected, ``approximate`` ones are one pass of sketches.
     """
-    median = (lambda c: F.percentile_approx(c, 0.5, 100_000)) if approximate else F.median
-    train = [F.coalesce(median(F.when(F.col(split) == "train", F.col(c))), F.when(F.count_if(F.col(split) == "train") == 0, median(F.col(c))), F.lit(0.0)).alias(c) for c in columns]
-    return df.agg(*train)
+    train = df.where(F.col(split) == "train")
+    rows = df if train.isEmpty() else train
+    if approximate:
+        return rows.agg(*[F.coalesce(F.percentile_approx(c, 0.5, 100_000), F.lit(0.0)).alias(c) for c in columns])
+    found = exact_quantiles(rows, columns, [0.5])
+    return df.sparkSession.range(1).select(*[F.lit(found[c][0] if found[c][0] is not None else 0.0).alias(c) for c in columns])
 
 
 def impute(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:

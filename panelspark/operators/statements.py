@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import scores
 from panelspark.functions.scalar import clip, with_floor
+from panelspark.operators.quantiles import exact_quantiles, literal
 from panelspark.operators.windows import as_of, by, first_per_key, historical_percentiles, history, rolling_zscore, trailing
+from panelspark.sources.landing import kept
 
 # The schema of the fundamental dataset, and which of its columns are summed, averaged, clipped, scored and ranked.
 FLOWS = ["rev", "ni", "gp", "op_inc", "capex", "rnd", "fcf", "div_paid", "repurchase"]
@@ -85,16 +87,18 @@ def ratio_features(trailed: DataFrame, market_cap_min: float = 1e6, key: str = "
 
 
 def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, approximate: bool = False) -> DataFrame:
-    """Values beyond the column's quantiles become the quantiles. The one row of bounds is joined by broadcast.
+    """Values beyond the column's quantiles become the quantiles.
 
-    ``approximate`` takes quantile sketches instead of exact percentiles: bounded memory for any number of distinct values.
+    df is computed once and kept; the exact quantiles are selected in a few passes over it. ``approximate`` takes one pass
+    of quantile sketches instead.
     """
+    df = kept(df)
     if approximate:
-        bounds = [F.percentile_approx(c, [low, high], 100_000).alias(f"_q_{c}") for c in columns]
+        found = df.agg(*[F.percentile_approx(c, [low, high], 100_000).alias(c) for c in columns]).head().asDict()
     else:
-        bounds = [F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_q_{c}") for c in columns]
-    joined = df.crossJoin(F.broadcast(df.agg(*bounds)))
-    return joined.withColumns({c: clip(c, F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]) for c in columns}).drop(*[f"_q_{c}" for c in columns])
+        found = exact_quantiles(df, columns, [low, high])
+    bounds = {c: [literal(v) for v in (found[c] or (None, None))] for c in columns}
+    return df.withColumns({c: clip(c, *bounds[c]) for c in columns})
 
 
 def against_history(df: DataFrame, rows: int = 12, least: int = 1, key: str = "ticker", date: str = "report_date") -> DataFrame:

@@ -11,6 +11,7 @@ from panelspark.operators.indicators import economics_table, technical_table
 from panelspark.operators.panel import PanelConfig
 from panelspark.operators.statements import FundamentalConfig, between_dates, fundamental_dataset
 from panelspark.operators.stories import deduplicate_stories, story_features, story_rows
+from panelspark.sources.landing import kept
 
 STATE = ["ticker_history_index", "window_ready", "horizon_target_ready"]
 
@@ -41,8 +42,8 @@ def clean_counters(tables: dict[str, DataFrame]) -> DataFrame:
 def preprocess(fundamental: DataFrame, story: DataFrame | None, economics: DataFrame | None, technical: DataFrame | None, config: PanelConfig = PanelConfig(), date: str = "quarter_end_date") -> tuple[DataFrame, dict[str, DataFrame]]:
     """Merge, resample, fill, split, impute by training medians, scale by training means and deviations -> panel and the fitted tables.
 
-    The merged panel is persisted: boundaries, medians and scaling each read it once. It is returned with the fitted tables,
-    as ``merged``: unpersist it when the panel is written.
+    The merged panel with its splits is kept in the shared folder: medians, scaling and the result each read it from there. It is
+    returned with the fitted tables, as ``merged``.
     """
     panel.check_ratios(config.train, config.val, config.test)
     merged = panel.merge_panel(fundamental, story, economics, technical)
@@ -52,15 +53,15 @@ def preprocess(fundamental: DataFrame, story: DataFrame | None, economics: DataF
         merged = panel.zero_fill(merged, [c for c in story.columns if c not in panel.KEYS])
     if config.fill_indicators:
         merged = panel.zero_fill(merged, [c for c in merged.columns if c.startswith(("econ_", "tech_"))])
-    merged = merged.persist()
+    merged = kept(merged)
     boundaries = panel.split_boundaries(merged, date, config.train, config.val)
     rows = panel.assign_splits(panel.annotate_rows(merged, config.sequence_length, config.min_points, config.horizon, date=date), boundaries, date)
     features = feature_columns(rows, STATE)
-    rows = rows.withColumns({c: F.col(c).cast("double") for c in features})
+    rows = kept(rows.withColumns({c: F.col(c).cast("double") for c in features}))
     medians = panel.fit_medians(rows, features, approximate=config.approximate_medians)
     filled = panel.impute(rows, medians, features)
     scaling = panel.fit_scaling(filled, features)
-    return panel.standardize(filled, scaling, features), {"boundaries": boundaries, "medians": medians, "scaling": scaling, "merged": merged}
+    return panel.standardize(filled, scaling, features), {"boundaries": boundaries, "medians": medians, "scaling": scaling, "merged": rows}
 
 
 def sequence_dataset(rows: DataFrame, prices: DataFrame, horizons: list[int], length: int, threshold: float = 0.02, freq: str = "quarterly", features: list[str] | None = None) -> DataFrame:

@@ -10,14 +10,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def fresh_folder(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a local master without that setting, a local one."""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a local folder is set under a local master (tests), and on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
-    return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, for what reads it several times."""
+    where = shared_folder(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(where)
+    return df.checkpoint(eager=True)
+
+
+def fresh_folder(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
