@@ -24,9 +24,19 @@ def bad_rows(df: DataFrame, columns: list[str], keys: list[str], n: int = 5) ->
     return df.where(reduce(lambda a, b: a | b, (not_finite(c) for c in columns))).orderBy(*keys).limit(n)
 
 
+# Columns that a merge leaves behind, which no model may see, and the prefix of all such.
+RESERVED = ["quarter_end_date_story", "quarter_end_date_economics", "quarter_end_date_technical"]
+RESERVED_PREFIX = "quarter_end_date_"
+
+
+def reserved_features(features: list[str]) -> list[str]:
+    """The features that are helper columns of a merge."""
+    return sorted(f for f in features if f in RESERVED or f.startswith(RESERVED_PREFIX))
+
+
 def preflight(samples: DataFrame, features: list[str], prices: list[str], length: str = "sequence_length", split: str = "split") -> DataFrame:
-    """(check, passed): features there and none a date helper, training rows there, all finite, prices positive, lengths positive."""
-    schema_ok = bool(features) and not any("date" in f for f in features)
+    """(check, passed): features there and none a helper column of a merge, training rows there, all finite, prices positive, lengths positive."""
+    schema_ok = bool(features) and not reserved_features(features)
     finite = reduce(lambda a, b: a | b, (not_finite(c) for c in [*features, *prices]), F.lit(False))
     checks = [
         ("features", F.lit(schema_ok)),
@@ -39,11 +49,19 @@ def preflight(samples: DataFrame, features: list[str], prices: list[str], length
     return samples.agg(F.array(*parts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def require(report: DataFrame) -> None:
-    """An error that names the failed checks."""
+def require(report: DataFrame, features: list[str] = (), matches: DataFrame | None = None, **said: object) -> None:
+    """An error that names the failed checks and reserved features, and, where no row trains, the training split's row of ``matches`` (as ``target_matches`` gives it) and what else is said."""
     failed = [r.check for r in report.where("not passed").collect()]
-    if failed:
-        raise ValueError(f"failed checks: {failed}")
+    if not failed:
+        return
+    message = f"failed checks: {failed}"
+    if bad := reserved_features(list(features)):
+        message += f"; helper columns among the features: {bad}"
+    if "training_rows" in failed and matches is not None:
+        train = matches.where("split = 'train'").head()
+        facts = {**said, **({f"train_{k}": v for k, v in train.asDict().items() if k != "split"} if train else {})}
+        message += "; targets: " + ", ".join(f"{k}={v}" for k, v in facts.items())
+    raise ValueError(message)
 
 
 def score_report(scores: DataFrame, score: str = "score", valid: str = "valid") -> DataFrame:

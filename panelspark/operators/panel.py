@@ -28,6 +28,12 @@ class PanelConfig:
     approximate_medians: bool = False
 
 
+def valid_ratios(train: str | Column, val: str | Column, test: str | Column) -> Column:
+    """Whether split ratios are non-negative and add up to 1."""
+    a, b, c = (F.col(x) if isinstance(x, str) else x for x in (train, val, test))
+    return (F.least(a, b, c) >= 0) & (F.abs(a + b + c - 1) <= 1e-6)
+
+
 def check_ratios(train: float, val: float, test: float) -> None:
     if min(train, val, test) < 0 or abs(train + val + test - 1) > 1e-6:
         raise ValueError(f"split ratios must be non-negative and add up to 1: {train}, {val}, {test}")

@@ -52,9 +52,9 @@ def sample_summary(rows: DataFrame, sample: list[str] = SAMPLE) -> DataFrame:
     return rows.groupBy(*sample).agg(F.count("*").cast("int").alias("ticker_count"), *[F.any_value(c).alias(c) for c in [*also, *METRICS]])
 
 
-def run_summary(samples: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """One row for each run: samples, six means, compounded growth of portfolio and benchmark, their difference, label; runs without samples get a reason."""
-    out = samples.groupBy("run_id", *RUN).agg(
+def run_summary(samples: DataFrame, runs: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
+    """One row for each run (and each value of the columns ``by``): samples, six means, compounded growth of portfolio and benchmark, their difference, label; runs without samples get a reason."""
+    out = samples.groupBy("run_id", *RUN, *by).agg(
         F.count("*").alias("sample_count"), *[F.avg(c).alias(f"mean_{c}") for c in METRICS], F.avg("ticker_count").alias("mean_ticker_count"),
         F.product("portfolio_growth").alias("cumulative_growth"), F.product("benchmark_growth").alias("benchmark_cumulative_growth"),
     )
@@ -121,20 +121,41 @@ def heatmap(summary: DataFrame, value: str, penalties: list[float]) -> DataFrame
     return wide.select("model_family", "risk_penalty", *[F.col(f"`{p}`").alias(f"conc_{str(p).replace('.', '_')}") for p in penalties])
 
 
-def ensemble(rows: DataFrame, one: str | int, other: str | int, label: str = "ensemble", keys: list[str] = ("evaluation_scope", "source_split", "sample_key", "time_range", "quarter_end_date", "future_quarter_end_date", "ticker"), check: bool = True) -> DataFrame:
+#: What a weight row of one run has in common with that of another.
+PAIR = ["evaluation_scope", "source_split", "sample_key", "time_range", "quarter_end_date", "future_quarter_end_date", "ticker"]
+
+
+def paired(rows: DataFrame, one: str | int, other: str | int, keys: list[str] = PAIR) -> DataFrame:
+    """One row for each key that either run has: how many rows each has of it (n1, n2), their weights (w1, w2) and the prices. One shuffle, by sample."""
+    own = lambda run, c: F.max(F.when(F.col("run_id") == run, F.col(c)))
+    both = rows.where(F.col("run_id").isin(one, other)).repartition(*[k for k in keys if k != "ticker"])
+    return both.groupBy(*keys).agg(F.count_if(F.col("run_id") == one).alias("n1"), F.count_if(F.col("run_id") == other).alias("n2"), own(one, "weight").alias("w1"), own(other, "weight").alias("w2"), *[F.coalesce(own(one, c), own(other, c)).alias(c) for c in ("current_price", "future_price")])
+
+
+def pair_report(rows: DataFrame, one: str | int, other: str | int, keys: list[str] = PAIR) -> DataFrame:
+    """One row: how far the rows of two runs match: matched keys, keys of one run only, and keys that come several times."""
+    n1, n2 = F.col("n1"), F.col("n2")
+    return paired(rows, one, other, keys).agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("rows_one"), F.coalesce(F.sum("n2"), F.lit(0)).alias("rows_other"), F.count_if((n1 == 1) & (n2 == 1)).alias("matched"), F.count_if(n2 == 0).alias("only_one"), F.count_if(n1 == 0).alias("only_other"), F.count_if((n1 > 1) | (n2 > 1)).alias("repeated"))
+
+
+def ensemble(rows: DataFrame, one: str | int, other: str | int, label: str = "ensemble", keys: list[str] = PAIR, check: bool = True) -> DataFrame:
     """Half the weights of one run and half of the other, renormalized, with the metrics of the blend.
 
-    Both runs must have the same rows, one for each key: ``check`` counts that first.
+    Both runs must have the same rows, one for each key. ``check`` asserts that on the aggregate that pairs them, in the same
+    pass: reading the result fails with the first key that doesn't match (``pair_report`` counts them all). Without it,
+    keys of one run only are left out.
     """
-    keys = list(keys)
-    a, b = (rows.where(F.col("run_id") == x).select(*keys, F.col("weight").alias(n), *(["current_price", "future_price"] if n == "w1" else [])) for x, n in ((one, "w1"), (other, "w2")))
-    both = a.join(b, keys)
+    both = paired(rows, one, other, list(keys))
+    fits = (F.col("n1") == 1) & (F.col("n2") == 1)
+    weight = (F.col("w1") + F.col("w2")) / 2
     if check:
-        n = [df.count() for df in (a, b, both, a.select(keys).distinct(), b.select(keys).distinct())]
-        if len(set(n)) != 1:
-            raise ValueError(f"the runs' rows don't match one to one: rows {n[0]} and {n[1]}, joined {n[2]}, distinct {n[3]} and {n[4]}")
-    blend = both.withColumn("weight", (F.col("w1") + F.col("w2")) / 2).withColumns({"run_id": F.lit(label), "model_family": F.lit(label), "model_target": F.lit(label), "risk_penalty": F.lit(None).cast("double"), "concentration_penalty": F.lit(None).cast("double")})
-    return weight_rows(blend.drop("w1", "w2"))
+        at = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+        said = F.concat(F.lit("the runs' rows don't match one to one: "), F.col("n1").cast("string"), F.lit(" and "), F.col("n2").cast("string"), F.lit(" rows of "), at)
+        weight = F.when(F.assert_true(fits, said).isNull(), weight)
+    else:
+        both = both.where("n1 > 0 and n2 > 0")
+    blend = both.withColumn("weight", weight).withColumns({"run_id": F.lit(label), "model_family": F.lit(label), "model_target": F.lit(label), "risk_penalty": F.lit(None).cast("double"), "concentration_penalty": F.lit(None).cast("double")})
+    return weight_rows(blend.drop("w1", "w2", "n1", "n2"))
 
 
 def scope_summary(samples: DataFrame) -> DataFrame:

@@ -121,8 +121,9 @@ def data_summary(panel: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:
-    """n rows by a hash of the keys: the same draw on every run."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """n rows by the MD5 of their keys as text and the seed: the same draw on every run and in every engine. Each task keeps its first n."""
+    mark = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return df.orderBy(mark, *keys).limit(n)
 
 
 def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:

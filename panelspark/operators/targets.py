@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import forward_return, period_end, period_tag, return_class, shift_period
@@ -14,23 +14,34 @@ def period_prices(prices: DataFrame, freq: str = "quarterly", key: str = "ticker
     return clean.groupBy(key, period_end(date, freq).alias(end)).agg(F.max_by(price, F.struct(F.col(date), F.col(price))).alias("quarter_price")).withColumn("time_range", period_tag(end, freq))
 
 
+def _ahead(prices: DataFrame, horizons: list[int], threshold: float, freq: str, key: str, end: str) -> dict[int, Column]:
+    """For each horizon a struct of future_date, future_price, future_return, class_target: a frame that holds just the period h after, by its number, so that all horizons share one window."""
+    number = F.unix_date(end) if period_is_day(freq) else F.year(end) * 4 + F.quarter(end)
+    out = {}
+    for h in horizons:
+        then = F.max("quarter_price").over(Window.partitionBy(key).orderBy(number).rangeBetween(h, h))
+        back = forward_return("quarter_price", then)
+        out[h] = F.struct(F.when(then.isNotNull(), shift_period(end, h, freq)).alias("future_date"), then.alias("future_price"), back.alias("future_return"), return_class(back, threshold).alias("class_target"))
+    return out
+
+
 def future_prices(prices: DataFrame, horizons: list[int], threshold: float = 0.02, freq: str = "quarterly", key: str = "ticker", end: str = "quarter_end_date") -> DataFrame:
     """Long form: one row for each period price and horizon with future_date, future_price, future_return, class_target; NULL where no row lies exactly there.
 
-    All horizons go through one join.
+    prices has one row for each key and period, as ``period_prices`` gives them.
     """
-    asked = prices.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("future_date", shift_period(end, F.col("horizon"), freq))
-    then = prices.select(key, F.col(end).alias("future_date"), F.col("quarter_price").alias("future_price"))
-    out = asked.join(then, [key, "future_date"], "left").withColumn("future_return", forward_return("quarter_price", "future_price"))
-    return out.withColumn("class_target", return_class("future_return", threshold)).withColumn("future_date", F.when(F.col("future_price").isNotNull(), F.col("future_date")))
+    ahead = _ahead(prices, horizons, threshold, freq, key, end)
+    wide = prices.withColumns({f"_t{h}": c for h, c in ahead.items()})
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_t{h}").alias("t")) for h in horizons]))
+    return wide.withColumn("_t", each).select(*prices.columns, "_t.horizon", "_t.t.*")
 
 
 def attach_targets(prices: DataFrame, horizons: list[int], threshold: float = 0.02, freq: str = "quarterly", key: str = "ticker", end: str = "quarter_end_date") -> DataFrame:
-    """Wide form: for each horizon h future_quarter_end_date_t{h}, future_price_t{h}, future_return_t{h}, class_target_t{h}."""
-    long = future_prices(prices, horizons, threshold, freq, key, end)
+    """Wide form: for each horizon h future_quarter_end_date_t{h}, future_price_t{h}, future_return_t{h}, class_target_t{h}. One shuffle, by key."""
+    ahead = _ahead(prices, horizons, threshold, freq, key, end)
+    wide = prices.withColumns({f"_t{h}": c for h, c in ahead.items()})
     names = {"future_date": "future_quarter_end_date", "future_price": "future_price", "future_return": "future_return", "class_target": "class_target"}
-    picks = [F.max(F.when(F.col("horizon") == h, F.col(c))).alias(f"{n}_t{h}") for h in horizons for c, n in names.items()]
-    return long.groupBy(key, end, "time_range", "quarter_price").agg(*picks)
+    return wide.select(key, end, "time_range", "quarter_price", *[F.col(f"_t{h}.{c}").alias(f"{n}_t{h}") for h in horizons for c, n in names.items()])
 
 
 def with_targets(panel: DataFrame, targets: DataFrame, end: str = "quarter_end_date") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import scalar
 from panelspark.operators import indicators, panel, portfolio, samples, statements
-from panelspark.operators.stories import story_rows, topic_relevance
-from panelspark.plans import jobs
+from panelspark.operators.stories import deduplicate_stories, story_rows, topic_relevance
+from panelspark.plans import intake, jobs
 from panelspark.plans import stand_ins as S
 from panelspark.plans.queries import _P, _SPLIT, _STEPS, _TOPICS, _epochs, _state, _unfolded, query, rounded
 from panelspark.sources import readers, schemas, sinks
@@ -144,7 +145,7 @@ def _scoped(spark, sf):
 def saved_evaluation(spark, sf):
     """The whole evaluation of all runs, saved under its fixed names by scope; the top strategies are read back."""
     root = fresh_folder(spark, "evaluation")
-    tables = jobs.evaluate(_landed_weights(spark, sf))
+    tables = jobs.evaluate(S.weights(spark, sf))
     sinks.evaluation(tables, root)
     top = spark.read.parquet(f"{root}/top_strategies")
     return top.select("evaluation_scope", "run_id", "strategy_rank", "model_family", "sample_count", F.round("mean_growth_alpha", 6).alias("alpha"), F.round(F.log("cumulative_growth"), 6).alias("log_growth"))
@@ -154,7 +155,7 @@ def saved_evaluation(spark, sf):
 UNION ALL SELECT evaluation_scope, run_id, (date_trunc('quarter', min(quarter_end_date)) - INTERVAL 1 DAY)::DATE, 'base', 0.0 FROM scoped GROUP BY 1, 2)
 SELECT curve.*, strategy_rank FROM curve JOIN ranked USING (run_id) WHERE strategy_rank <= 5""")
 def evaluation_curves(spark, sf):
-    curves = jobs.evaluate(_landed_weights(spark, sf))
+    curves = jobs.evaluate(S.weights(spark, sf))
     top = curves["top_strategies"].select("run_id", "strategy_label", "strategy_rank").distinct()
     return curves["strategy_nav"].join(top, ["run_id", "strategy_label"]).select("evaluation_scope", "run_id", "quarter_end_date", "source_split", F.round(F.log("nav"), 6).alias("log_nav"), "strategy_rank")
 
@@ -221,6 +222,38 @@ def cleaned_dataset(spark, sf):
     return jobs.clean_counters(back)
 
 
+_WINDOWS = "CASE WHEN user_id % 5 = 2 THEN 'broken' WHEN user_id % 5 = 4 THEN 'missing' ELSE 'read' END"
+
+
+@query(f"""WITH {S.SQL_MACRO}, {S.SQL_PRICES}, e AS (SELECT *, {_WINDOWS} AS outcome FROM events),
+k AS (SELECT DISTINCT user_id + k AS ticker, event_id FROM e, (VALUES (0), (1)) v(k) WHERE outcome = 'read')
+SELECT 'story' AS source, 'partial' AS status, count(DISTINCT user_id % 5)::INT AS parts, count(DISTINCT user_id % 5) FILTER (WHERE outcome = 'read')::INT AS parts_read, (SELECT count(*) FROM k) AS rows, true AS skipped_after_error, (SELECT count(DISTINCT ticker) FROM k) AS tickers FROM e
+UNION ALL SELECT 'economics', 'failed', 1, 0, 0, true, 0 UNION ALL SELECT 'technical', 'complete', 1, 1, count(DISTINCT (ticker, {S.SQL_TAG.format("date")})), false, count(DISTINCT ticker) FROM prices""")
+def partial_sources(spark, sf):
+    """Five windows of news are planned: one landed broken, one is missing. The macro source can't be read at all, the technical one is whole. The job keeps what there is."""
+    root = fresh_folder(spark, "intake")
+    payloads = S.news(spark, sf).groupBy(F.col("window").alias("part")).agg(F.flatten(F.collect_list("feed")).alias("feed")).where("part <> '4'")
+    text = F.when(F.col("part") == "2", F.lit('{"feed": [{"title": ')).otherwise(F.to_json(F.struct("feed")))
+    payloads.select("part", text.alias("value")).repartition("part").write.partitionBy("part").text(f"{root}/news")
+    windows = [lambda k=k: story_rows(readers.news(spark, f"{root}/news/part={k}", strict=True)) for k in range(5)]
+    sources = [
+        intake.Source("story", windows, readers.story_template(spark).schema, finish=deduplicate_stories),
+        intake.Source("economics", [lambda: readers.indicator_payloads(spark, f"{root}/macro")], "time_range string, date date", finish=indicators.economics_table),
+        intake.Source("technical", [lambda: S.technical(spark, sf)], "ticker string, time_range string, date date", finish=indicators.technical_table),
+    ]
+    tables, outcomes = intake.take_in(spark, sources, f"{root}/tables", on_error="keep")
+    return intake.outcome_counters(tables, outcomes).drop("error")
+
+
+@query(_SPLIT + "SELECT split, ticker, quarter_end_date, row_number() OVER (PARTITION BY split, ticker ORDER BY quarter_end_date)::INT AS place FROM st")
+def sunk_order(spark, sf):
+    """The place of each row among its split's and ticker's as the files of the panel's sink hold them."""
+    where = fresh_folder(spark, "ordered")
+    sinks.panel(_state(spark, sf), where)
+    back = spark.read.parquet(where).select("split", "ticker", "quarter_end_date", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return back.select("split", "ticker", "quarter_end_date", F.row_number().over(Window.partitionBy("split", "ticker").orderBy("file", "row")).alias("place"))
+
+
 @query(f"WITH {S.SQL_STORIES}, {_TOPICS} SELECT ticker, topic, round(sum(relevance), 6) AS relevance, count(*) AS periods FROM topic GROUP BY 1, 2")
 def sunk_topics(spark, sf):
     """Topic relevance in long form, through the parquet sink by topic."""

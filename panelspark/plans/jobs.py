@@ -86,21 +86,31 @@ def window_dataset(fundamental: DataFrame, stories: DataFrame, length: int, trai
     return samples.window_samples(split, feature_columns(split), length, date)
 
 
+def in_scopes(rows: DataFrame) -> DataFrame:
+    """Rows of the scope ``all``, those of validation for the scope ``val`` once more."""
+    val = F.array(F.lit("all"), F.lit("val"))
+    return rows.withColumn("evaluation_scope", F.explode(F.when(F.col("source_split") == "val", val).otherwise(F.array(F.lit("all")))))
+
+
 def evaluate(weights: DataFrame, top_k: int = 5, holdings: int = 10) -> dict[str, DataFrame]:
-    """All tables of an evaluation from weight rows of the scopes ``val`` and ``all``; the ranking comes from validation alone."""
-    rows = portfolio.weight_rows(weights)
-    each = portfolio.sample_summary(rows)
-    by_scope = {s: portfolio.run_summary(each.where(F.col("evaluation_scope") == s)).withColumn("evaluation_scope", F.lit(s)) for s in ("val", "all")}
-    top = portfolio.top_runs(by_scope["val"], top_k)
-    chosen = portfolio.of_runs(each, top)
+    """All tables of an evaluation from the weight rows of the scope ``all``; the ranking comes from validation alone.
+
+    The metrics of a sample are the same in every scope, so they are computed once, over the rows of ``all`` (others are left
+    out), and kept with the sample summary; both scopes and all tables are made of these two.
+    """
+    rows = kept(portfolio.weight_rows(weights.where("evaluation_scope = 'all'")))
+    each = kept(portfolio.sample_summary(rows))
+    scoped = in_scopes(each)
+    summary = portfolio.run_summary(scoped, by=["evaluation_scope"])
+    top = kept(portfolio.top_runs(summary.where("evaluation_scope = 'val'"), top_k))
     return {
-        "weights": rows,
-        "sample_summary": each,
-        "run_summary": by_scope["val"].unionByName(by_scope["all"]),
-        "top_strategies": portfolio.of_runs(by_scope["val"].drop("strategy_label").unionByName(by_scope["all"].drop("strategy_label")), top),
-        "top_holdings": portfolio.top_holdings(portfolio.of_runs(rows, top), holdings),
-        "strategy_nav": portfolio.nav(chosen, ["evaluation_scope", "run_id", "strategy_label"], "portfolio_growth"),
-        "benchmark_nav": portfolio.nav(portfolio.benchmark_curve(each), ["evaluation_scope"]),
+        "weights": in_scopes(rows),
+        "sample_summary": scoped,
+        "run_summary": summary,
+        "top_strategies": portfolio.of_runs(summary.drop("strategy_label"), top),
+        "top_holdings": in_scopes(portfolio.top_holdings(portfolio.of_runs(rows, top), holdings)),
+        "strategy_nav": portfolio.nav(portfolio.of_runs(scoped, top), ["evaluation_scope", "run_id", "strategy_label"], "portfolio_growth"),
+        "benchmark_nav": portfolio.nav(portfolio.benchmark_curve(scoped), ["evaluation_scope"]),
     }
 
 

@@ -128,12 +128,46 @@ def not_finite_values(spark, sf):
     return one.crossJoin(p.agg(F.count(scalar.finite("f1")).alias("finite")))
 
 
-@query(_MEMBERS + """, c AS (SELECT count(*) FILTER (WHERE split = 'train') > 0 AS t, count(*) FILTER (WHERE quarter_price <= 0 OR p1 <= 0) = 0 AS p, count(*) > 0 AS n FROM m)
-SELECT 'features' AS "check", true AS passed UNION ALL SELECT 'training_rows', t FROM c UNION ALL SELECT 'finite', false FROM c WHERE n UNION ALL SELECT 'positive_prices', p FROM c UNION ALL SELECT 'positive_lengths', n FROM c""")
+_FLAGS = "ticker::INT % 5 = 0 AND quarter_end_date >= DATE '1997-01-01'"
+
+
+@query(_MEMBERS + f""", x AS (SELECT 'clean' AS suite, * FROM m UNION ALL SELECT 'broken', * FROM m WHERE split <> 'train'),
+names AS (SELECT * FROM (VALUES ('clean', 'update_count'), ('clean', 'candidate_value'), ('broken', 'update_count'), ('broken', 'quarter_end_date_story'), ('broken', 'quarter_end_date_other')) v(suite, name)),
+c AS (SELECT suite, count(*) FILTER (WHERE split = 'train') > 0 AS t, count(*) FILTER (WHERE suite = 'broken' AND {_FLAGS}) = 0 AS f, count(*) FILTER (WHERE quarter_price <= 0 OR p1 <= 0 OR suite = 'broken' AND ticker::INT % 7 = 0) = 0 AS p, count(*) > 0 AND bool_and(suite = 'clean' OR ticker::INT % 3 <> 1) AS n FROM x GROUP BY 1)
+SELECT suite, 'features' AS "check", bool_and(NOT starts_with(name, 'quarter_end_date_')) AS passed FROM names GROUP BY 1 UNION ALL SELECT suite, 'training_rows', t FROM c UNION ALL SELECT suite, 'finite', f FROM c
+UNION ALL SELECT suite, 'positive_prices', p FROM c UNION ALL SELECT suite, 'positive_lengths', n FROM c""")
 def preflight(spark, sf):
-    """Samples with one feature that isn't finite."""
-    m = _members(spark, sf).withColumn("f", F.lit(float("nan")))
-    return checks.preflight(m, ["f"], ["current_price", "future_price"])
+    """Samples as they are, with feature names that merely hold "date"; and samples without training rows, with values that aren't finite, prices and lengths that aren't positive, and helper columns of a merge among the features."""
+    t = F.col("ticker").cast("int")
+    m = _members(spark, sf).withColumns({"update_count": F.col("current_price"), "candidate_value": F.lit(1.0)})
+    broken = m.where("split <> 'train'").withColumns({
+        "update_count": F.when((t % 5 == 0) & (F.col("quarter_end_date") >= F.lit("1997-01-01").cast("date")), F.lit(float("inf"))).otherwise(F.lit(1.0)), "quarter_end_date_story": F.lit(1.0), "quarter_end_date_other": F.lit(1.0),
+        "future_price": F.when(t % 7 == 0, 0.0).otherwise(F.col("future_price")), "sequence_length": F.when(t % 3 == 1, 0).otherwise(F.col("sequence_length")),
+    })
+    prices = ["current_price", "future_price"]
+    good = checks.preflight(m, ["update_count", "candidate_value"], prices).withColumn("suite", F.lit("clean"))
+    bad = checks.preflight(broken, ["update_count", "quarter_end_date_story", "quarter_end_date_other"], prices).withColumn("suite", F.lit("broken"))
+    return good.unionByName(bad)
+
+
+@query("""WITH r AS (SELECT n_nationkey, round((n_nationkey % 10 * 0.1)::DOUBLE, 1) AS train, round((n_regionkey * 0.1)::DOUBLE, 1) AS val FROM nation), t AS (SELECT *, CASE WHEN n_nationkey % 3 = 0 THEN 0.2 ELSE round(1 - train - val, 1) END AS test FROM r)
+SELECT n_nationkey, train, val, test, least(train, val, test) >= 0 AND abs(train + val + test - 1) <= 1e-6 AS valid FROM t""")
+def split_ratios(spark, sf):
+    """Ratios of each nation's keys: some are negative, some don't add up to 1."""
+    n = S.read(spark, sf, "nation")
+    r = n.select("n_nationkey", F.round((F.col("n_nationkey") % 10) * 0.1, 1).alias("train"), F.round(F.col("n_regionkey") * 0.1, 1).alias("val"))
+    r = r.withColumn("test", F.when(F.col("n_nationkey") % 3 == 0, 0.2).otherwise(F.round(1 - F.col("train") - F.col("val"), 1)))
+    return r.withColumn("valid", panel.valid_ratios("train", "val", "test"))
+
+
+@query(_W + """, two AS (SELECT run_id, ticker, quarter_end_date FROM w WHERE run_id = 3 AND ticker::INT % 10 <> 1 UNION ALL SELECT run_id, ticker, quarter_end_date FROM w WHERE run_id = 6 AND ticker::INT % 10 <> 2 UNION ALL SELECT run_id, ticker, quarter_end_date FROM w WHERE run_id = 6 AND ticker::INT % 10 = 5),
+k AS (SELECT ticker, quarter_end_date, count(*) FILTER (WHERE run_id = 3) AS a, count(*) FILTER (WHERE run_id = 6) AS b FROM two GROUP BY 1, 2)
+SELECT sum(a)::BIGINT AS rows_one, sum(b)::BIGINT AS rows_other, count(*) FILTER (WHERE a = 1 AND b = 1) AS matched, count(*) FILTER (WHERE b = 0) AS only_one, count(*) FILTER (WHERE a = 0) AS only_other, count(*) FILTER (WHERE a > 1 OR b > 1) AS repeated FROM k""")
+def ensemble_pairs(spark, sf):
+    """How far two runs match that lack each other's rows of some tickers, one of them with other rows twice."""
+    w, t = S.weights(spark, sf), F.col("ticker").cast("int") % 10
+    one, other = w.where((F.col("run_id") == 3) & (t != 1)), w.where((F.col("run_id") == 6) & (t != 2))
+    return portfolio.pair_report(one.unionByName(other).unionByName(other.where(t == 5)), 3, 6)
 
 
 @query(_STEPS.join(["WITH ", ", b AS (SELECT * FROM ep ORDER BY epoch DESC LIMIT 5) SELECT epoch, round(val_loss - train_loss, 7) AS loss_gap, round(val_price_mae - train_price_mae, 7) AS mae_gap FROM b"]))
@@ -151,16 +185,18 @@ def epoch_summary(spark, sf):
     return got.select("epoch", "train_steps", "val_steps", "train_loss", "val_class_accuracy")
 
 
-@query(_P + "SELECT least(40, count(DISTINCT (vec_id))) AS keys, 2 * least(40, count(DISTINCT (vec_id))) AS rows, true AS same FROM err")
+_DRAWN = "SELECT DISTINCT vec_id, split, quarter_end_date, md5(concat_ws('|', split, vec_id::VARCHAR, 'q1y2020', quarter_end_date::VARCHAR, '3')) AS mark FROM err ORDER BY mark LIMIT 40"
+
+
+@query(_P + f", k AS ({_DRAWN}) SELECT split, vec_id::VARCHAR AS ticker, quarter_end_date, horizon, round(p, 6) AS predicted_price, true AS again FROM k JOIN err USING (vec_id, split, quarter_end_date)")
 def sampled_predictions(spark, sf):
-    """Forty seeded sample keys with their predictions of both horizons; a second draw gives the same keys."""
+    """Forty seeded sample keys with their predictions of both horizons, and whether a second draw, from rows dealt otherwise, has the key, too."""
     rows = _unfolded(spark, sf)
     keys = samples.distinct_keys(rows, predictions.KEYS)
     draw = lambda df: samples.seeded_sample(df, 40, predictions.KEYS, 3)
-    one, again = draw(keys), draw(keys.repartition(3))
-    found = predictions.sampled_predictions(one, rows)
-    agree = one.join(again, predictions.KEYS, "left_anti").agg((F.count("*") == 0).alias("same"))
-    return found.agg(F.countDistinct(*predictions.KEYS).alias("keys"), F.count("predicted_price").alias("rows")).crossJoin(agree)
+    again = draw(keys.repartition(3)).withColumn("again", F.lit(True))
+    found = predictions.sampled_predictions(draw(keys), rows).join(again, predictions.KEYS, "left")
+    return found.select("split", "ticker", "quarter_end_date", "horizon", F.round("predicted_price", 6).alias("predicted_price"), F.coalesce("again", F.lit(False)).alias("again"))
 
 
 # ---- columns -----------------------------------------------------------------------
@@ -188,16 +224,18 @@ def chosen_close(spark, sf):
     return statements.between_dates(p, "date", "1997-01-01", None).select("ticker", "date", F.col(f"`{statements.close_column(p.columns)}`").alias("price"))
 
 
-@query(f"WITH {S.SQL_PANEL} SELECT count(*) AS rows, 1::BIGINT AS families FROM panel")
+@query(f"""WITH {S.SQL_PANEL}, {S.SQL_MACRO}, {S.SQL_PRICES}, {S.SQL_TECHNICAL}, {S.SQL_STORIES}, {_TOPICS}, n AS (SELECT count(*) AS rows FROM panel),
+f AS (SELECT 'economics' AS family, count(DISTINCT name) AS features FROM macro UNION ALL SELECT 'technical', (count(sma) > 0)::BIGINT + (count(rsi) > 0)::BIGINT FROM technical UNION ALL SELECT 'topics', count(DISTINCT topic) FROM topic)
+SELECT family, features, rows FROM f, n UNION ALL SELECT 'all', sum(features)::BIGINT + 2, any_value(rows) FROM f, n""")
 def feature_profile(spark, sf):
-    """Rows of the merged panel, and how many feature families with a macro column it has, after helper columns of the merge are dropped."""
-    wide = panel.merge_panel(S.panel(spark, sf), None, indicators.economics_table(S.macro(spark, sf), ["econ_order_value"]), None)
-    clean = panel.drop_merge_helpers(wide.withColumn("quarter_end_date_econ", F.current_date()))
+    """The features of each family of the merged panel, whose columns come from the names in the data, after a merge's helper columns are dropped; f2 is excluded."""
+    p = S.panel(spark, sf)
+    topics = stories.widen(stories.topic_relevance(S.stories(spark, sf)), ["ticker", "time_range"], "topic", "relevance", prefix="topic_relevance_")
+    wide = panel.merge_panel(p, topics, indicators.economics_table(S.macro(spark, sf)), indicators.technical_table(S.technical(spark, sf)))
+    clean = panel.drop_merge_helpers(wide.withColumn("quarter_end_date_econ", F.lit(1)))
     names = scalar.feature_columns(clean, exclude=["f2"], exclude_prefixes=("future_",))
     counted = scalar.feature_profile(names)
-    if "quarter_end_date_econ" in clean.columns or names != scalar.feature_columns(clean, wanted=names):
-        raise ValueError(f"unexpected columns {clean.columns}")
-    return clean.agg(F.count("*").alias("rows")).withColumn("families", F.lit(sum(counted[k] > 0 for k in ("economics", "technical", "topics"))).cast("long"))
+    return clean.agg(F.count("*").alias("rows"), F.array(*[F.struct(F.lit(k).alias("family"), F.lit(v).cast("long").alias("features")) for k, v in counted.items()]).alias("f")).select("rows", F.explode("f").alias("f")).select("f.family", "f.features", "rows")
 
 
 @query("""WITH ranges AS (SELECT o_orderpriority AS name, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1), w AS (SELECT name, unnest(generate_series(a, b, INTERVAL 90 DAY)) AS s, b FROM ranges),

@@ -392,7 +392,7 @@ def batches(spark, sf):
     return samples.batches(_state(spark, sf), 32, ["quarter_end_date", "ticker"]).select("ticker", "quarter_end_date", "split", "batch_id")
 
 
-@query()
+@query(f"WITH {S.SQL_PANEL} SELECT * FROM panel ORDER BY md5(concat_ws('|', ticker, quarter_end_date::VARCHAR, '3')), ticker, quarter_end_date LIMIT 50")
 def seeded_sample(spark, sf):
     return samples.seeded_sample(S.panel(spark, sf), 50, ["ticker", "quarter_end_date"], 3)
 
@@ -482,7 +482,7 @@ def alpha_heatmap(spark, sf):
 @query(_W + """, e AS (SELECT a.ticker, a.quarter_end_date, a.current_price, a.future_price, (a.weight + b.weight) / 2 AS weight FROM w a JOIN w b ON b.ticker = a.ticker AND b.quarter_end_date = a.quarter_end_date WHERE a.run_id = 3 AND b.run_id = 6)
 SELECT quarter_end_date, count(*)::INT AS ticker_count, round(sum(weight * future_price) / sum(weight * current_price), 5) AS portfolio_growth, round(sum(future_price) / sum(current_price), 5) AS benchmark_growth, round(max(weight), 5) AS max_weight, round(1 / sum(weight * weight), 4) AS effective_holdings FROM e GROUP BY 1""")
 def ensemble(spark, sf):
-    s = portfolio.sample_summary(portfolio.ensemble(S.weights(spark, sf), 3, 6))  # counts that the runs match one to one
+    s = portfolio.sample_summary(portfolio.ensemble(S.weights(spark, sf), 3, 6))  # asserts that the runs match one to one
     return s.select("quarter_end_date", "ticker_count", *[F.round(c, 5).alias(c) for c in ("portfolio_growth", "benchmark_growth", "max_weight")], F.round("effective_holdings", 4).alias("effective_holdings"))
 
 

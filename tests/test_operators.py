@@ -194,8 +194,12 @@ def test_ensemble(two_runs):
     assert sorted(round(r.weight, 9) for r in e.collect()) == [0.45, 0.55]
     s = portfolio.sample_summary(e).head()
     assert abs(s.portfolio_growth - 1.035) < 1e-12 and abs(s.benchmark_growth - 1.05) < 1e-12 and abs(s.growth_alpha + 0.015) < 1e-12
-    with pytest.raises(ValueError, match="one to one"):
-        portfolio.ensemble(two_runs.where("not (run_id = 2 and ticker = 'Y')"), 1, 2)
+    for bad in (two_runs.where("not (run_id = 2 and ticker = 'Y')"), two_runs.unionByName(two_runs.where("run_id = 1")), two_runs.where("run_id = 1")):
+        with pytest.raises(Exception, match="one to one"):
+            portfolio.ensemble(bad, 1, 2).collect()
+    assert portfolio.ensemble(two_runs.where("not (run_id = 2 and ticker = 'Y')"), 1, 2, check=False).count() == 1
+    assert tuple(portfolio.pair_report(two_runs.where("not (run_id = 2 and ticker = 'Y')"), 1, 2).head()) == (2, 1, 1, 1, 0, 0)
+    assert portfolio.ensemble(two_runs.limit(0), 1, 2).count() == 0
 
 
 def test_evaluation(two_runs):
@@ -244,6 +248,13 @@ def test_preflight(spark):
     assert got == {"features": True, "training_rows": True, "finite": False, "positive_prices": False, "positive_lengths": True}
     with pytest.raises(ValueError, match="finite"):
         checks.require(checks.preflight(s, ["x"], ["price"]))
+    assert checks.reserved_features(["update_count", "date", "quarter_end_date", "quarter_end_date_story", "quarter_end_date_x"]) == ["quarter_end_date_story", "quarter_end_date_x"]
+    for names, passed in ((["update_count"], True), (["quarter_end_date_technical"], False), ([], False)):
+        named = s.select("*", *[F.lit(1.0).alias(n) for n in names])
+        assert {r.check: r.passed for r in checks.preflight(named, names, ["price"]).collect()}["features"] == passed
+    val = s.where("split = 'val'").withColumns({"quarter_price": F.lit(1.0), "future_price_t4": F.lit(None).cast("double"), "window_ready": F.lit(True), "horizon_target_ready": F.lit(True)})
+    with pytest.raises(ValueError, match=r"training_rows.*horizon=4, train_rows=0, train_current=0"):
+        checks.require(checks.preflight(val, ["x"], ["price"]), ["x"], samples.target_matches(val, 4), horizon=4)
     assert checks.bad_rows(s, ["x"], ["split"]).count() == 1
     m = spark.createDataFrame([(1.0, True), (float("-inf"), False)], "score double, valid boolean")
     assert checks.score_report(m).head().passed
