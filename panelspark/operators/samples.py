@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import growth
-from panelspark.operators.windows import by, trailing
+from panelspark.operators.ranks import positions
+from panelspark.operators.windows import trailing
 
 SPLITS = ["train", "val", "test"]
 
@@ -58,18 +59,8 @@ def portfolio_samples(members: DataFrame, date: str = "quarter_end_date") -> Dat
 
 
 def batches(df: DataFrame, size: int, order: list[str], split: str = "split") -> DataFrame:
-    """batch_id: rows of a split in order, ``size`` at a time.
-
-    Rows are counted by the first column of the order; the running sum of these counts says where each of its values
-    begins, and only rows that share a value of it are numbered in one task.
-    """
-    first = order[0]
-    counts = df.groupBy(split, first).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(by(split, first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col(split).alias("_split"), F.col(first).alias("_first"), before.alias("_before"))
-    placed = df.withColumn("_own", F.row_number().over(by([split, first], *order)) - 1)
-    placed = placed.join(starts, F.col(split).eqNullSafe(F.col("_split")) & F.col(first).eqNullSafe(F.col("_first")))
-    return placed.withColumn("batch_id", F.floor((F.col("_before") + F.col("_own")) / size).cast("int")).drop("_own", "_split", "_first", "_before")
+    """batch_id: rows of a split in order, ``size`` at a time. Rows are numbered over sorted ranges: no split and no date is numbered in one task."""
+    return positions(df, "_place", [split], *order).withColumn("batch_id", F.floor(F.col("_place") / size).cast("int")).drop("_place")
 
 
 def _with_all_splits(df: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from panelspark.operators.ranks import positions
+from panelspark.sources.landing import kept
 
 
 def by(keys: list[str] | str, *order: str | Column):
@@ -65,36 +63,71 @@ def resample_daily(panel: DataFrame, key: str, time: str) -> DataFrame:
     return forward_fill(calendar_spine(panel, key, time).join(kept, [key, time], "left"), key, time, values).select(panel.columns)
 
 
-def historical_percentiles(df: DataFrame, columns: list[str], key: str, time: str) -> DataFrame:
+#: So many rows of a key are compared with each other in one group.
+BLOCK = 1024
+
+
+def _smaller_before(rows: DataFrame, group: list[str], first: str, then: str, out: str) -> DataFrame:
+    """_id and how many rows of its group come before it by ``first`` and by ``then``. Groups are at most a block."""
+    each = F.struct(F.col(first).alias("a"), F.col(then).alias("b"), "_id")
+    lists = rows.groupBy(*group).agg(F.collect_list(each).alias("l"))
+    found = F.transform("l", lambda x: F.struct(x["_id"].alias("_id"), F.size(F.filter("l", lambda y: (y["a"] < x["a"]) & (y["b"] < x["b"]))).cast("long").alias(out)))
+    return lists.select(F.explode(found).alias("x")).select("x.*")
+
+
+def _smaller_in_history(rows: DataFrame, column: str, key: str, block: int) -> DataFrame:
+    """rows (_id, key, _pos, column) -> _id, n: the number of earlier rows of the key with a smaller value. For NULL all values are smaller.
+
+    Rows have a place by time, and one by value, later ones first among equal values: so a row counts if it comes before
+    in both. Both are cut into blocks. Rows of the same block by time are compared there; those of earlier blocks are
+    compared within the same block by value, and the rest are whole cells, earlier in both, whose counts are summed.
+    """
+    points = positions(rows.select("_id", key, "_pos", column, (-F.col("_pos")).alias("_back")), "_v", [key], F.asc_nulls_last(column), "_back")
+    points = kept(points.select("_id", key, "_pos", "_v", F.expr(f"_pos div {block}").alias("i"), F.expr(f"_v div {block}").alias("j")))
+    here = _smaller_before(points, [key, "i"], "_pos", "_v", "n")
+    aside = _smaller_before(points, [key, "j"], "i", "_v", "n")
+    cells = points.groupBy(key, "i", "j").agg(F.count("*").alias("k"))
+    ends = points.groupBy(key).agg(F.max("i").alias("i"), F.max("j").alias("j")).where("i > 0")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c))
+    grid = ends.withColumn("i", upto("i")).repartition(key, "i").withColumn("j", upto("j"))
+    grid = grid.join(cells, [key, "i", "j"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("k", F.sum("k").over(before(by([key, "j"], "i")))).withColumn("n", F.sum("k").over(before(by([key, "i"], "j"))))
+    behind = points.join(grid.where("n > 0").select(key, "i", "j", "n"), [key, "i", "j"]).select("_id", "n")
+    return here.unionByName(aside).unionByName(behind).groupBy("_id").agg(F.sum("n").alias("n"))
+
+
+def historical_percentiles(df: DataFrame, columns: list[str], key: str, time: str, block: int = BLOCK) -> DataFrame:
     """df with each column replaced by the share of the key's rows up to this one whose value is below this one's: 0 for NULL, and NULL before the first value.
 
-    Rows stream through sorted by (key, time). A task holds the sorted values of one key at a time and looks each row up
-    by bisection. Keys are never null here: rows without key count as one key.
+    Rows of equal time are ordered by the columns. Where no key has more than ``block`` rows, each key's rows are compared in
+    one group. Otherwise only key, time and the columns are sorted, by time and by value, and the comparison is dealt over
+    blocks (``_smaller_in_history``): its work for a key of n rows is n * block + (n / block) ** 2, spread over tasks. Rows
+    without key count as one key.
     """
-    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in columns else f for f in df.schema])
-    at = [df.columns.index(c) for c in columns]
-    key_at = df.columns.index(key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, n, seen = object(), 0, [[] for _ in at]
-        for batch in batches:
-            out: list[list[float | None]] = [[] for _ in at]
-            values = [batch.column(k).to_pylist() for k in at]
-            for row, k in enumerate(batch.column(key_at).to_pylist()):
-                if k != now:
-                    now, n, seen = k, 0, [[] for _ in at]
-                n += 1
-                for held, column, shares in zip(seen, values, out, strict=True):
-                    v = column[row]
-                    if v is not None:
-                        shares.append(bisect_left(held, v) / n)
-                        insort(held, v)
-                    else:
-                        shares.append(0.0 if held else None)
-            done = {k: pa.array(x, pa.float64()) for k, x in zip(at, out, strict=True)}
-            yield pa.RecordBatch.from_arrays([done.get(k, batch.column(k)) for k in range(batch.num_columns)], names=batch.schema.names)
-
-    return df.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, schema)
+    rows = kept(df.withColumn("_id", F.monotonically_increasing_id()))
+    longest = rows.groupBy(key).count().agg(F.max("count")).head()[0] or 0
+    narrow = rows.select("_id", F.struct(key).alias("_key"), F.col(time).alias("_time"), *[F.col(c).alias(f"_x{k}") for k, c in enumerate(columns)])
+    names = [f"_x{k}" for k in range(len(columns))]
+    if longest <= block:
+        order = F.struct("_time", *names, "_id")
+        lists = narrow.groupBy("_key").agg(F.array_sort(F.collect_list(order)).alias("l"))
+
+        def share(c: str, x: Column, i: Column) -> Column:
+            before = F.slice("l", 1, i)
+            return F.when(x[c].isNotNull(), F.size(F.filter(before, lambda y: y[c] < x[c])) / (i + 1)).when(F.exists(before, lambda y: y[c].isNotNull()), 0.0).alias(c)
+
+        found = F.transform("l", lambda x, i: F.struct(x["_id"].alias("_at"), *[share(c, x, i) for c in names]))
+        done = lists.select(F.explode(found).alias("x")).select("x.*")
+    else:
+        placed = kept(positions(narrow, "_pos", ["_key"], "_time", *names, "_id"))
+        done = placed
+        for k, c in enumerate(names):
+            less = _smaller_in_history(placed, c, "_key", block).select(F.col("_id").alias(f"_i{k}"), F.col("n").alias(f"_n{k}"))
+            done = done.join(less, F.col("_id") == F.col(f"_i{k}"))
+        done = done.select(F.col("_id").alias("_at"), *[F.when(F.col(c).isNotNull(), F.col(f"_n{k}") / (F.col("_pos") + 1)).when(F.col(f"_n{k}") > 0, 0.0).alias(c) for k, c in enumerate(names)])
+    out = rows.join(done, F.col("_id") == F.col("_at"))
+    return out.select(*[F.col(f"_x{columns.index(c)}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def rolling_zscore(x: str, keys: str, time: str, rows: int = 12, least: int = 1) -> Column:
