@@ -58,7 +58,7 @@ def quarter_grid(df: DataFrame, columns: list[str], key: str = "ticker", date: s
     grid = df.select(key).distinct().crossJoin(F.broadcast(steps)).withColumn("_grid", F.lit(1))
     facts = df.select(key, date, *columns).withColumn("_grid", F.lit(0))
     both = grid.unionByName(facts, allowMissingColumns=True).withColumn("_order", F.struct(date, "_grid"))
-    return forward_fill(both, key, "_order", columns).where("_grid = 1").select(key, date, *columns)
+    return forward_fill(both, key, "_order", columns, F.year(date)).where("_grid = 1").select(key, date, *columns)
 
 
 def cube(grid: DataFrame, columns: list[str], key: str = "ticker", date: str = "date") -> DataFrame:

@@ -109,7 +109,7 @@ def strategy_curve(samples: DataFrame) -> DataFrame:
 
 def nav(curve: DataFrame, keys: list[str], value: str = "growth", date: str = "quarter_end_date", split: str = "source_split") -> DataFrame:
     """Compounded value by date, with a row of 1.0 at the quarter end before the first date (split ``base``)."""
-    path = curve.withColumn("nav", cumulative_product(value, keys, date, split) if keys else F.product(value).over(Window.partitionBy(F.lit(1)).orderBy(date, split).rowsBetween(Window.unboundedPreceding, 0)))
+    path = cumulative_product(curve, value, keys, date, split, "nav")
     path = path.select(*keys, date, split, "nav")
     base = curve.groupBy(*keys).agg(F.min(date).alias(date)).withColumns({date: previous_quarter_end(date), split: F.lit("base"), "nav": F.lit(1.0)})
     return path.unionByName(base.select(*keys, date, split, "nav"))

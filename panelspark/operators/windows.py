@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +23,49 @@ def history(keys: list[str] | str, order: str):
     return by(keys, order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+#: Rows of a key are carried on within a block of time, and from block to block. Numbers are cut into blocks of so many units, dates and times into years.
+UNITS = 1024
+
+
+def time_block(df: DataFrame, time: str) -> Column:
+    kind = df.schema[time].dataType.typeName()
+    return F.year(time) if kind in ("date", "timestamp", "timestamp_ntz") else F.floor(F.col(time) / UNITS) if kind in ("byte", "short", "integer", "long", "float", "double", "decimal") else F.lit(0)
+
+
+def scanned(df: DataFrame, keys: list[str], order: list[str], block: Column, columns: dict[str, str], local: Callable[[str], Column], carry: Callable[[str], Column], join: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with running values (``columns``: result -> input) of each key in the order, a prefix scan in two steps.
+
+    ``local`` runs within (key, block of time). The value at the end of each block is carried over the blocks before by
+    ``carry``, one row for each block, and ``join`` puts both together. So a key's rows are spread over tasks by block; df is
+    shuffled once, as the ends are read off the same exchange.
+    """
+    w = by([*keys, "_block"], *order).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.row_number().over(by([*keys, "_block"], *order))
+    run = df.withColumn("_block", block).withColumns({f"_l_{out}": local(c).over(w) for out, c in columns.items()} | {"_place": place})
+    ends = run.groupBy(*keys, "_block").agg(*[F.max_by(f"_l_{out}", "_place").alias(f"_l_{out}") for out in columns])
+    back = by(keys, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(F.struct(*keys, "_block").alias("_of"), *[carry(f"_l_{out}").over(back).alias(f"_c_{out}") for out in columns])
+    joined = run.withColumn("_own", F.struct(*keys, "_block")).join(before, F.col("_own").eqNullSafe(F.col("_of")), "left")
+    done = joined.withColumns({out: join(F.col(f"_l_{out}"), F.col(f"_c_{out}")) for out in columns})
+    return done.drop("_block", "_place", "_own", "_of", *[f"_{x}_{out}" for out in columns for x in "lc"])
+
+
+def last_values(df: DataFrame, keys: list[str], order: list[str], block: Column, columns: dict[str, str]) -> DataFrame:
+    """df with the last non-null value of each column up to every row of its key."""
+    last = lambda c: F.last(c, ignorenulls=True)
+    return scanned(df, keys, order, block, columns, last, last, lambda own, before: F.coalesce(own, before))
+
+
 def as_of(probe: DataFrame, facts: DataFrame, key: str, probe_time: str, fact_time: str, value: str, out: str) -> DataFrame:
-    """probe with the last non-null ``value`` of its key at or before its time: one shuffle and one sort by (key, time).
+    """probe with the last non-null ``value`` of its key at or before its time: one shuffle and one sort by (key, block of time).
 
     Facts and probes are put in one stream, facts first within a time, and the last value is carried on.
     """
     columns = probe.columns
     tagged = probe.withColumn("_t", F.col(probe_time)).withColumn("_tag", F.lit(1)).withColumn("_v", F.lit(None).cast(facts.schema[value].dataType))
     given = facts.select(F.col(key), F.col(fact_time).alias("_t"), F.lit(0).alias("_tag"), F.col(value).alias("_v"))
-    w = by(key, "_t", "_tag").rowsBetween(Window.unboundedPreceding, 0)
-    merged = tagged.unionByName(given, allowMissingColumns=True).withColumn(out, F.last("_v", ignorenulls=True).over(w))
+    both = tagged.unionByName(given, allowMissingColumns=True)
+    merged = last_values(both.drop(out) if out in columns else both, [key], ["_t", "_tag"], time_block(both, "_t"), {out: "_v"})
     return merged.where("_tag = 1").select(*[c for c in columns if c != out], out)
 
 
@@ -45,9 +80,10 @@ def last_per_period(df: DataFrame, keys: list[str], time: str, values: list[str]
     return df.groupBy(*keys).agg(F.max(time).alias(out_time or time), *last)
 
 
-def forward_fill(df: DataFrame, key: str, time: str, columns: list[str]) -> DataFrame:
-    w = history(key, time)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+def forward_fill(df: DataFrame, key: str, time: str, columns: list[str], block: Column | None = None) -> DataFrame:
+    """Each column's last non-null value up to the row, carried over blocks of time (of ``time``, if no other is given)."""
+    filled = last_values(df, [key], [time], time_block(df, time) if block is None else block, {f"_f_{c}": c for c in columns})
+    return filled.select(*[F.col(f"_f_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def calendar_spine(df: DataFrame, key: str, time: str) -> DataFrame:
@@ -136,5 +172,6 @@ def rolling_zscore(x: str, keys: str, time: str, rows: int = 12, least: int = 1)
     return F.when(F.count(x).over(w) >= least, z)
 
 
-def cumulative_product(x: str, keys: list[str], *order: str) -> Column:
-    return F.product(x).over(by(keys, *order).rowsBetween(Window.unboundedPreceding, 0))
+def cumulative_product(df: DataFrame, x: str, keys: list[str], date: str, then: str, out: str) -> DataFrame:
+    """df with the product of x over all rows of its keys up to this one, by date and then another column, carried over years."""
+    return scanned(df, list(keys), [date, then], time_block(df, date), {out: x}, F.product, F.product, lambda own, before: own * F.coalesce(before, F.lit(1.0)))
