@@ -51,14 +51,14 @@ def robust_scale(df: DataFrame, columns: list[str], per_key: list[str] = (), key
     return out
 
 
-def quarter_grid(df: DataFrame, columns: list[str], key: str = "ticker", date: str = "date") -> DataFrame:
+def quarter_grid(df: DataFrame, columns: list[str], key: str = "ticker", date: str = "date", spread: bool = False) -> DataFrame:
     """Every key at every quarter end from the first to the last of all, with its last values at or before it."""
     ends = df.agg(quarter_end(F.min(date)).alias("_a"), quarter_end(F.max(date)).alias("_b"))
     steps = ends.select(F.explode(F.sequence(F.trunc("_a", "quarter"), F.trunc("_b", "quarter"), F.expr("interval 3 months"))).alias("_d")).select(quarter_end("_d").alias(date))
     grid = df.select(key).distinct().crossJoin(F.broadcast(steps)).withColumn("_grid", F.lit(1))
     facts = df.select(key, date, *columns).withColumn("_grid", F.lit(0))
     both = grid.unionByName(facts, allowMissingColumns=True).withColumn("_order", F.struct(date, "_grid"))
-    return forward_fill(both, key, "_order", columns, F.year(date)).where("_grid = 1").select(key, date, *columns)
+    return forward_fill(both, key, "_order", columns, spread, F.year(date)).where("_grid = 1").select(key, date, *columns)
 
 
 def cube(grid: DataFrame, columns: list[str], key: str = "ticker", date: str = "date") -> DataFrame:

@@ -107,9 +107,9 @@ def strategy_curve(samples: DataFrame) -> DataFrame:
     return samples.groupBy("run_id", "risk_penalty", "concentration_penalty", "source_split", "quarter_end_date").agg(F.avg("portfolio_growth").alias("growth"))
 
 
-def nav(curve: DataFrame, keys: list[str], value: str = "growth", date: str = "quarter_end_date", split: str = "source_split") -> DataFrame:
+def nav(curve: DataFrame, keys: list[str], value: str = "growth", date: str = "quarter_end_date", split: str = "source_split", spread: bool = False) -> DataFrame:
     """Compounded value by date, with a row of 1.0 at the quarter end before the first date (split ``base``)."""
-    path = cumulative_product(curve, value, keys, date, split, "nav")
+    path = cumulative_product(curve, value, keys, date, split, "nav", spread)
     path = path.select(*keys, date, split, "nav")
     base = curve.groupBy(*keys).agg(F.min(date).alias(date)).withColumns({date: previous_quarter_end(date), split: F.lit("base"), "nav": F.lit(1.0)})
     return path.unionByName(base.select(*keys, date, split, "nav"))

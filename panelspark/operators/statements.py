@@ -42,9 +42,9 @@ def align_statements(income: DataFrame, balance: DataFrame, cashflow: DataFrame,
     return once(income).join(once(balance), keys).join(once(cashflow), keys, "left")
 
 
-def raw_records(filings: DataFrame, prices: DataFrame, price: str = "price", key: str = "ticker", date: str = "report_date", price_date: str = "date") -> DataFrame:
+def raw_records(filings: DataFrame, prices: DataFrame, price: str = "price", key: str = "ticker", date: str = "report_date", price_date: str = "date", spread: bool = False) -> DataFrame:
     """Market value from the last close at or before the report date, capital spending and free cash flow; missing extras are 0."""
-    priced = as_of(filings, prices, key, date, price_date, price, "close")
+    priced = as_of(filings, prices, key, date, price_date, price, "close", spread)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     capex = -zero("change_ppe")
     return priced.withColumns({

@@ -36,9 +36,10 @@ def scanned(df: DataFrame, keys: list[str], order: list[str], block: Column, col
     """df with running values (``columns``: result -> input) of each key in the order, a prefix scan in two steps.
 
     ``local`` runs within (key, block of time). The value at the end of each block is carried over the blocks before by
-    ``carry``, one row for each block, and ``join`` puts both together. So a key's rows are spread over tasks by block; df is
-    shuffled once, as the ends are read off the same exchange.
+    ``carry``, one row for each block, and ``join`` puts both together. So a key's rows are spread over tasks by block. df is
+    kept, as it is read for the ends and for the result.
     """
+    df = kept(df)
     w = by([*keys, "_block"], *order).rowsBetween(Window.unboundedPreceding, 0)
     place = F.row_number().over(by([*keys, "_block"], *order))
     run = df.withColumn("_block", block).withColumns({f"_l_{out}": local(c).over(w) for out, c in columns.items()} | {"_place": place})
@@ -56,16 +57,21 @@ def last_values(df: DataFrame, keys: list[str], order: list[str], block: Column,
     return scanned(df, keys, order, block, columns, last, last, lambda own, before: F.coalesce(own, before))
 
 
-def as_of(probe: DataFrame, facts: DataFrame, key: str, probe_time: str, fact_time: str, value: str, out: str) -> DataFrame:
-    """probe with the last non-null ``value`` of its key at or before its time: one shuffle and one sort by (key, block of time).
+def as_of(probe: DataFrame, facts: DataFrame, key: str, probe_time: str, fact_time: str, value: str, out: str, spread: bool = False) -> DataFrame:
+    """probe with the last non-null ``value`` of its key at or before its time: one shuffle and one sort by (key, time).
 
-    Facts and probes are put in one stream, facts first within a time, and the last value is carried on.
+    Facts and probes are put in one stream, facts first within a time, and the last value is carried on. ``spread`` deals a
+    key's rows over tasks by blocks of time, for keys that hold much of all rows.
     """
     columns = probe.columns
     tagged = probe.withColumn("_t", F.col(probe_time)).withColumn("_tag", F.lit(1)).withColumn("_v", F.lit(None).cast(facts.schema[value].dataType))
     given = facts.select(F.col(key), F.col(fact_time).alias("_t"), F.lit(0).alias("_tag"), F.col(value).alias("_v"))
     both = tagged.unionByName(given, allowMissingColumns=True)
-    merged = last_values(both.drop(out) if out in columns else both, [key], ["_t", "_tag"], time_block(both, "_t"), {out: "_v"})
+    both = both.drop(out)
+    if spread:
+        merged = last_values(both, [key], ["_t", "_tag"], time_block(both, "_t"), {out: "_v"})
+    else:
+        merged = both.withColumn(out, F.last("_v", ignorenulls=True).over(by(key, "_t", "_tag").rowsBetween(Window.unboundedPreceding, 0)))
     return merged.where("_tag = 1").select(*[c for c in columns if c != out], out)
 
 
@@ -80,8 +86,11 @@ def last_per_period(df: DataFrame, keys: list[str], time: str, values: list[str]
     return df.groupBy(*keys).agg(F.max(time).alias(out_time or time), *last)
 
 
-def forward_fill(df: DataFrame, key: str, time: str, columns: list[str], block: Column | None = None) -> DataFrame:
-    """Each column's last non-null value up to the row, carried over blocks of time (of ``time``, if no other is given)."""
+def forward_fill(df: DataFrame, key: str, time: str, columns: list[str], spread: bool = False, block: Column | None = None) -> DataFrame:
+    """Each column's last non-null value up to the row. ``spread`` deals a key's rows over tasks by blocks of time (of ``time``, if no other block is given)."""
+    if not spread:
+        w = history(key, time)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
     filled = last_values(df, [key], [time], time_block(df, time) if block is None else block, {f"_f_{c}": c for c in columns})
     return filled.select(*[F.col(f"_f_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
@@ -92,11 +101,11 @@ def calendar_spine(df: DataFrame, key: str, time: str) -> DataFrame:
     return ends.select(key, F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias(time))
 
 
-def resample_daily(panel: DataFrame, key: str, time: str) -> DataFrame:
+def resample_daily(panel: DataFrame, key: str, time: str, spread: bool = False) -> DataFrame:
     """One row for each key and day, filled forward; of several rows for a day the last one (by all columns) counts."""
     values = [c for c in panel.columns if c not in (key, time)]
     kept = first_per_key(panel, [key, time], *[F.col(c).desc_nulls_last() for c in values])
-    return forward_fill(calendar_spine(panel, key, time).join(kept, [key, time], "left"), key, time, values).select(panel.columns)
+    return forward_fill(calendar_spine(panel, key, time).join(kept, [key, time], "left"), key, time, values, spread).select(panel.columns)
 
 
 #: So many rows of a key are compared with each other in one group.
@@ -172,6 +181,9 @@ def rolling_zscore(x: str, keys: str, time: str, rows: int = 12, least: int = 1)
     return F.when(F.count(x).over(w) >= least, z)
 
 
-def cumulative_product(df: DataFrame, x: str, keys: list[str], date: str, then: str, out: str) -> DataFrame:
-    """df with the product of x over all rows of its keys up to this one, by date and then another column, carried over years."""
-    return scanned(df, list(keys), [date, then], time_block(df, date), {out: x}, F.product, F.product, lambda own, before: own * F.coalesce(before, F.lit(1.0)))
+def cumulative_product(df: DataFrame, x: str, keys: list[str], date: str, then: str, out: str, spread: bool = False) -> DataFrame:
+    """df with the product of x over all rows of its keys up to this one, by date and then another column. ``spread`` deals the keys' rows over tasks by year."""
+    if spread:
+        return scanned(df, list(keys), [date, then], time_block(df, date), {out: x}, F.product, F.product, lambda own, before: own * F.coalesce(before, F.lit(1.0)))
+    over = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(date, then)
+    return df.withColumn(out, F.product(x).over(over.rowsBetween(Window.unboundedPreceding, 0)))

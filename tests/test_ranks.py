@@ -85,17 +85,18 @@ def test_carried_values_of_a_long_key(uncoalesced):
     df = uncoalesced.range(15_000).select(k.alias("k"), day.alias("d"), F.when(F.rand(1) < 0.01, F.rand(2)).alias("v"), (1 + F.rand(3) / 1000).alias("g"), F.lit("s").alias("s"), "id").persist()
     w = windows.history("k", "d")
     want = {r.id: (r.f, r.p) for r in df.select("id", F.last("v", ignorenulls=True).over(w).alias("f"), F.product("g").over(w).alias("p")).collect()}
-    filled = windows.forward_fill(df, "k", "d", ["v"])
+    filled = windows.forward_fill(df, "k", "d", ["v"], spread=True)
     assert filled.columns == df.columns and {r.id: r.v for r in filled.collect()} == {i: f for i, (f, _) in want.items()}
-    product = windows.cumulative_product(df, "g", ["k"], "d", "s", "p")
+    product = windows.cumulative_product(df, "g", ["k"], "d", "s", "p", spread=True)
     assert all(abs(r.p / want[r.id][1] - 1) < 1e-9 for r in product.collect())
     for out in (filled, product):
         per = [r["count"] for r in out.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
         assert len(per) >= 4 and max(per) < 6000
     facts = df.where("v is not null").select("k", F.col("d").alias("at"), "v")
     probe = df.select("k", "d", "id")
-    got = {r.id: r.v for r in windows.as_of(probe, facts, "k", "d", "at", "v", "v").collect()}
-    assert got == {i: f for i, (f, _) in want.items()}
-    assert windows.forward_fill(df.limit(0), "k", "d", ["v"]).collect() == []
-    everything = windows.cumulative_product(df.where("k = 'cold'"), "g", [], "d", "s", "p").collect()
+    for spread in (False, True):
+        got = {r.id: r.v for r in windows.as_of(probe, facts, "k", "d", "at", "v", "v", spread).collect()}
+        assert got == {i: f for i, (f, _) in want.items()}
+    assert windows.forward_fill(df.limit(0), "k", "d", ["v"], spread=True).collect() == []
+    everything = windows.cumulative_product(df.where("k = 'cold'"), "g", [], "d", "s", "p", spread=True).collect()
     assert all(abs(r.p / want[r.id][1] - 1) < 1e-9 for r in everything)
