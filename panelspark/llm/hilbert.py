@@ -104,7 +104,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     by_size = F.least(F.lit(cells - 1), F.floor(F.log2(F.col("size").cast("double") / 8) * cells / 20)).cast("int")
     by_id = F.least(F.lit(cells - 1), ((F.coalesce("doc_id", F.lit(low)) - F.lit(low)).cast("double") / span * cells).cast("int"))
     keyed = rows.select("doc_id", "size", "text_crc32", curve_column(bits, ranks(rows, "lang", bits), ranks(rows, "source", bits), by_size, by_id).alias("cell"))
-    ranked = numbered(keyed, "rank", "cell", "doc_id", "text_crc32", "size")
+    ranked = numbered(cut(keyed), "rank", "cell", "doc_id", "text_crc32", "size")
     number = F.expr(f"rank * {shards} div {max(n, 1)}")
     begin = F.expr(f"(shard * {max(n, 1)} + {shards - 1}) div {shards}")
     return ranked.withColumn("shard", number.cast("int")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - begin).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell")

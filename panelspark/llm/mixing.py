@@ -163,6 +163,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """One row for each document: doc_id, size, source_size, target, taken, source, text_hash."""
     key = F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), "source"))  # null last
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
+    rows = cut(rows)  # texts are read once, not again for the borders of the ranges
     rows = rows.withColumn("key", key).withColumn("hash", F.xxhash64("doc_id", "text_hash", F.lit(seed)))
     ranked = numbered(rows, "rank", "key", "size", "hash", "doc_id", "text_hash").withColumn("bucket", F.expr(f"rank div {ROWS_A_BUCKET}"))
     counts = cut(ranked.groupBy("key", "size", "bucket").agg(F.count("*").alias("k"), F.min("rank").alias("low")))
