@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import clip, quarter_end
 from panelspark.operators.quantiles import exact_quantiles, literal
+from panelspark.operators.ranks import ranked
 from panelspark.operators.windows import forward_fill
 from panelspark.sources.landing import kept
 
@@ -66,3 +67,26 @@ def cube(grid: DataFrame, columns: list[str], key: str = "ticker", date: str = "
     vector = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns])
     cells = grid.groupBy(date).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), vector.alias("v")))).alias("cells"))
     return cells.select(date, F.transform("cells", lambda x: x["k"]).alias("tickers"), F.transform("cells", lambda x: x["v"]).alias("matrix"))
+
+
+#: Assets in a row of the blocked cube.
+ASSETS = 4096
+
+
+def asset_axis(df: DataFrame, key: str = "ticker", size: int = ASSETS) -> DataFrame:
+    """key, position (from 0, in order of the keys), block, offset: where each asset stands in every date's cross-section."""
+    keys = ranked(df.select(key).where(F.col(key).isNotNull()).distinct(), "position", key)
+    return kept(keys.select(key, "position", F.expr(f"position div {size}").alias("block"), F.expr(f"cast(position % {size} as int)").alias("offset")))
+
+
+def cube_blocks(grid: DataFrame, axis: DataFrame, columns: list[str], key: str = "ticker", date: str = "date") -> DataFrame:
+    """date, block, offsets, matrix: the cube in rows of one date and one block of assets each, so that no row holds a whole cross-section. 0 for gaps; assets that a date lacks have no offset there."""
+    vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    cells = grid.join(axis, key).groupBy(date, "block").agg(F.array_sort(F.collect_list(F.struct("offset", vector.alias("v")))).alias("cells"))
+    return cells.select(date, "block", F.transform("cells", lambda x: x["offset"]).alias("offsets"), F.transform("cells", lambda x: x["v"]).alias("matrix"))
+
+
+def cube_rows(blocks: DataFrame, axis: DataFrame, key: str = "ticker", date: str = "date") -> DataFrame:
+    """date, key, vector of every cell of a blocked cube."""
+    each = blocks.select(date, "block", F.explode(F.arrays_zip(F.col("offsets").alias("offset"), F.col("matrix").alias("vector"))).alias("x")).select(date, "block", "x.*")
+    return each.join(axis.select(key, "block", "offset"), ["block", "offset"]).select(date, key, "vector")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.scalar import growth
 from panelspark.operators.ranks import positions
 from panelspark.operators.windows import trailing
+from panelspark.sources.landing import kept
 
 SPLITS = ["train", "val", "test"]
 
@@ -47,6 +48,61 @@ def portfolio_members(panel: DataFrame, features: list[str], horizon: int, lengt
     return df.where(ok & (F.size("sequence") == length)).select("split", "time_range", date, F.col(f"future_quarter_end_date_t{horizon}").alias("future_quarter_end_date"), "ticker", F.lit(length).alias("sequence_length"), F.col("sequence").alias("features"), F.col("quarter_price").alias("current_price"), F.col(f"future_price_t{horizon}").alias("future_price"))
 
 
+#: Assets in a row of the blocked portfolio samples, and rows of a key in a row of the sequence store.
+ASSETS, ROWS = 4096, 1024
+
+
+def portfolio_blocks(members: DataFrame, size: int = ASSETS, date: str = "quarter_end_date") -> DataFrame:
+    """The samples in rows of at most ``size`` assets: split, time_range, date, block, future_quarter_end_date, ticker_count (of the block), members in order of ticker.
+
+    Assets are numbered over sorted ranges, so a sample of any number of assets spreads over tasks; a block with several
+    target dates is an error, and so is a sample (its blocks' dates are compared, one row a block).
+    """
+    sample = ["split", "time_range", date]
+    fields = ["ticker", "sequence_length", "features", "current_price", "future_price"]
+    placed = positions(members, "_place", sample, "ticker").withColumn("block", F.expr(f"_place div {size}"))
+    out = placed.groupBy(*sample, "block").agg(F.min("future_quarter_end_date").alias("future_quarter_end_date"), F.max("future_quarter_end_date").alias("_last"), F.count("*").cast("int").alias("ticker_count"), F.array_sort(F.collect_list(F.struct(*fields))).alias("members"))
+    over = Window.partitionBy(*sample)
+    one = F.assert_true(F.min("future_quarter_end_date").over(over) == F.max("_last").over(over), F.lit("a sample has several target dates"))
+    return out.withColumn("_ok", one).where("_ok is null").drop("_ok", "_last")
+
+
+def sequence_store(panel: DataFrame, features: list[str], rows: int = ROWS, key: str = "ticker", date: str = "quarter_end_date") -> tuple[DataFrame, DataFrame]:
+    """Feature rows stored once, and where each panel row stands in them -> (store, placed).
+
+    store: key, block, vectors (32-bit; the key's rows in order of date, ``rows`` a block). placed: the panel with block and
+    offset of its vector. What is stored doesn't depend on how long sequences are.
+    """
+    placed = kept(positions(panel, "_place", [key], date).withColumns({"block": F.expr(f"_place div {rows}"), "offset": F.expr(f"cast(_place % {rows} as int)")}).drop("_place"))
+    vector = F.array(*[F.col(c).cast("float") for c in features])
+    lists = placed.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("offset", vector.alias("v")))).alias("l"))
+    return lists.select(key, "block", F.transform("l", lambda x: x["v"]).alias("vectors")), placed
+
+
+def stored_samples(placed: DataFrame, horizons: list[int], length: int, rows: int = ROWS, key: str = "ticker", date: str = "quarter_end_date") -> DataFrame:
+    """The eligible samples (as ``sequence_samples`` has them) with block and offset of their last vector in place of features."""
+    df = placed.withColumn("_before", F.col("block") * rows + F.col("offset") + 1)
+    prices, classes = [F.col(f"future_price_t{h}") for h in horizons], [F.col(f"class_target_t{h}") for h in horizons]
+    ready = F.coalesce("window_ready", F.lit(False)) & F.coalesce("horizon_target_ready", F.lit(False)) & (F.col("_before") >= length)
+    for c in [*prices, *classes]:
+        ready = ready & c.isNotNull()
+    return df.where(ready).select("split", key, "time_range", date, F.lit(length).alias("sequence_length"), "block", "offset", F.array(*prices).cast("array<float>").alias("price_targets"), F.array(*classes).cast("array<int>").alias("class_targets"))
+
+
+def expanded(found: DataFrame, store: DataFrame, length: int, rows: int = ROWS, key: str = "ticker") -> DataFrame:
+    """stored samples with their features: the last ``length`` vectors up to each one's place, from as many blocks as they reach into. For readers; only blocks that samples ask for are joined."""
+    back = -(-(length - 1) // rows)
+    out = found.withColumn("_v", F.array().cast("array<array<float>>"))
+    for k in range(back + 1):
+        part = store.select(F.col(key).alias("_key"), (F.col("block") + k).alias("_block"), F.col("vectors").alias("_more"))
+        joined = out.join(part, F.col(key).eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block")), "left")
+        stop = F.col("offset") + 1 if k == 0 else F.lit(rows)
+        need = F.least(F.lit(length) - F.size("_v"), stop)
+        piece = F.when(need > 0, F.slice(F.coalesce("_more", F.array().cast("array<array<float>>")), stop - need + 1, need)).otherwise(F.array().cast("array<array<float>>"))
+        out = joined.withColumn("_v", F.concat(piece, "_v")).drop("_key", "_block", "_more")
+    return out.withColumn("features", F.col("_v")).drop("_v", "block", "offset")
+
+
 def portfolio_samples(members: DataFrame, date: str = "quarter_end_date") -> DataFrame:
     """One row for each (split, period, date), assets sorted by ticker; an error if a sample has several target dates."""
     fields = ["ticker", "sequence_length", "features", "current_price", "future_price"]

@@ -54,9 +54,10 @@ def landed_fundamentals(spark, sf):
 
 @query(f"WITH {S.SQL_STORIES} SELECT ticker, date, url, ordinal::DOUBLE AS ordinal_score, time_range, overall_sentiment_score FROM stories WHERE day(date) <> 7")
 def landed_stories(spark, sf):
-    """Stories of the 7th are landed without a date."""
+    """Stories of the 7th are landed without a date. The file goes through its landing step."""
     s = S.stories(spark, sf).select("ticker", F.when(F.dayofmonth("date") != 7, F.col("date")).alias("date"), "url", F.col("ordinal").alias("ordinal_score"), "overall_sentiment_score", "topics_json")
-    return readers.stories(spark, write_csv(s, fresh_folder(spark, "stories"))).select("ticker", "date", "url", "ordinal_score", "time_range", "overall_sentiment_score")
+    landed = readers.landed_text(spark, write_csv(s, fresh_folder(spark, "stories")), fresh_folder(spark, "stories-landed"))
+    return readers.stories(spark, landed, landed=True).select("ticker", "date", "url", "ordinal_score", "time_range", "overall_sentiment_score")
 
 
 @query(f"WITH {S.SQL_MACRO} SELECT {S.SQL_TAG.format('date')} AS time_range, max(date) AS date, arg_max(v, date) FILTER (WHERE month(date) % 3 <> 0) AS econ_v, arg_max(n, date) AS econ_n FROM months GROUP BY 1")

@@ -527,6 +527,32 @@ def cube(spark, sf):
     return got.select("date", F.size("tickers").cast("long").alias("tickers"), F.round(F.aggregate(F.flatten("matrix"), F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
 
+@query(_SCALED + ", axis AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS position FROM (SELECT DISTINCT ticker FROM sc)) SELECT date, position // 7 AS block, count(*)::INT AS assets, min(ticker) AS first, round(sum(f1 + f2), 3) AS total FROM sc JOIN axis USING (ticker) GROUP BY 1, 2")
+def cube_blocks(spark, sf):
+    """The cube in rows of seven assets; the first one's name is found by the axis."""
+    grid = _scaled(spark, sf)
+    axis = normalize.asset_axis(grid, size=7)
+    got = normalize.cube_blocks(grid, axis, ["f1", "f2"]).withColumn("offset", F.col("offsets")[0])
+    named = got.join(axis.select("block", "offset", F.col("ticker").alias("first")), ["block", "offset"])
+    return named.select("date", "block", F.size("offsets").alias("assets"), "first", F.round(F.aggregate(F.flatten("matrix"), F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+
+
+@query(_MEMBERS + ", blk AS (SELECT *, (row_number() OVER (PARTITION BY split, quarter_end_date ORDER BY ticker) - 1) // 9 AS block FROM m) SELECT split, quarter_end_date, block, min(d1) AS future_quarter_end_date, count(*)::INT AS ticker_count, min(ticker) AS first_ticker, round(sum(p1), 5) AS future FROM blk GROUP BY 1, 2, 3")
+def portfolio_blocks(spark, sf):
+    got = samples.portfolio_blocks(_members(spark, sf), 9)
+    future = F.round(F.aggregate("members", F.lit(0.0), lambda s, x: s + x["future_price"]), 5)
+    return got.select("split", "quarter_end_date", "block", "future_quarter_end_date", "ticker_count", F.col("members")[0]["ticker"].alias("first_ticker"), future.alias("future"))
+
+
+@query(_JOINED + ", lists AS (SELECT *, list(f1::FLOAT) OVER w AS a, list(f3::FLOAT) OVER w AS b FROM j WINDOW w AS (PARTITION BY ticker ORDER BY quarter_end_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) SELECT split, ticker, quarter_end_date, a AS first_feature, b AS second_feature, p1::FLOAT AS p1, p2::FLOAT AS p2 FROM lists WHERE window_ready AND horizon_target_ready AND len(a) = 4 AND p1 IS NOT NULL AND p2 IS NOT NULL")
+def stored_sequences(spark, sf):
+    """Sequences of four rows from a store of blocks of three, expanded by the reader."""
+    store, placed = samples.sequence_store(_joined(spark, sf), ["f1", "f3"], 3)
+    got = samples.expanded(samples.stored_samples(placed, [1, 2], 4, 3), store, 4, 3)
+    of = lambda k: F.transform("features", lambda v: v[k])
+    return got.select("split", "ticker", "quarter_end_date", of(0).alias("first_feature"), of(1).alias("second_feature"), F.col("price_targets")[0].alias("p1"), F.col("price_targets")[1].alias("p2"))
+
+
 # ---- predictions -----------------------------------------------------------------
 
 _P = f"WITH {S.SQL_PREDICTIONS} "

@@ -15,9 +15,19 @@ from panelspark.operators.windows import last_per_period
 from panelspark.sources import schemas
 
 
-def csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All columns as text, by the header; quoted fields may hold line breaks."""
-    return spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
+def csv(spark: SparkSession, path: str, sep: str = ",", breaks: bool = False) -> DataFrame:
+    """All columns as text, by the header. One file is read by as many tasks as its size asks for, and only the columns that are used are parsed.
+
+    ``breaks``: quoted fields may hold line breaks; then one task reads a file from end to end. Without it, the pieces of such
+    a field are rows of their own, which lack what the readers need and are left out.
+    """
+    return spark.read.option("header", True).option("sep", sep).option("multiLine", breaks).option("escape", '"').csv(path)
+
+
+def landed_text(spark: SparkSession, path: str, to: str, sep: str = ",") -> str:
+    """The landing step of a file whose fields may hold line breaks: read once and written as parquet, which later scans split and prune. Gives ``to``."""
+    csv(spark, path, sep, breaks=True).repartition(spark.sparkContext.defaultParallelism).write.parquet(to)
+    return to
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -55,7 +65,7 @@ def statements(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "income": renamed(spark, f"{folder}/income.csv", schemas.INCOME),
         "balance": renamed(spark, f"{folder}/balance.csv", schemas.BALANCE),
         "cashflow": renamed(spark, f"{folder}/cashflow.csv", schemas.CASHFLOW),
-        "companies": csv(spark, f"{folder}/companies.csv", ";"),
+        "companies": csv(spark, f"{folder}/companies.csv", ";", breaks=True),
         "prices": prices(spark, f"{folder}/shareprices.csv"),
     }
 
@@ -72,9 +82,9 @@ def fundamental(spark: SparkSession, path: str, ticker: str = "ticker", date: st
     return average_by_period(_typed(df, ["ticker"], ["date"]), freq=freq)
 
 
-def stories(spark: SparkSession, path: str, ticker: str = "ticker", date: str = "date", freq: str = "quarterly") -> DataFrame:
-    """Cleaned story rows with their period."""
-    df = csv(spark, path)
+def stories(spark: SparkSession, path: str, ticker: str = "ticker", date: str = "date", freq: str = "quarterly", landed: bool = False) -> DataFrame:
+    """Cleaned story rows with their period, from the CSV file, or from the table that ``landed_text`` made of it."""
+    df = spark.read.parquet(path) if landed else csv(spark, path, breaks=True)
     need(df, [ticker, date], "the story file")
     df = df.withColumnsRenamed({ticker: "ticker", date: "date"})
     scores = [c for c in df.columns if c.endswith("_score")]

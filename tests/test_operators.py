@@ -278,3 +278,56 @@ def test_scores_by_hand(spark):
     assert abs(r.m - (-4.84 + 0.92 * dsri + 0.528 * gmi + 0.404 + 0.892 * sgi + 0.115 - 0.172 * sgai - 0.327)) < 1e-9
     o = -1.32 - 0.407 * math.log(200) + 6.03 * 0.4 - 1.43 * 0.15 + 0.0757 * 0.5 - 2.37 * 0.075 - 1.83 * 0.15 - 0.521 * 0.2
     assert abs(r.o - 1 / (1 + math.exp(-o))) < 1e-9
+
+
+@pytest.mark.parametrize(("length", "block"), [(1, 4), (4, 3), (4, 100), (9, 2)])
+def test_stored_sequences_are_the_sequences(spark, length, block):
+    ends = pd.date_range("2018-03-31", periods=14, freq="QE").date
+    rows_ = [(t, f"q{k}", e, float(k + 100 * n), None if k == 5 else 1.0, True, k < 12, "train", 1.0, 10.0 + k, 1) for n, t in enumerate(["A", "B", None]) for k, e in enumerate(ends[: 14 - 3 * n])]
+    p = spark.createDataFrame(rows_, "ticker string, time_range string, quarter_end_date date, x double, y double, window_ready boolean, horizon_target_ready boolean, split string, quarter_price double, future_price_t1 double, class_target_t1 int").repartition(3)
+    store, placed = samples.sequence_store(p, ["x", "y"], block)
+    assert store.agg(F.sum(F.size("vectors"))).head()[0] == len(rows_) and store.agg(F.max(F.size("vectors"))).head()[0] <= block
+    got = samples.expanded(samples.stored_samples(placed, [1], length, block), store, length, block)
+    want = samples.sequence_samples(p, ["x", "y"], [1], length)
+    key = lambda r: (str(r.ticker), r.quarter_end_date)
+    assert [tuple(r[c] for c in want.columns) for r in sorted(got.collect(), key=key)] == [tuple(r) for r in sorted(want.collect(), key=key)]
+    assert want.count() > 5
+
+
+def test_blocked_cross_sections(spark):
+    from panelspark.operators import normalize
+
+    g = spark.range(230).select(F.concat(F.lit("T"), F.col("id") % 23).alias("ticker"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 23).cast("int")).alias("date"), F.when(F.col("id") % 7 != 0, F.col("id") * 1.0).alias("a"), F.lit(2.0).alias("b"))
+    axis = normalize.asset_axis(g, size=5)
+    blocks = normalize.cube_blocks(g, axis, ["a", "b"])
+    assert blocks.agg(F.max(F.size("matrix"))).head()[0] == 5 and blocks.count() == 50
+    rebuilt = {}
+    for r in normalize.cube_rows(blocks, axis).collect():
+        rebuilt.setdefault(r.date, {})[r.ticker] = r.vector
+    assert {r.date: dict(zip(r.tickers, r.matrix, strict=True)) for r in normalize.cube(g, ["a", "b"]).collect()} == rebuilt
+    day_ = lambda d: F.lit(d).cast("date")
+    m = g.select(F.lit("train").alias("split"), F.lit("q").alias("time_range"), F.col("date").alias("quarter_end_date"), day_("2021-01-01").alias("future_quarter_end_date"), "ticker", F.lit(1).alias("sequence_length"), F.array(F.array("b")).alias("features"), F.lit(1.0).alias("current_price"), F.lit(2.0).alias("future_price"))
+    whole = {r.quarter_end_date: r.members for r in samples.portfolio_samples(m).collect()}
+    parts = sorted(samples.portfolio_blocks(m, 4).collect(), key=lambda r: (r.quarter_end_date, r.block))
+    assert max(len(r.members) for r in parts) == 4
+    assert {d: [x for r in parts if r.quarter_end_date == d for x in r.members] for d in whole} == whole
+    odd = m.withColumn("future_quarter_end_date", F.when(F.col("ticker") == "T9", day_("2022-01-01")).otherwise(F.col("future_quarter_end_date")))
+    with pytest.raises(Exception, match="several target dates"):
+        samples.portfolio_blocks(odd, 1).collect()
+
+
+def test_targets_take_one_shuffle(quarters):
+    plan = targets.attach_targets(targets.period_prices(quarters).persist(), [1, 2, 3, 4])
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert text.count("Exchange hashpartitioning") <= 2 and "Join" not in text and "Generate" not in text and "Aggregate" not in text
+
+
+def test_evaluation_reads_the_weights_once(two_runs, tmp_path):
+    from panelspark.sources import sinks
+
+    two_runs.withColumn("evaluation_scope", F.lit("all")).write.parquet(str(tmp_path / "w"))
+    out = jobs.evaluate(two_runs.sparkSession.read.parquet(str(tmp_path / "w")), 1, 1)
+    assert set(out) == set(sinks.EVALUATION_TABLES)
+    for name, df in out.items():
+        assert "parquet" not in df._jdf.queryExecution().optimizedPlan().toString(), name

@@ -78,3 +78,24 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.table("stories_out").collect()}
     want = {tuple(r) for r in story_stream(batch).collect()}
     assert got == want and len(want) == 2
+
+
+def test_one_file_makes_many_tasks(spark, tmp_path):
+    lines = [f"T{k % 50};2024-01-{k % 28 + 1:02d};{k}.5;{k};note {k}" for k in range(60_000)]
+    lines[30_000] = 'T1;2024-01-02;"broken'  # a field with a break falls apart, and out
+    lines.insert(30_001, 'in two";1;x')
+    (tmp_path / "p.csv").write_text("Ticker;Date;Adj. Close;Volume;Note\n" + "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = readers.prices(spark, str(tmp_path / "p.csv"))
+        assert df.rdd.getNumPartitions() >= 8
+        assert df.count() == 59_999 and df.agg(F.sum("price")).head()[0] == sum(k + 0.5 for k in range(60_000) if k != 30_000)
+        schema = df._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].splitlines()[0]
+        assert "Volume" not in schema and "Note" not in schema and "Date" in schema
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "s.csv").write_text('ticker,date,overall_sentiment_score,summary\nA,2024-01-05,0.5,"two\nlines"\n')
+    landed = readers.landed_text(spark, str(tmp_path / "s.csv"), str(tmp_path / "s"))
+    assert readers.stories(spark, landed, landed=True).head().summary == "two\nlines"
