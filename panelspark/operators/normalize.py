@@ -34,14 +34,14 @@ def _scaled(c: str, low: Column, middle: Column, high: Column) -> Column:
     return (F.col(c) - middle) / F.when(spread == 0, 1.0).otherwise(spread)
 
 
-def robust_scale(df: DataFrame, columns: list[str], per_key: list[str] = (), key: str = "ticker", bound: float = 5.0, approximate: bool = False) -> DataFrame:
+def robust_scale(df: DataFrame, columns: list[str], per_key: list[str] = (), key: str = "ticker", bound: float = 5.0, approximate: bool = False, keep: bool = True) -> DataFrame:
     """(x - median) / interquartile range, over all rows, or for ``per_key`` columns over the key's rows and kept within the bound; a range of 0 counts as 1.
 
     What goes over all rows is selected exactly in a few passes over the kept df, or by one pass of sketches if ``approximate``.
-    What goes over a key's rows is an aggregate by key.
+    What goes over a key's rows is an aggregate by key. ``keep=False`` where df is kept already.
     """
     everywhere = [c for c in columns if c not in per_key]
-    df = kept(df)
+    df = kept(df) if keep else df
     out = df
     if everywhere:
         found = _quantiles(df, everywhere, [0.25, 0.5, 0.75], approximate)

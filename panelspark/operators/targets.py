@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import forward_return, period_end, period_tag, return_class, shift_period
@@ -14,15 +14,17 @@ def period_prices(prices: DataFrame, freq: str = "quarterly", key: str = "ticker
     return clean.groupBy(key, period_end(date, freq).alias(end)).agg(F.max_by(price, F.struct(F.col(date), F.col(price))).alias("quarter_price")).withColumn("time_range", period_tag(end, freq))
 
 
-def _ahead(prices: DataFrame, horizons: list[int], threshold: float, freq: str, key: str, end: str) -> dict[int, Column]:
-    """For each horizon a struct of future_date, future_price, future_return, class_target: a frame that holds just the period h after, by its number, so that all horizons share one window."""
+def _ahead(prices: DataFrame, horizons: list[int], threshold: float, freq: str, key: str, end: str) -> DataFrame:
+    """prices with a struct _t{h} of future_date, future_price, future_return, class_target for each horizon.
+
+    A frame holds just the period h after, by its number, so all horizons share one window.
+    """
     number = F.unix_date(end) if period_is_day(freq) else F.year(end) * 4 + F.quarter(end)
-    out = {}
-    for h in horizons:
-        then = F.max("quarter_price").over(Window.partitionBy(key).orderBy(number).rangeBetween(h, h))
-        back = forward_return("quarter_price", then)
-        out[h] = F.struct(F.when(then.isNotNull(), shift_period(end, h, freq)).alias("future_date"), then.alias("future_price"), back.alias("future_return"), return_class(back, threshold).alias("class_target"))
-    return out
+    over = Window.partitionBy(key).orderBy(number)
+    found = prices.withColumns({f"_p{h}": F.max("quarter_price").over(over.rangeBetween(h, h)) for h in horizons})
+    back = {h: forward_return("quarter_price", f"_p{h}") for h in horizons}
+    made = {f"_t{h}": F.struct(F.when(F.col(f"_p{h}").isNotNull(), shift_period(end, h, freq)).alias("future_date"), F.col(f"_p{h}").alias("future_price"), back[h].alias("future_return"), return_class(back[h], threshold).alias("class_target")) for h in horizons}
+    return found.withColumns(made).drop(*[f"_p{h}" for h in horizons])
 
 
 def future_prices(prices: DataFrame, horizons: list[int], threshold: float = 0.02, freq: str = "quarterly", key: str = "ticker", end: str = "quarter_end_date") -> DataFrame:
@@ -30,16 +32,14 @@ def future_prices(prices: DataFrame, horizons: list[int], threshold: float = 0.0
 
     prices has one row for each key and period, as ``period_prices`` gives them.
     """
-    ahead = _ahead(prices, horizons, threshold, freq, key, end)
-    wide = prices.withColumns({f"_t{h}": c for h, c in ahead.items()})
+    wide = _ahead(prices, horizons, threshold, freq, key, end)
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_t{h}").alias("t")) for h in horizons]))
     return wide.withColumn("_t", each).select(*prices.columns, "_t.horizon", "_t.t.*")
 
 
 def attach_targets(prices: DataFrame, horizons: list[int], threshold: float = 0.02, freq: str = "quarterly", key: str = "ticker", end: str = "quarter_end_date") -> DataFrame:
     """Wide form: for each horizon h future_quarter_end_date_t{h}, future_price_t{h}, future_return_t{h}, class_target_t{h}. One shuffle, by key."""
-    ahead = _ahead(prices, horizons, threshold, freq, key, end)
-    wide = prices.withColumns({f"_t{h}": c for h, c in ahead.items()})
+    wide = _ahead(prices, horizons, threshold, freq, key, end)
     names = {"future_date": "future_quarter_end_date", "future_price": "future_price", "future_return": "future_return", "class_target": "class_target"}
     return wide.select(key, end, "time_range", "quarter_price", *[F.col(f"_t{h}.{c}").alias(f"{n}_t{h}") for h in horizons for c, n in names.items()])
 

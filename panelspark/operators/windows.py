@@ -146,33 +146,34 @@ def historical_percentiles(df: DataFrame, columns: list[str], key: str, time: st
     """df with each column replaced by the share of the key's rows up to this one whose value is below this one's: 0 for NULL, and NULL before the first value.
 
     Rows of equal time are ordered by the columns. Where no key has more than ``block`` rows, each key's rows are compared in
-    one group. Otherwise only key, time and the columns are sorted, by time and by value, and the comparison is dealt over
+    one group, in one shuffle. Otherwise only key, time and the columns are sorted, by time and by value, and the comparison is dealt over
     blocks (``_smaller_in_history``): its work for a key of n rows is n * block + (n / block) ** 2, spread over tasks. Rows
     without key count as one key.
     """
     rows = kept(df.withColumn("_id", F.monotonically_increasing_id()))
     longest = rows.groupBy(key).count().agg(F.max("count")).head()[0] or 0
-    narrow = rows.select("_id", F.struct(key).alias("_key"), F.col(time).alias("_time"), *[F.col(c).alias(f"_x{k}") for k, c in enumerate(columns)])
     names = [f"_x{k}" for k in range(len(columns))]
+    values = [F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]
     if longest <= block:
-        order = F.struct("_time", *names, "_id")
-        lists = narrow.groupBy("_key").agg(F.array_sort(F.collect_list(order)).alias("l"))
 
         def share(c: str, x: Column, i: Column) -> Column:
             before = F.slice("l", 1, i)
             return F.when(x[c].isNotNull(), F.size(F.filter(before, lambda y: y[c] < x[c])) / (i + 1)).when(F.exists(before, lambda y: y[c].isNotNull()), 0.0).alias(c)
 
-        found = F.transform("l", lambda x, i: F.struct(x["_id"].alias("_at"), *[share(c, x, i) for c in names]))
-        done = lists.select(F.explode(found).alias("x")).select("x.*")
-    else:
-        placed = kept(positions(narrow, "_pos", ["_key"], "_time", *names, "_id"))
-        done = placed
-        for k, c in enumerate(names):
-            less = _smaller_in_history(placed, c, "_key", block).select(F.col("_id").alias(f"_i{k}"), F.col("n").alias(f"_n{k}"))
-            done = done.join(less, F.col("_id") == F.col(f"_i{k}"))
-        done = done.select(F.col("_id").alias("_at"), *[F.when(F.col(c).isNotNull(), F.col(f"_n{k}") / (F.col("_pos") + 1)).when(F.col(f"_n{k}") > 0, 0.0).alias(c) for k, c in enumerate(names)])
+        own = [c for c in df.columns if c not in columns]
+        whole = F.struct(F.col(time).alias("_time"), *values, "_id", F.struct(*own).alias("_own"))
+        lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(whole)).alias("l")).select("l")
+        found = lists.select(F.explode(F.transform("l", lambda x, i: F.struct(x["_own"].alias("_own"), *[share(c, x, i) for c in names]))).alias("x")).select("x._own.*", *[F.col(f"x.{n}").alias(n) for n in names])
+        return found.select(*[F.col(names[columns.index(c)]).alias(c) if c in columns else F.col(c) for c in df.columns])
+    narrow = rows.select("_id", F.struct(key).alias("_key"), F.col(time).alias("_time"), *values)
+    placed = kept(positions(narrow, "_pos", ["_key"], "_time", *names, "_id"))
+    done = placed
+    for k, c in enumerate(names):
+        less = _smaller_in_history(placed, c, "_key", block).select(F.col("_id").alias(f"_i{k}"), F.col("n").alias(f"_n{k}"))
+        done = done.join(less, F.col("_id") == F.col(f"_i{k}"))
+    done = done.select(F.col("_id").alias("_at"), *[F.when(F.col(c).isNotNull(), F.col(f"_n{k}") / (F.col("_pos") + 1)).when(F.col(f"_n{k}") > 0, 0.0).alias(c) for k, c in enumerate(names)])
     out = rows.join(done, F.col("_id") == F.col("_at"))
-    return out.select(*[F.col(f"_x{columns.index(c)}").alias(c) if c in columns else F.col(c) for c in df.columns])
+    return out.select(*[F.col(names[columns.index(c)]).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def rolling_zscore(x: str, keys: str, time: str, rows: int = 12, least: int = 1) -> Column:

@@ -132,5 +132,5 @@ def saved_ensemble(weights: DataFrame, run_summary: DataFrame, families: tuple[s
 
 def normalized_cube(df: DataFrame, columns: list[str], per_key: list[str] = ()) -> DataFrame:
     """Medians for gaps, robust scaling, a grid of quarter ends, a matrix for each date."""
-    scaled = normalize.robust_scale(normalize.fill_medians(df, columns), columns, list(per_key))
+    scaled = normalize.robust_scale(normalize.fill_medians(df, columns), columns, list(per_key), keep=False)
     return normalize.cube(normalize.quarter_grid(scaled, columns), columns)

@@ -14,7 +14,8 @@ PROBABILITIES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 def same(df, columns, **how):
     want = df.agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), F.array(*[F.lit(p) for p in PROBABILITIES])).alias(c) for c in columns]).head()
-    got = exact_quantiles(df, columns, PROBABILITIES, **how)
+    got = exact_quantiles(df, columns, PROBABILITIES, whole=0, **how)
+    assert exact_quantiles(df, columns, PROBABILITIES) == got
     for c in columns:
         assert got[c] == (want[c] or [None] * len(PROBABILITIES)), c
 
