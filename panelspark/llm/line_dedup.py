@@ -8,7 +8,7 @@ document but the holder.
 
 * ``reference_counts`` pre-aggregates keys within each Arrow batch, then by key.
   ``insert`` adds documents' counts to a table; ``delete`` takes them off again, and
-  looks up a new holder only for keys whose holder went. So a table after inserting
+  looks up a new holder only for keys whose holder went, in the table of ``postings``. So a table after inserting
   and deleting the same documents is the table before.
 * ``build_filters`` puts the repeated keys of each shard (a range of the key's hash,
   at most SHARD_KEYS keys on average) into one cuckoo filter: buckets of 4 16-bit
@@ -124,12 +124,44 @@ def insert(refs: DataFrame, docs: DataFrame, **how) -> DataFrame:
     return refs.unionByName(reference_counts(docs, **how)).groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
 
 
-def delete(refs: DataFrame, gone: DataFrame, left: DataFrame, **how) -> DataFrame:
-    """The table after the documents ``gone`` went; ``left`` are those that stay. Keys that no document holds go."""
+def _posted(least_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, text -> (hi, lo, doc_id) of each text's distinct keys."""
+        for batch in batches:
+            ids = batch.column(0)
+            for row, raw, bounds in pieces(batch.column(1)):
+                x = Lines(raw, bounds)
+                ok = x.chars >= least_chars
+                hi, lo, at = x.value[0][ok], x.value[1][ok], x.row[ok] + row
+                order = np.lexsort((lo, hi, at))
+                hi, lo, at = hi[order], lo[order], at[order]
+                new = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]) | (at[1:] != at[:-1]))[: len(at)]
+                yield pa.RecordBatch.from_arrays([pa.array(hi[new].view(np.int64)), pa.array(lo[new].view(np.int64)), ids.take(pa.array(at[new]))], names=["hi", "lo", "doc_id"])
+
+    return run
+
+
+def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """hi, lo, doc_id, n: how many rows of each doc_id hold each key. Kept beside the reference counts, it makes deletions cheap."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(_posted(least_chars), "hi long, lo long, doc_id long")
+    return rows.groupBy("hi", "lo", "doc_id").agg(F.count("*").alias("n"))
+
+
+def delete(refs: DataFrame, gone: DataFrame, left: DataFrame | None = None, posted: DataFrame | None = None, **how) -> DataFrame:
+    """The table after the documents ``gone`` went. Keys that no document holds go.
+
+    Only keys whose holder went need another one. It is looked up in ``posted`` (the ``postings`` before the deletion), of which
+    just the rows of these keys are taken; or, without that table, in ``left``, the documents that stay, which are all read.
+    """
     off = reference_counts(gone, **how).select("hi", "lo", F.col("n").alias("off"), F.col("holder").alias("went"))
     now = cut(refs.join(off, ["hi", "lo"], "left").withColumn("n", F.col("n") - F.coalesce("off", F.lit(0))).where("n > 0"))
     lost = now.where("off is not null and holder <=> went").select("hi", "lo")
-    found = reference_counts(left, **how).join(lost, ["hi", "lo"], "left_semi").select("hi", "lo", F.col("holder").alias("new"), F.lit(True).alias("changed"))
+    if posted is not None:
+        less = postings(gone, **how).withColumn("n", -F.col("n"))
+        still = posted.join(lost, ["hi", "lo"], "left_semi").unionByName(less).groupBy("hi", "lo", "doc_id").agg(F.sum("n").alias("n")).where("n > 0")
+        found = still.groupBy("hi", "lo").agg(F.max("doc_id").alias("new")).join(lost, ["hi", "lo"], "left_semi").withColumn("changed", F.lit(True))
+    else:
+        found = reference_counts(left, **how).join(lost, ["hi", "lo"], "left_semi").select("hi", "lo", F.col("holder").alias("new"), F.lit(True).alias("changed"))
     return now.join(found, ["hi", "lo"], "left").select("hi", "lo", "n", F.when(F.col("changed"), F.col("new")).otherwise(F.col("holder")).alias("holder"))
 
 

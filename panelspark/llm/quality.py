@@ -23,6 +23,8 @@ kind's share (0.5 without labels); repeated rows give repeated results.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import table
-from panelspark.llm.labelled import held_out, sample
+from panelspark.llm.labelled import held_out, sample_rows
 from panelspark.llm.text import NOT_SPACE, U64, Words, mix, pieces
 
 MAX_DOCS, POOL, MAX_BYTES = 6000, 3000, 25_000_000
@@ -213,13 +215,32 @@ def with_raw(col: pa.Array):
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", max_docs: int = MAX_DOCS, pool: int = POOL, max_bytes: int = MAX_BYTES) -> CoTrained:
+    """Fitted in one task over the two bounded samples; only the fitted weights come to the driver."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"), *layout(F.col(text)))
     columns = ["lang", "source", *LAYOUT]
-    known = sample(docs, labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias(label)), label, columns, max_docs, max_bytes)
+    known = sample_rows(docs, labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias(label)), label, columns, max_docs, max_bytes)
     free = docs.select("doc_id").join(labels.select(F.col(doc_id).alias("doc_id")).distinct(), "doc_id", "left_anti").withColumn("y", F.lit(0))
-    unknown = sample(docs, free, "y", columns, pool, max_bytes)
-    views = lambda rows: (_content([r["text"] for r in rows]), page_features([r["lang"] for r in rows], [r["source"] for r in rows], np.array([[r[c] for c in LAYOUT] for r in rows]).reshape(-1, 4)))
-    return co_train(views(known), np.array([r["_y"] for r in known]), views(unknown))
+    unknown = sample_rows(docs, free, "y", columns, pool, max_bytes)
+    fields = ["_place", "_y", "text", F.col("lang").cast("string"), F.col("source").cast("string"), *LAYOUT]
+    rows = known.select(F.lit(0).alias("pool"), *fields).unionByName(unknown.select(F.lit(1).alias("pool"), *fields))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:2])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted_on(got))], pa.binary())], names=["model"])
+
+    made = rows.repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(made[0].model) if made else co_train((_content([]), _page([])), np.zeros(0, int), (_content([]), _page([])))
+
+
+def _page(rows: list[tuple]) -> np.ndarray:
+    return page_features([r[4] for r in rows], [r[5] for r in rows], np.array([r[6:] for r in rows]).reshape(-1, 4))
+
+
+def fitted_on(rows: list[tuple]) -> CoTrained:
+    """The classifier of sampled rows (pool, place, label, text, lang, source, layout), the labelled ones first."""
+    known, unknown = ([r for r in rows if r[0] == k] for k in (0, 1))
+    views = lambda part: (_content([r[3] for r in part]), _page(part))
+    return co_train(views(known), np.array([r[2] for r in known], int), views(unknown))
 
 
 def quality(docs: DataFrame, model: CoTrained, text: str = "text", lang: str = "lang", source: str = "source") -> Column:

@@ -1,6 +1,7 @@
 """Mixing, sharding, nearest neighbours, classifiers, and the pipeline."""
 
 import itertools
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -11,6 +12,7 @@ from helpers import docs, odd_texts, rng, sentence, words
 from pyspark.sql import functions as F
 
 from panelspark.llm import common, hilbert, mixing, multi_index, quality, toxicity
+from panelspark.llm import text as text_module
 from panelspark.llm.labelled import held_out, sample
 
 SPACE_RE = r"[^\x20\x09-\x0D]+"
@@ -409,3 +411,125 @@ def test_co_training_exchanges_and_gains():
         right[rounds] = np.mean((model.score(a[new], b[new]) >= 0.5) == y[new])
         assert (min(model.exchanged) > 100) == (rounds > 0)
     assert right[4] > right[0]
+
+
+def naive_content(text):
+    """The measures of view one word by word, and its hashed shapes."""
+    raw = (text or "").encode()
+    found = [m.group() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    out = np.zeros(quality.MEASURES + 2 * quality.BUCKETS)
+    if not found:
+        return out
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in found]
+    upper = [sum(65 <= c <= 90 for c in x) for x in found]
+    lower = [sum(97 <= c <= 122 for c in x) for x in found]
+    marks = [sum(32 < c < 128 and not chr(c).isalnum() for c in x) for x in found]
+    size, mean = [len(x) for x in found], lambda v: sum(v) / len(found)
+    short = mean([min(n, 40) for n in size]) / 10
+    out[:11] = [
+        mean([k > 0 and low[k] == low[k - 1] for k in range(len(low))]), len(set(low)) / len(low), mean([u > 1 and n == 0 for u, n in zip(upper, lower, strict=True)]), mean([min(m, 4) for m in marks]), mean([m > 1 for m in marks]),
+        mean([m == n for m, n in zip(marks, size, strict=True)]), short, max(0, mean([min(n, 40) ** 2 for n in size]) / 100 - short**2) ** 0.5, mean([x[-1:] in (b".", b"!", b"?") for x in found]), mean([65 <= x[0] <= 90 for x in found]), mean([x[-1] >= 128 for x in found]),
+    ]
+    for x, y in zip(found, low, strict=True):
+        for k, code in enumerate((y[-1] * 256 + (y[-2] if len(y) > 1 else y[-1]), x[0] * 64 + min(len(x), 63))):
+            bucket = int(text_module.mix(np.array([code + (k << 32)], np.uint64))[0]) >> 55
+            out[quality.MEASURES + k * quality.BUCKETS + bucket] += 1 / len(found)
+    out[quality.MEASURES :] **= 0.5
+    return out
+
+
+def naive_page(text, lang, source):
+    t, out = text or "", np.zeros(18 + 2 * quality.META_BUCKETS)
+    lines = t.split("\n")
+    chars, longest = len(t), max(map(len, lines))
+    out[:6] = [np.log1p(chars) / 10, len(t.encode()) / max(chars, 1) - 1, np.log1p(len(lines)) / 5, np.log1p(chars / len(lines)) / 5, np.log1p(longest) / 5, longest / max(chars, 1)]
+    out[6 + min(int(np.log2(1 + chars / len(lines))), 11)] = 1
+    for k, v in enumerate((lang, source)):
+        out[18 + k * quality.META_BUCKETS + zlib.crc32(f"{k}{'' if v is None else '=' + v}".encode()) % quality.META_BUCKETS] = 1
+    return out
+
+
+def test_quality_features_by_plain_loops(spark):
+    r = rng(17)
+    texts = [*odd_texts(), "Word word WORD. x! ?? é1 Été's", "a\nbb\n\nccc d", *[" ".join(r.choice(["Ab", "ab", "AB", "c-d", "!?", "é", "e.", "12", "x" * 50]) for _ in range(r.randrange(1, 60))) for _ in range(40)]]
+    got = quality._content(texts)
+    for row, text in zip(got, texts, strict=True):
+        assert np.allclose(row, naive_content(text), atol=2e-5), text
+    df = docs(spark, texts)
+    rows = df.select("lang", "source", *quality.layout(F.col("text")), "text").collect()
+    page = quality.page_features([x.lang for x in rows], [x.source for x in rows], np.array([[x.chars, x["size"], x.lines, x.longest] for x in rows]))
+    for row, x in zip(page, rows, strict=True):
+        assert np.allclose(row, naive_page(x.text, x.lang, x.source), atol=1e-5), x.text
+
+
+def test_logistic_by_gradient_descent():
+    """The fit against many plain steps down the same loss."""
+    g = np.random.Generator(np.random.PCG64(3))
+    x = g.normal(size=(300, 3))
+    y = (x @ [1.5, -1.0, 0.0] + g.normal(size=300) > 0.3).astype(float)
+    w = np.where(np.arange(300) % 3 == 0, 0.5, 1.0)
+    line = quality.logistic(x, y, w, rounds=2000)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-2)
+    weight, bias = np.zeros(3), 0.0
+    for _ in range(20_000):
+        e = (1 / (1 + np.exp(-(z @ weight + bias))) - y) * w / w.sum()
+        weight, bias = weight - 0.5 * (e @ z + 2e-4 * weight), bias - 0.5 * e.sum()
+    assert np.allclose(line.weight, weight, atol=0.02) and abs(line.bias - bias) < 0.02
+
+
+def test_held_out_quality_labels_change_no_score(spark):
+    r = rng(23)
+    df = docs(spark, [sentence(r, 30) if k % 4 else "BUY !!! " * 10 for k in range(300)])
+    labels = spark.createDataFrame([(k, int(k % 4 != 0)) for k in range(200)], "doc_id long, quality int")
+    turned = labels.withColumn("quality", F.when(held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = quality.quality_model(df, labels), quality.quality_model(df, turned)
+    score = lambda m: {x.doc_id: x.s for x in df.select("doc_id", quality.quality(df, m).alias("s")).collect()}
+    assert score(one) == score(two) and one.join is not None
+
+
+def edge_tables(spark, where, docs_rows, labels, benchmark):
+    for name, df in (("documents", docs_rows), ("labels", labels), ("benchmark", benchmark)):
+        df.write.parquet(f"{where}/{name}.parquet")
+    return str(where)
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """All five stages over null, empty, repeated and very long rows and clashing extra columns; with empty tables; and what each stage decides."""
+    import corpus_pipeline
+
+    r = rng(29)
+    plain = [sentence(r, 40, 4000) for _ in range(40)]
+    item = sentence(r, 30, 9000)
+    texts = [None, "", " \n", *plain, plain[0], plain[1] + " once more", f"{plain[2]} {item}", f"{item}", "long " * 60_000, plain[3], plain[3]]
+    ids = [*range(len(texts) - 4), None, None, 7, 7]
+    df = docs(spark, texts, ids)
+    for name in ("taken", "size", "kept", "n_shingles", "shard", "slot", "row", "hash", "rank", "bucket", "copy", "_i", "found", "text_hash"):
+        df = df.withColumn(name, F.lit("own"))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([("b1", item), ("b2", None), (None, "x"), ("b3", "")], "item_id string, text string")
+    sf = edge_tables(spark, tmp_path / "some", df, labels, benchmark)
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, now, sf)
+        assert after.columns == df.columns, name
+        after.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        seen[name] = now.select("doc_id", "text", "copy").collect()
+        assert all(x["copy"] == "own" for x in seen[name])
+    texts_of = lambda name: Counter(x.text for x in seen[name])
+    assert texts_of("toxicity") == Counter(texts)  # no labels, nothing is toxic
+    kept = texts_of("near_dedup")
+    assert kept[plain[0]] == 1 and plain[1] + " once more" not in kept and kept["long " * 60_000] == 1 and kept[None] == kept[""] == 1
+    clean = texts_of("decontamination")
+    assert item not in clean and f"{plain[2]} {item}" not in clean and clean[plain[2]] == 1 and sum(clean.values()) == sum(kept.values()) - 2
+    assert set(texts_of("mixing")) <= set(clean) and texts_of("mixing")[None] == 1
+    placed = corpus_pipeline.STAGES[-1][1](spark, now, sf).collect()
+    per = Counter(x.shard for x in placed)
+    assert len(placed) == len(seen["mixing"]) and max(per.values()) - min(per.get(k, 0) for k in range(24)) <= 1
+    assert corpus_pipeline.run(spark, sf).count() == len(placed)
+
+    none = edge_tables(spark, tmp_path / "none", df.limit(0), labels, benchmark.limit(0))
+    assert corpus_pipeline.run(spark, none).count() == 0
+    bare = edge_tables(spark, tmp_path / "bare", df, labels, benchmark.limit(0))
+    assert corpus_pipeline.run(spark, bare).count() >= len(placed)

@@ -224,6 +224,14 @@ def test_line_dedup_is_reversible(spark):
     assert rows(more) == rows(line_dedup.reference_counts(a.unionByName(b)))
     assert rows(line_dedup.delete(more, b, a)) == rows(refs)
     assert rows(line_dedup.delete(more, a, b)) == rows(line_dedup.reference_counts(b))
+    posted = line_dedup.postings(a.unionByName(b)).persist()
+    assert rows(line_dedup.delete(more, b, posted=posted)) == rows(refs)
+    assert rows(line_dedup.delete(more, a, posted=posted)) == rows(line_dedup.reference_counts(b))
+    some, rest = a.where("doc_id % 3 = 0"), a.where("doc_id % 3 <> 0")
+    assert rows(line_dedup.delete(refs, some, posted=line_dedup.postings(a))) == rows(line_dedup.reference_counts(rest))
+    odd = docs(spark, ["the same line of text"] * 6 + [None, ""], [None, None, 3, 3, 5, 9, 1, None])
+    gone = odd.where("doc_id = 9 or doc_id = 5")
+    assert rows(line_dedup.delete(line_dedup.reference_counts(odd), gone, posted=line_dedup.postings(odd))) == rows(line_dedup.reference_counts(odd.where("doc_id is null or doc_id < 5")))
 
 
 def test_filters(spark):
