@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_A_RUN = 50_000
+#: A key with more rows isn't looked up in one task; so many of the heaviest are broadcast, so that any other has at most that share of the rows.
+HOT_ROWS, HOT_KEYS = 250_000, 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,28 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def heaviest(sizes: DataFrame, on: list[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys of a table of sizes with over ``hot_rows`` rows, at most ``HOT_KEYS`` of them."""
+    return sizes.where(F.col(rows) > hot_rows).orderBy(F.desc(rows)).limit(HOT_KEYS).select(*on)
+
+
+def looked_up(rows: DataFrame, found: DataFrame, on: list[str], heavy: DataFrame, alone: Column | None = None) -> DataFrame:
+    """rows with the columns of a table that has one row a key, null where it has none.
+
+    Rows of heavy keys (at most ``HOT_KEYS``) get theirs from a broadcast and go on in any task, and so do rows that stand
+    ``alone``, which get null; all others meet the table by key. The first column of the key is a long.
+    """
+    values = [c for c in found.columns if c not in on]
+    few = found.join(F.broadcast(heavy), on, "left_semi").select(*on, F.struct(*values).alias("_few"))
+    out = rows.join(F.broadcast(few), on, "left")
+    alone = F.coalesce(alone, F.lit(False)) if alone is not None else F.lit(False)
+    out = out.withColumn("_alone", alone).withColumn("_key", F.when(F.col("_alone") | F.col("_few").isNotNull(), F.monotonically_increasing_id()).otherwise(F.col(on[0])))
+    rest = found.select(F.col(on[0]).alias("_key"), *on[1:], F.struct(*values).alias("_rest"))
+    out = out.join(rest, ["_key", *on[1:]], "left")
+    got = F.when(~F.col("_alone"), F.coalesce("_few", "_rest"))
+    return out.select(*rows.columns, *[got[c].alias(c) for c in values])
+
+
 def numbered(df: DataFrame, name: str, *by: str | Column) -> DataFrame:
     """df with a column of gapless ranks from 0 in the order ``by``: rows are sorted over ranges, and a row for each range comes to the driver.
 

@@ -147,6 +147,9 @@ def write_blocks(benchmark: DataFrame, item_id: str, text: str, width: int, bloc
     return folder, sorted(r.name for r in items.mapInArrow(build, "name string").collect())
 
 
+#: Where there are several blocks, a worker takes so many bytes of texts through one after the other.
+GROUP_BYTES = 64 << 20
+
 _open: dict[str, Block] = {}
 
 
@@ -164,50 +167,74 @@ def _block(folder: str, name: str) -> Block:
 _FOUND = "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,item_ids:array<string>,span_start:array<int>,span_end:array<int>>"
 
 
-def _search(folder: str, names: list[str]):
-    @F.arrow_udf(_FOUND)
-    def search(col: pa.Array) -> pa.Array:
-        """For each text: its words, the runs of hit words over all blocks, the items found."""
-        n_words = np.zeros(len(col), np.int64)
-        found: dict[int, set[str]] = {}
-        runs: dict[int, list[tuple[int, int]]] = {}
-        for name in names or [None]:
-            automata = _block(folder, name).automata if name else ()
-            for row, w in words(col, ALNUM):
-                n_words[row : row + len(w.first) - 1] = np.diff(w.first)
-                delta, rows = np.zeros(len(w.value) + 1, np.int32), set()
-                for auto, ids in automata:
-                    cand, where = auto.find(w)
-                    np.add.at(delta, where, 1)
-                    np.add.at(delta, where + auto.m, -1)
-                    for r, p in zip((np.searchsorted(w.first, where, "right") - 1).tolist(), cand.tolist(), strict=True):
-                        rows.add(r)
-                        found.setdefault(row + r, set()).update(ids[p])
-                hit = np.cumsum(delta)[:-1] > 0
-                for r in rows:
-                    edge = np.diff(np.concatenate(([0], hit[w.first[r] : w.first[r + 1]].view(np.int8), [0])))
-                    runs.setdefault(row + r, []).extend(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+class _Hits:
+    """What was found in one batch of texts: their words, the runs of hit words over all blocks, the items."""
+
+    def __init__(self, col: pa.Array):
+        self.col = col
+        self.n_words = np.zeros(len(col), np.int64)
+        self.found: dict[int, set[str]] = {}
+        self.runs: dict[int, list[tuple[int, int]]] = {}
+
+    def take(self, automata) -> None:
+        for row, w in words(self.col, ALNUM):
+            self.n_words[row : row + len(w.first) - 1] = np.diff(w.first)
+            delta, rows = np.zeros(len(w.value) + 1, np.int32), set()
+            for auto, ids in automata:
+                cand, where = auto.find(w)
+                np.add.at(delta, where, 1)
+                np.add.at(delta, where + auto.m, -1)
+                for r, p in zip((np.searchsorted(w.first, where, "right") - 1).tolist(), cand.tolist(), strict=True):
+                    rows.add(r)
+                    self.found.setdefault(row + r, set()).update(ids[p])
+            hit = np.cumsum(delta)[:-1] > 0
+            for r in rows:
+                edge = np.diff(np.concatenate(([0], hit[w.first[r] : w.first[r + 1]].view(np.int8), [0])))
+                self.runs.setdefault(row + r, []).extend(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+
+    def result(self) -> pa.StructArray:
         out = []
-        for k, n in enumerate(n_words.tolist()):
+        for k, n in enumerate(self.n_words.tolist()):
             spans: list[list[int]] = []
-            for a, b in sorted(runs.get(k, ())):
+            for a, b in sorted(self.runs.get(k, ())):
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], b)
                 else:
                     spans.append([a, b])
-            ids = sorted(found.get(k, ()))
+            ids = sorted(self.found.get(k, ()))
             out.append((n, sum(b - a for a, b in spans), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), ids, [a for a, _ in spans], [b for _, b in spans]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         names_ = ["n_words", "n_hit", "n_items", "items_sha256", "item_ids", "span_start", "span_end"]
         columns = zip(*out, strict=True) if out else [()] * len(kinds)
         return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names_)
 
+
+def _search(folder: str, names: list[str], group_bytes: int):
+    def through(group: list[pa.Array]) -> Iterator[pa.StructArray]:
+        hits = [_Hits(col) for col in group]
+        for name in names or [None]:
+            for h in hits:
+                h.take(_block(folder, name).automata if name else ())
+        return (h.result() for h in hits)
+
+    @F.arrow_udf(_FOUND)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Blocks outside, batches inside: a block is opened once for a group of batches, of ``group_bytes`` of texts. A single block stays open, so batches then go through one by one."""
+        group, held = [], 0
+        for col in batches:
+            group.append(col)
+            held += col.nbytes
+            if len(names) < 2 or held >= group_bytes:
+                yield from through(group)
+                group, held = [], 0
+        yield from through(group)
+
     return search
 
 
-def contamination(spark: SparkSession, text: Column, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> Column:
+def contamination(spark: SparkSession, text: Column, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, group_bytes: int = GROUP_BYTES) -> Column:
     """A struct column for a text column: n_words, n_hit, n_items, items_sha256, item_ids (as text), span_start and span_end (runs of hit words), contaminated."""
-    found = _search(*write_blocks(benchmark, item_id, item_text, width, block_windows))(text)
+    found = _search(*write_blocks(benchmark, item_id, item_text, width, block_windows), group_bytes)(text)
     fields = ["n_words", "n_hit", "n_items", "items_sha256", "item_ids", "span_start", "span_end"]
     return F.struct(*[found[f].alias(f) for f in fields], ((found["n_hit"] > 0) & (20 * found["n_hit"] >= found["n_words"])).alias("contaminated"))
 

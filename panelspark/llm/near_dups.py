@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import cut, table
+from panelspark.llm.common import HOT_ROWS, cut, heaviest, looked_up, table
 from panelspark.llm.components import connected
 from panelspark.llm.text import NOT_SPACE, U64, Words, mix, words
 
@@ -369,13 +369,14 @@ def _dealt(rows: Column, shingle_count: Column, block_rows: int, block_shingles:
     return F.greatest(F.ceil(rows / block_rows), F.ceil(shingle_count / block_shingles)).cast("int")
 
 
-def confirmed(docs: DataFrame, vertices: DataFrame, likely: DataFrame, width: int, percent: int, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def confirmed(docs: DataFrame, vertices: DataFrame, likely: DataFrame, width: int, percent: int, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The parts (id, root) that links confirmed on full sets make of the families of likely links."""
-    families = connected(likely).withColumnRenamed("root", "family")
+    families = connected(likely, hot_rows).withColumnRenamed("root", "family")
     members = vertices.select("id", "rep", "hi", "lo", "n").join(families, "id")
     sizes = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    several = cut(sizes.select("family", _dealt(F.col("rows"), F.col("shingles"), block_rows, block_shingles).alias("blocks")).where("blocks > 1"))
-    members = cut(members.join(several, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
+    several = cut(sizes.select("family", "rows", _dealt(F.col("rows"), F.col("shingles"), block_rows, block_shingles).alias("blocks")).where("blocks > 1"))
+    members = looked_up(members, several.drop("rows"), ["family"], heaviest(several, ["family"], "rows", hot_rows))
+    members = cut(members.withColumn("blocks", F.coalesce("blocks", F.lit(1))))
     columns = ["gid", "id", "rep", "hi", "lo", "part"]
     gid = lambda *c: F.xxhash64(*c).alias("gid")
     own = members.select(gid("family", F.pmod(F.xxhash64("id"), "blocks")), "id", "rep", "hi", "lo", F.col("id").alias("part"))
@@ -402,26 +403,26 @@ def confirmed(docs: DataFrame, vertices: DataFrame, likely: DataFrame, width: in
     placed = every.unionByName(rest).select(gid("family", "x", "y"), "id", "rep", "hi", "lo", "part")
     met = _links(docs, placed, width, percent)
     of = lambda c: parts.select(F.col("id").alias(c), F.col("root").alias(f"{c}_part"))
-    joined = connected(met.where("a <> b").join(of("a"), "a").join(of("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b")))
+    joined = connected(met.where("a <> b").join(of("a"), "a").join(of("b"), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b")), hot_rows)
     joined = joined.select(F.col("id").alias("part"), F.col("root").alias("whole"))
     return cut(parts.withColumnRenamed("root", "part").join(joined, "part", "left").select("id", F.coalesce("whole", "part").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, trees: int = TREES, node_rows: int = NODE_ROWS, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, text_hash."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _describe(width, trees, percent)("text").alias("r")).select("doc_id", "text_hash", "r.*")
     base = cut(described)
     alive = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    vertices = base.where(alive).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
+    vertices = base.where(alive).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"), F.count("*").alias("copies"))
     vertices = cut(vertices.withColumn("id", F.monotonically_increasing_id()))
-    parts = confirmed(docs, vertices, likely_links(vertices, percent, node_rows), width, percent, block_rows, block_shingles)
+    parts = confirmed(docs, vertices.drop("copies"), likely_links(vertices.drop("copies"), percent, node_rows), width, percent, block_rows, block_shingles, hot_rows)
 
     named = parts.join(vertices.select("id", "rep"), "id")
-    least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    named = named.join(least, "root").select("id", "least")
-    ids = vertices.select("id", "hi", "lo", "rep").join(named, "id", "left").select("hi", "lo", F.coalesce("least", "rep").alias("least"), F.lit(True).alias("seen"))
-    out = base.select("doc_id", "n", "hi", "lo", "text_hash").join(ids, ["hi", "lo"], "left")
+    least = cut(named.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("members")))
+    named = looked_up(named, least.drop("members"), ["root"], heaviest(least, ["root"], "members", hot_rows)).select("id", "least")
+    ids = cut(vertices.select("id", "hi", "lo", "rep", "copies").join(named, "id", "left").select("hi", "lo", F.coalesce("least", "rep").alias("least"), "copies"))
+    out = looked_up(base.select("doc_id", "n", "hi", "lo", "text_hash"), ids.drop("copies"), ["hi", "lo"], heaviest(ids, ["hi", "lo"], "copies", hot_rows), ~alive)
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 

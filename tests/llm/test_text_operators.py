@@ -9,6 +9,7 @@ from helpers import docs, odd_texts, rng, sentence, words
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate, line_dedup, near_dups
+from panelspark.llm.common import heaviest, looked_up
 from panelspark.llm.components import connected
 from panelspark.llm.text import ALNUM, NOT_SPACE, Words, pieces
 from panelspark.llm.text import words as split_words
@@ -57,14 +58,14 @@ def brute_contamination(text, items, width=13):
     return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block_windows", [250_000, 8])
-def test_contamination(spark, block_windows):
+@pytest.mark.parametrize(("block_windows", "group_bytes"), [(250_000, 1), (8, 64 << 20), (8, 1)])
+def test_contamination(spark, block_windows, group_bytes):
     r = rng(2)
     items = [(10, sentence(r, 20, 5)), (9, sentence(r, 15, 5)), (2, "w1 w2"), (3, ""), (4, None), (5, sentence(r, 14)), (11, sentence(r, 13, 3))]
     texts = [sentence(r, 120, 5) for _ in range(15)] + [sentence(r, 30) + " " + items[5][1].upper() + ", tail", sentence(r, 3000, 4), *odd_texts()]
     df = docs(spark, texts)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    c = decontaminate.contamination(spark, df["text"], bench, block_windows=block_windows)
+    c = decontaminate.contamination(spark, df["text"], bench, block_windows=block_windows, group_bytes=group_bytes)
     got = {x.doc_id: tuple(x.r[k] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for x in df.select("doc_id", c.alias("r")).collect()}
     assert got == {k: brute_contamination(t, items) for k, t in enumerate(texts)}
     kept = decontaminate.decontaminate(df, bench)
@@ -78,6 +79,26 @@ def test_contamination_empty(spark):
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
 
 
+def test_blocks_outside_batches_inside(spark, monkeypatch):
+    items = spark.createDataFrame([(k, f"a{k} b{k} c{k}") for k in range(6)], "item_id long, text string")
+    folder, names = decontaminate.write_blocks(items, "item_id", "text", 13, 2)
+    assert len(names) > 2
+    texts = [pa.array([f"x a{k} b{k} c{k}", None]) for k in range(6)]
+    opened = []
+
+    def block(where, name):
+        opened.append(name)
+        return real(where, name)
+
+    real = decontaminate._block
+    monkeypatch.setattr(decontaminate, "_block", block)
+    for group_bytes, opens in ((1 << 20, 1), (1, len(texts))):
+        opened.clear()
+        got = [x for part in decontaminate._search(folder, names, group_bytes).func(iter(texts)) for x in part.to_pylist()]
+        assert [x["item_ids"] for x in got] == [y for k in range(6) for y in ([str(k)], [])]
+        assert sum(a != b for a, b in zip(opened, [None, *opened])) == opens * len(names)
+
+
 def brute_components(rows, width, percent):
     sets = []
     for _, t in rows:
@@ -112,7 +133,7 @@ def near_copies(r, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"node_rows": 8, "block_rows": 10}, {"block_shingles": 400}, {"block_rows": 3}])
+@pytest.mark.parametrize("how", [{}, {"node_rows": 8, "block_rows": 10}, {"block_shingles": 400}, {"block_rows": 3}, {"block_rows": 3, "hot_rows": 4}, {"hot_rows": 0}])
 def test_near_duplicates(spark, how):
     r = rng(4)
     texts = [*odd_texts(), "a b c d e f g h", "A  b c\nd e f g H"]
@@ -160,6 +181,38 @@ def test_components(spark):
     got = dict(connected(e).collect())
     assert got == {k: k - k % 10 + (1 if k % 10 else -9) for k in range(1, 61)} | {100: 1}
     assert connected(e.limit(0)).count() == 0
+    assert dict(connected(e, hot_rows=1).collect()) == got
+
+
+def test_hubs(spark):
+    e = spark.range(1, 300).select((F.col("id") % 3).alias("a"), (F.col("id") + 10).alias("b")).union(spark.createDataFrame([(0, 1), (500, 501)], "a long, b long"))
+    want = {k + 10: (0 if k % 3 < 2 else 2) for k in range(1, 300)} | {0: 0, 1: 0, 2: 2, 500: 500, 501: 500}
+    for hot_rows in (50, 10**6):
+        assert dict(connected(e, hot_rows).collect()) == want
+
+
+def test_looked_up(spark):
+    """A heavy key's rows, and those that stand alone, are spread; each row stays, with its key's values or null."""
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), F.lit(1).alias("j"), "id").repartition(4, "k", "j")
+    found = spark.range(3500).select(F.col("id").alias("k"), F.lit(1).alias("j"), F.when(F.col("id") != 9, -F.col("id")).alias("v"))
+    sizes = rows.groupBy("k", "j").agg(F.count("*").alias("n"))
+    out = looked_up(rows, found, ["k", "j"], heaviest(sizes, ["k", "j"], "n", 100), F.col("id") % 50 == 0)
+    assert out.columns == ["k", "j", "id", "v"]
+    got = sorted((r.id, r.k, r.v) for r in out.collect())
+    key = lambda i: 7 if i < 3000 else i
+    assert got == [(i, key(i), None if i % 50 == 0 or key(i) >= 3500 else -key(i)) for i in range(4000)]
+    assert heaviest(sizes, ["k"], "n", 5000).count() == 0
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        out = looked_up(rows, found, ["k", "j"], heaviest(sizes, ["k", "j"], "n", 100), F.col("id") % 50 == 0)
+        tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 4000 and max(tasks) < 1500, tasks  # the heavy key alone has 3,000 rows
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def brute_lines(rows, least_chars=20, least_docs=3):
