@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.scalar import clip, quarter_end
-from panelspark.operators.quantiles import exact_quantiles, literal
+from panelspark.operators.quantiles import WHOLE, exact_quantiles, literal, quantiles_by_key
 from panelspark.operators.ranks import ranked
 from panelspark.operators.windows import forward_fill
 from panelspark.sources.landing import kept
@@ -34,11 +34,11 @@ def _scaled(c: str, low: Column, middle: Column, high: Column) -> Column:
     return (F.col(c) - middle) / F.when(spread == 0, 1.0).otherwise(spread)
 
 
-def robust_scale(df: DataFrame, columns: list[str], per_key: list[str] = (), key: str = "ticker", bound: float = 5.0, approximate: bool = False, keep: bool = True) -> DataFrame:
+def robust_scale(df: DataFrame, columns: list[str], per_key: list[str] = (), key: str = "ticker", bound: float = 5.0, approximate: bool = False, keep: bool = True, whole: int = WHOLE) -> DataFrame:
     """(x - median) / interquartile range, over all rows, or for ``per_key`` columns over the key's rows and kept within the bound; a range of 0 counts as 1.
 
     What goes over all rows is selected exactly in a few passes over the kept df, or by one pass of sketches if ``approximate``.
-    What goes over a key's rows is an aggregate by key. ``keep=False`` where df is kept already.
+    What goes over a key's rows is an aggregate by key, or is selected over sorted ranges where a key has over ``whole`` rows. ``keep=False`` where df is kept already.
     """
     everywhere = [c for c in columns if c not in per_key]
     df = kept(df) if keep else df
@@ -47,7 +47,8 @@ def robust_scale(df: DataFrame, columns: list[str], per_key: list[str] = (), key
         found = _quantiles(df, everywhere, [0.25, 0.5, 0.75], approximate)
         out = out.withColumns({c: _scaled(c, *[literal(v) for v in found[c]]) for c in everywhere})
     if per_key:
-        own = df.groupBy(key).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in per_key])
+        own = quantiles_by_key(df, key, per_key, [0.25, 0.5, 0.75], whole)
+        own = own.select(key, *[F.col(c).alias(f"_q_{c}") for c in per_key])
         out = out.join(own, key).withColumns({c: clip(_scaled(c, *[F.col(f"_q_{c}")[k] for k in range(3)]), -bound, bound) for c in per_key}).drop(*[f"_q_{c}" for c in per_key])
     return out
 

@@ -8,7 +8,9 @@ is gathered and sorted. All columns and ranks share the passes: two for up to
 gather * accuracy / 6 rows (33 million by default), two more for each factor of accuracy / 6
 beyond. Every pass takes a pivot out of its interval, so repeated values of any number can't stop it.
 
-NaN counts as missing. The rank of a quantile p among n values is p * (n - 1); between two
+``quantiles_by_key`` does it for the rows of each key, over sorted ranges where a key is long.
+
+NaN counts as missing for whole columns, and as the largest value by key. The rank of a quantile p among n values is p * (n - 1); between two
 values it is interpolated, as ``percentile`` does.
 """
 
@@ -20,6 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.ranks import positions
+
 GATHER = 20_000
 ACCURACY = 10_000
 #: Up to so many rows the engine's own exact percentile is taken: its buffers hold no more values than that.
@@ -151,5 +155,29 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     return out
 
 
+def quantiles_by_key(df: DataFrame, key: str, columns: list[str], probabilities: list[float], whole: int = WHOLE) -> DataFrame:
+    """One row a key (no null): an array of quantiles for each column, null where the key has no values of it. df is read three times, so it should be a table or kept.
+
+    Where no key has over ``whole`` rows, this is an aggregate by key. Otherwise values are placed within (key, column) over
+    sorted ranges, and met by place with the one or two places that each quantile lies between: no task and no buffer holds
+    a key's values, and keys of any length spread over tasks.
+    """
+    df = df.where(F.col(key).isNotNull())
+    rows = df.groupBy(key).count()
+    if (rows.agg(F.max("count")).head()[0] or 0) <= whole:
+        return df.groupBy(key).agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probabilities])).alias(c) for c in columns])
+    item = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])).alias("_i")
+    placed = positions(df.select(key, item).select(key, "_i.*").where("_v is not null"), "_place", [key, "_c"], "_v")
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("_at")) for k, p in enumerate(probabilities)])).alias("_q")
+    wanted = placed.groupBy(key, "_c").agg(F.count("*").alias("_n")).select(key, "_c", asked).select(key, "_c", "_q.*")
+    wanted = wanted.withColumn("_place", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
+    found = placed.join(wanted, [key, "_c", "_place"]).groupBy(key, "_c", "_k").agg(F.first("_at").alias("_at"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    between = (F.ceil("_at") - F.col("_at")) * F.col("_low") + (F.col("_at") - F.floor("_at")) * F.col("_high")
+    found = found.withColumn("_v", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(between))
+    one = lambda i, k: F.max(F.when((F.col("_c") == i) & (F.col("_k") == k), F.col("_v")))
+    wide = found.groupBy(key).agg(*[F.array(*[one(i, k) for k in range(len(probabilities))]).alias(c) for i, c in enumerate(columns)])
+    return rows.drop("count").join(wide, key, "left").select(key, *[F.when(F.col(c)[0].isNotNull(), F.col(c)).alias(c) for c in columns])
+
+
 def literal(x: float | None) -> Column:
     return F.lit(x).cast("double")

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators.quantiles import exact_quantiles
+from panelspark.operators.quantiles import exact_quantiles, quantiles_by_key
 
 PROBABILITIES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -34,10 +34,23 @@ def test_empty(spark):
     assert exact_quantiles(spark.range(0).select(F.col("id").alias("a")), ["a"], [0.5]) == {"a": [None]}
 
 
+def test_by_key(spark):
+    """Long keys over sorted ranges give what the engine's percentile by key gives: a key with most rows, keys without values, null keys, ties, NaN."""
+    key = F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 9 == 0, F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).when(F.col("id") == 3, "alone")
+    df = spark.range(3000).select(key.alias("k"), F.rand(3).alias("even"), (F.col("id") % 4).alias("few"), F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.rand(4)).alias("odd"), F.when(F.col("id") != 3, F.rand(5)).alias("gaps")).persist()
+    columns = ["even", "few", "odd", "gaps"]
+    want, got = ({r.k: r for r in quantiles_by_key(df, "k", columns, PROBABILITIES, whole).collect()} for whole in (10**6, 100))
+    assert None not in got and set(got) == set(want) and got["alone"].gaps is None
+    for k in want:
+        for c in columns:
+            assert str(got[k][c]) == str(want[k][c]), (k, c)
+    assert quantiles_by_key(df.limit(0), "k", columns, [0.5]).count() == 0
+
+
 SMALL = """
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from panelspark.operators.quantiles import exact_quantiles
+from panelspark.operators.quantiles import exact_quantiles, quantiles_by_key
 conf = {"spark.driver.memory": "512m", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4"}
 spark = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
 n = 10_000_000
