@@ -25,7 +25,8 @@ system. What other attempts left is removed at the end.
 
 Encoding: a byte-level BPE with the usual word pattern always has a border before
 a space that follows a non-space or precedes one, and around a line break between two
-non-spaces, so a text falls apart there; each worker keeps a bounded cache of the library's ids of such parts.
+non-spaces, so a text falls apart there; each worker keeps a bounded cache of the library's ids of such parts, and looks
+up the distinct ones of some megabytes of texts at once.
 Texts where the rule doesn't hold (spaces among other white space, special
 strings), and tokenizers of other kinds, are encoded whole.
 
@@ -38,14 +39,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -59,13 +61,17 @@ FRAME_IDS = 1 << 16
 ROWS_A_FILE = 500_000
 #: Entries of a worker's cache, and the longest part in it.
 CACHE, KEPT = 1_000_000, 64
+#: Bytes of texts whose parts are looked up at once, and words that the merge model gets at once.
+PIECE, TOGETHER = 1 << 23, 16
+#: Marks that are no part of a word for the pattern.
+MARKS = string.punctuation
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_TABLE, SKIPPABLE_DOCS, SEEKABLE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 
 # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_SPACE = chr(_LETTERS[32])
+_LETTER = np.array([_LETTERS.get(b, b) for b in range(256)], "<u4")
 
 
 def _is_word(w: str) -> bool:
@@ -73,6 +79,7 @@ def _is_word(w: str) -> bool:
     return w.isalpha() and (w.isascii() or max(w) < "\u0250")
 
 
+_LETTER_CHARS = {c for c in map(chr, range(0x250)) if c.isalpha()}
 _space = re.compile(r"\s")
 _odd_line = re.compile(r"\n(?:(?=\s)|(?<=\s\n))")
 _odd_space = re.compile(r" (?:(?<=\s )(?=\s|\Z))")
@@ -85,57 +92,75 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         spec = json.loads(self.model.to_str())
-        pre = spec["pre_tokenizer"] or {}
+        pre, merge = spec["pre_tokenizer"] or {}, spec["model"]
         self.splits = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["normalizer"] is None
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.dtype = "<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         line = self.raw(["\n"])[0]
         self.line = int(np.frombuffer(line, self.dtype)[0]) if len(line) == np.dtype(self.dtype).itemsize else None
         self.line_ids = line
-        self.ends = {c: self.raw([c])[0] for c in ".,"}
-        self.code = "H" if self.dtype == "<u2" else "I"
-        self.direct = self.splits and spec["model"]["type"] == "BPE" and self.line is not None
         self.merge = self.model.model
+        self.nul = self._unmerged(merge, chr(_LETTERS[0])) if self.splits and self.line is not None else None
+        #: Ids of parts, and those that were there before the last turn.
         self.inner: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.begin: dict[str, bytes] = {}
         self.cache = cache
 
+    @staticmethod
+    def _unmerged(model: dict, letter: str) -> int | None:
+        """The id of a letter that no merge holds, so that the merge model leaves apart what stands on its two sides; else None."""
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "ignore_merges")):
+            return None
+        return None if any(letter in part for pair in model["merges"] for part in pair) else model["vocab"].get(letter)
+
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, parts: list[str]) -> None:
-        """Adds the ids of parts to the cache. A part stands after a space, or, if it begins with one, after a line break.
-
-        A part of letters alone is one word for the pattern, so the library's merge model gets it directly. Other parts are
-        encoded as lines of one text, as a line break between them is a token of its own. A full stop or comma after a
-        letter is a token of its own, too.
+    def _merged(self, words: list[str]) -> np.ndarray:
+        """The library's merges of words, each one word for the pattern, with the id of a NUL between them."""
+        lines = "\n".join(["\0".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)])
+        letters = _LETTER[np.frombuffer(lines.encode(), np.uint8)].tobytes().decode("utf-32-le")
+        flat: list[int] = []
+        for line in letters.split(chr(_LETTERS[10])):
+            flat += [x.id for x in self.merge.tokenize(line)]
+            flat.append(self.nul)
+        return np.array(flat[:-1], self.dtype)
+
+    def _cut(self, parts: list[str], flat: np.ndarray, between: int) -> dict[str, bytes]:
+        """The ids of parts, which lie in ``flat`` with an id between them; nothing if that id doesn't tell them apart."""
+        cuts = np.flatnonzero(flat == between)
+        if len(cuts) != len(parts) - 1:
+            return {}
+        raw, size, line = flat.tobytes(), flat.itemsize, self.line_ids
+        ends = zip(parts, [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)], strict=True)
+        return {p: line + raw[a:z] if p[0] == "\n" else raw[a:z] for p, a, z in ends}
+
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts, which the library is asked for. A part stands after a space, or, if it begins with one, after a line break.
+
+        A part of letters alone is one word for the pattern, so the library's merge model gets it directly, many at a time,
+        with a letter between them that no merge holds. Other parts are encoded as lines of one text, as a line break
+        between them is a token of its own.
         """
-        inner, plain, odd = self.inner, [], []
-        for p in dict.fromkeys(q[:-1] if len(q) > 1 and q[-1] in self.ends and _is_word(q[-2]) else q for q in parts):
-            if p in inner:
-                continue
-            after_line = p[:1] == "\n"
-            w = p[1:] if after_line else p
-            if self.direct and _is_word(w):
-                w = w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)
-                ids = array(self.code, [x.id for x in self.merge.tokenize(w if after_line else _SPACE + w)]).tobytes()
-                inner[p] = self.line_ids + ids if after_line else ids
+        found: dict[str, bytes] = {}
+        words, plain, odd = [], [], []
+        for p in parts:
+            if self.nul is not None and _is_word(p[1:] if p[:1] == "\n" else p):
+                words.append(p)
             else:
                 (odd if self.line is None or not p or _space.search(p, p[0] == "\n") else plain).append(p)
-        if plain:
-            flat = np.array(self.model.encode_batch_fast(["\n".join([p[1:] if p[0] == "\n" else " " + p for p in plain])], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(flat == self.line)
-            if len(cuts) == len(plain) - 1:
-                raw, w, line = flat.tobytes(), flat.itemsize, self.line_ids
-                for p, a, z in zip(plain, [0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(raw)], strict=True):
-                    inner[p] = line + raw[a:z] if p[0] == "\n" else raw[a:z]
-            else:
-                odd += plain
+        for some, flat, between in ((words, self._merged, self.nul), (plain, self._lines, self.line)):
+            if some:
+                cut = self._cut(some, flat([p[1:] if p[0] == "\n" else " " + p for p in some]), between)
+                found |= cut
+                odd += [] if cut else some
         if odd:
-            inner.update(zip(odd, self.raw([p if p[:1] == "\n" else " " + p for p in odd]), strict=True))
-        for q in parts:
-            if q not in inner:
-                inner[q] = inner[q[:-1]] + self.ends[q[-1]]
+            found |= zip(odd, self.raw([p if p[:1] == "\n" else " " + p for p in odd]), strict=True)
+        return [found[p] for p in parts]
+
+    def _lines(self, lines: list[str]) -> np.ndarray:
+        return np.frombuffer(self.raw(["\n".join(lines)])[0], self.dtype)
 
     def _part(self, text: str) -> bytes:
         """The ids of a text of its own, by a small cache."""
@@ -151,26 +176,73 @@ class Encoder:
         """The ids of a part that isn't kept."""
         return self.raw([part if part[0] == "\n" else " " + part])[0]
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts. ASCII marks at the end of a part, with a letter before them, are a word for the pattern, and looked up apart."""
+        stems = [q.rstrip(MARKS) for q in parts]
+        stems = [s if s == q or s[-1:] in _LETTER_CHARS else q for s, q in zip(stems, parts, strict=True)]
+        names = list(dict.fromkeys(stems))
+        ids = dict(zip(names, self._stems(names), strict=True))
+        return [ids[s] if s == q else ids[s] + self._part(q[len(s) :]) for s, q in zip(stems, parts, strict=True)]
+
+    def _stems(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts, by the cache. If the newer half is full, it becomes the older one; what is asked for again moves on."""
+        if len(self.inner) > self.cache // 2:
+            self.older, self.inner = self.inner, {}
+        inner, older = self.inner, self.older
+        got = list(map(inner.get, parts))
+        new, at = [], []
+        for k in [k for k, x in enumerate(got) if x is None]:
+            p = parts[k]
+            if (x := older.get(p)) is not None:
+                inner[p] = got[k] = x
+            elif len(p) <= KEPT:
+                new.append(p)
+                at.append(k)
+            else:
+                got[k] = self._long(p)
+        for p, k, x in zip(new, at, self.learn(new), strict=True):
+            inner[p] = got[k] = x
+        return got
+
+    def _alone(self, text: str) -> bytes | None:
+        """The ids of a text that doesn't fall apart at each of its spaces and line breaks, else None."""
         if not self.splits or _odd_space.search(text) or any(s in text for s in self.special):
             return self.raw([text])[0]
-        if "\n" in text:
-            if text[0] == "\n" or text[-1] == "\n" or _odd_line.search(text):
-                head, *parts = text.split(" ")
-                return self._part(head) + b"".join([self._part(" " + p) for p in parts])
-            text = text.replace("\n", " \n")
-        head, *parts = text.split(" ")
-        got = list(map(self.inner.get, parts))
-        if None in got:
-            if len(self.inner) > self.cache:
-                self.inner, new = {}, parts
-            else:
-                new = [p for p, g in zip(parts, got, strict=True) if g is None]
-            self.learn([p for p in new if len(p) <= KEPT])
-            got = [self.inner[p] if len(p) <= KEPT else self._long(p) for p in parts]
-        return self._part(head) + b"".join(got)
+        if "\n" in text and (text[0] == "\n" or text[-1] == "\n" or _odd_line.search(text)):
+            head, *parts = text.split(" ")
+            return self._part(head) + b"".join([self._part(" " + p) for p in parts])
+        return None
+
+    def encode(self, col: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; a null has none. Parts are split and told apart by Arrow, in pieces of about ``PIECE`` bytes."""
+        col = col.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(col).to_numpy())
+        row = 0
+        while row < len(col):
+            stop = int(np.searchsorted(ends, (ends[row - 1] if row else 0) + PIECE, "right"))
+            stop = max(stop, row + 1)
+            yield from self._piece(col.slice(row, stop - row))
+            row = stop
+
+    def _piece(self, col: pa.Array) -> list[bytes]:
+        alone = [self._alone(t) if t else b"" for t in col.to_pylist()]
+        col = col.filter(pa.array([x is None for x in alone], pa.bool_()))
+        if not len(col):
+            return alone
+        lists = pc.split_pattern(pc.replace_substring(col, "\n", " \n"), " ")
+        first, parts = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        # No part holds a space.
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(parts.dictionary)], parts.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        heads = lists.values.take(pa.array(first[:-1])).to_pylist()
+        at = parts.indices.to_numpy().copy()
+        at[first[:-1]] = len(names) + np.arange(len(heads))
+        ids = pa.array(self._known(names) + [self._part(h) for h in heads], pa.large_binary()).take(pa.array(at))
+        raw, cuts = ids.buffers()[2] or b"", np.frombuffer(ids.buffers()[1], np.int64)[first].tolist()
+        found = iter([bytes(memoryview(raw)[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)])
+        return [next(found) if x is None else x for x in alone]
+
+    def ids(self, text: str) -> bytes:
+        return next(self.encode(pa.array([text])))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -293,7 +365,7 @@ def write_files(docs: DataFrame, to: str, path: str, doc_id: str = "doc_id", tex
         at = np.searchsorted(borders, ids.fill_null(0).to_numpy())
         part = begin[at] + spread % wide[at]
         part[null] = begin[-1] + spread[null] % heavy[None] if None in heavy else begin[-1] - 1
-        out = [enc.ids(t) + end if t else end for t in col.to_pylist()]
+        out = [x + end for x in enc.encode(col)]
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(part, pa.int32())], names=["ids", "part"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

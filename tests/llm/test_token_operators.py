@@ -3,8 +3,10 @@
 import io
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from helpers import docs, odd_texts
@@ -50,6 +52,34 @@ def test_encoder():
         assert np.frombuffer(e.ids(t), e.dtype).tolist() == e.model.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_columns():
+    e = token_files.Encoder(public_tokenizers.path(token_files.MODEL), cache=100)
+    texts = [*fuzz(7, 3000), "dogs' don't-- x1... \"Straße\", (ɐ)", ""]
+    want = e.raw(texts)
+    assert list(e.encode(pa.array([*texts, None]))) == [*want, b""]
+    assert list(e.encode(pa.array(texts, pa.large_string()).slice(5, 9))) == want[5:14]
+    assert list(e.encode(pa.array([], pa.string()))) == []
+
+
+def test_encoder_asks_the_library_once_for_a_word():
+    e = token_files.Encoder(public_tokenizers.path(token_files.MODEL), cache=2000)
+    merge, asked = e.merge, Counter()
+
+    class Spy:
+        def tokenize(self, s):
+            asked.update(w for w in s.split(chr(256)) if w)  # chr(256): the byte-level letter of NUL
+            return merge.tokenize(s)
+
+    e.merge = Spy()
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(3300)]
+    for k in range(60):
+        text = "the " + " ".join(w + r.choice(["", "", ".", ",", "?!"]) for w in words[:300] + words[300 + 50 * k : 350 + 50 * k])
+        assert e.ids(text) == e.raw([text])[0]
+        assert len(e.inner) <= 2000
+    assert len(asked) >= 3300 and max(asked.values()) == 1
+
+
 def test_files_round_trip(spark, tmp_path):
     texts = odd_texts() + fuzz(4, 60)
     ids = [*range(100, 98 + len(texts)), None, 7]
