@@ -62,7 +62,7 @@ ROWS_A_FILE = 500_000
 #: Entries of a worker's cache, and the longest part in it.
 CACHE, KEPT = 1_000_000, 64
 #: Bytes of texts whose parts are looked up at once, and words that the merge model gets at once.
-PIECE, TOGETHER = 1 << 23, 16
+PIECE, TOGETHER = 1 << 22, 16
 #: Marks that are no part of a word for the pattern.
 MARKS = string.punctuation
 # Fixed values of the zstandard seekable format.
@@ -79,12 +79,23 @@ def _is_word(w: str) -> bool:
     return w.isalpha() and (w.isascii() or max(w) < "\u0250")
 
 
-_LETTER_CHARS = {c for c in map(chr, range(0x250)) if c.isalpha()}
+_ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _space = re.compile(r"\s")
 _odd_line = re.compile(r"\n(?:(?=\s)|(?<=\s\n))")
 _odd_space = re.compile(r" (?:(?<=\s )(?=\s|\Z))")
 
 
+def _strings(col: pa.Array) -> list[str]:
+    """The strings of an array (large_string, not empty), none of which holds a space."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(col)], col), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+
+
+def _after_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the UTF-8 byte at ``at`` ends a letter of Latin-1 (the last 64 code points, or ASCII)."""
+    last, before = data[at], data[np.maximum(at - 1, 0)]
+    return _ASCII_LETTER[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+
+
 class Encoder:
     def __init__(self, path: str, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -176,13 +187,22 @@ class Encoder:
         """The ids of a part that isn't kept."""
         return self.raw([part if part[0] == "\n" else " " + part])[0]
 
-    def _known(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts. ASCII marks at the end of a part, with a letter before them, are a word for the pattern, and looked up apart."""
-        stems = [q.rstrip(MARKS) for q in parts]
-        stems = [s if s == q or s[-1:] in _LETTER_CHARS else q for s, q in zip(stems, parts, strict=True)]
-        names = list(dict.fromkeys(stems))
-        ids = dict(zip(names, self._stems(names), strict=True))
-        return [ids[s] if s == q else ids[s] + self._part(q[len(s) :]) for s, q in zip(stems, parts, strict=True)]
+    def _known(self, parts: pa.Array) -> pa.Array:
+        """The ids of distinct parts. ASCII marks at the end of a part, with a letter before them, are a word for the pattern, and looked up apart."""
+        trimmed = pc.utf8_rtrim(parts, MARKS)
+        ends = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
+        data = np.frombuffer(parts.buffers()[2] or b"", np.uint8)
+        left = pc.binary_length(trimmed).to_numpy()
+        last = ends[:-1] + left - 1
+        marked = (left < np.diff(ends)) & (left > 0)
+        marked[marked] = _after_letter(data, last[marked])
+        stems = pc.if_else(pa.array(marked), trimmed, parts).dictionary_encode()
+        found = pa.array(self._stems(_strings(stems.dictionary)), pa.large_binary()).take(stems.indices)
+        behind: dict[bytes, int] = {b"": 0}
+        which = np.zeros(len(parts), np.int64)
+        which[marked] = [behind.setdefault(data[a:z].tobytes(), len(behind)) for a, z in zip((last[marked] + 1).tolist(), ends[1:][marked].tolist(), strict=True)]
+        marks = pa.array([self._part(m.decode()) for m in behind], pa.large_binary()).take(pa.array(which))
+        return pc.binary_join_element_wise(found, marks, pa.scalar(b"", pa.large_binary()))
 
     def _stems(self, parts: list[str]) -> list[bytes]:
         """The ids of distinct parts, by the cache. If the newer half is full, it becomes the older one; what is asked for again moves on."""
@@ -231,12 +251,11 @@ class Encoder:
             return alone
         lists = pc.split_pattern(pc.replace_substring(col, "\n", " \n"), " ")
         first, parts = lists.offsets.to_numpy(), lists.values.dictionary_encode()
-        # No part holds a space.
-        names = pc.binary_join(pa.ListArray.from_arrays([0, len(parts.dictionary)], parts.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        known = self._known(parts.dictionary)
         heads = lists.values.take(pa.array(first[:-1])).to_pylist()
         at = parts.indices.to_numpy().copy()
-        at[first[:-1]] = len(names) + np.arange(len(heads))
-        ids = pa.array(self._known(names) + [self._part(h) for h in heads], pa.large_binary()).take(pa.array(at))
+        at[first[:-1]] = len(known) + np.arange(len(heads))
+        ids = pa.concat_arrays([known, pa.array([self._part(h) for h in heads], pa.large_binary())]).take(pa.array(at))
         raw, cuts = ids.buffers()[2] or b"", np.frombuffer(ids.buffers()[1], np.int64)[first].tolist()
         found = iter([bytes(memoryview(raw)[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)])
         return [next(found) if x is None else x for x in alone]
