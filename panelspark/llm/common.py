@@ -79,6 +79,15 @@ def looked_up(rows: DataFrame, found: DataFrame, on: list[str], heavy: DataFrame
     return out.select(*rows.columns, *[got[c].alias(c) for c in values])
 
 
+def together(df: DataFrame, key: str) -> DataFrame:
+    """df with all rows of a key in one task, for code that walks a task's rows.
+
+    ``repartition(key)`` doesn't hold for that: after a join by the same key Spark leaves it out, and then may turn that
+    join into a broadcast one that reads its shuffle by mapper. A repartition by another expression stays.
+    """
+    return df.repartition(F.xxhash64(key))
+
+
 def numbered(df: DataFrame, name: str, *by: str | Column) -> DataFrame:
     """df with a column of gapless ranks from 0 in the order ``by``: rows are sorted over ranges, and a row for each range comes to the driver.
 

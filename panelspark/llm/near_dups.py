@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import HOT_ROWS, cut, heaviest, looked_up, table
+from panelspark.llm.common import HOT_ROWS, cut, heaviest, looked_up, table, together
 from panelspark.llm.components import connected
 from panelspark.llm.text import NOT_SPACE, U64, Words, mix, words
 
@@ -268,17 +268,17 @@ def likely_links(vertices: DataFrame, percent: int = PERCENT, node_rows: int = N
     """vertices (id, sketch, nodes) -> forests of likely links (a, b)."""
     rows = vertices.select("id", "sketch", F.explode("nodes").alias("node"))
     match = _match(percent / 100 - SLACK)
-    search = lambda x: x.repartition("node").sortWithinPartitions("node").select("node", "id", "sketch").mapInArrow(match, "a long, b long")
+    search = lambda x: together(x, "node").sortWithinPartitions("node").select("node", "id", "sketch").mapInArrow(match, "a long, b long")
     found = None
     for depth in range(LEVELS + 1):
         large = rows.groupBy("node").count().where(F.col("count") > node_rows)
-        large = cut(large)
+        large = cut(large)  # fewer than one in ``node_rows`` rows, so it is broadcast
         n_large = large.count()
-        small = rows.join(large, "node", "left_anti") if n_large else rows
+        small = rows.join(F.broadcast(large), "node", "left_anti") if n_large else rows
         found = search(small) if found is None else found.union(search(small))
         if not n_large:
             return found
-        rows = rows.join(large, "node")
+        rows = rows.join(F.broadcast(large), "node")
         if depth < LEVELS:
             rows = cut(rows.select("id", "sketch", F.explode(_children(depth)("node", "sketch")).alias("node")))
     half = max(1, node_rows // 2)
@@ -362,7 +362,7 @@ def _links(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> Data
     if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
         docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     read = docs.join(placed, docs["doc_id"] == placed["rep"]).select("gid", "id", "hi", "lo", "part", "text")
-    return read.repartition("gid").sortWithinPartitions("gid", "id").mapInArrow(_confirm(width, percent), "a long, b long")
+    return together(read, "gid").sortWithinPartitions("gid", "id").mapInArrow(_confirm(width, percent), "a long, b long")
 
 
 def _dealt(rows: Column, shingle_count: Column, block_rows: int, block_shingles: int) -> Column:

@@ -176,6 +176,21 @@ def test_likely_links_of_a_large_node():
     assert np.mean([forest.find(k) == forest.find(k + 1) for k in range(0, len(sets), 2)]) > 0.75
 
 
+def test_likely_links_beside_a_large_node(spark):
+    """Where a node is too large, the members of all other ones still meet, whatever joins Spark picks while it runs: each pair here has a node of its own."""
+    r = np.random.Generator(np.random.PCG64(9))
+    n = 400
+    sketches = r.integers(1, 256, (n, near_dups.BINS), dtype=np.uint8)
+    rows = [(k + n * half, sketches[k].tobytes(), [10 * k + 1, *([5] if k < 100 else [])]) for half in (0, 1) for k in range(n)]
+    vertices = spark.createDataFrame(rows, "id long, sketch binary, nodes array<long>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = dict(connected(near_dups.likely_links(vertices, node_rows=150)).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {k + n * half: k for half in (0, 1) for k in range(n)}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(0, 60) if k % 10] + [(100, 3), (3, 3), (None, 4)], "a long, b long")
     got = dict(connected(e).collect())
