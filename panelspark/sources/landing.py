@@ -39,6 +39,12 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
     return path
 
 
+def write_news(df: DataFrame, window: Column, document: Column, path: str) -> str:
+    """News payloads as they come, a JSON document a line, landed by request window as {path}/part={window}: a window of any size is never one value."""
+    df.select(window.alias("part"), document.alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
 def write_payloads(df: DataFrame, name: Column, fields: Column, path: str) -> str:
     """One JSON list a name, landed as {path}/name={name}.json."""
     lists = df.groupBy(F.concat(name, F.lit(".json")).alias("name")).agg(F.to_json(F.collect_list(fields)).alias("value"))

@@ -130,9 +130,12 @@ def split_file(spark: SparkSession, path: str, split: str, freq: str = "quarterl
 _LANDED = r"/(?:[^/=]*=)?([^/=]+)\.json(?:/[^/]*)?$"
 
 
-def news(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Landed news payloads, one JSON document a file; any number of request windows. A broken file has no articles, or, if ``strict``, is an error when it is read."""
-    return spark.read.schema(schemas.FEED).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+def news(spark: SparkSession, path: str, strict: bool = False, lines: bool = False) -> DataFrame:
+    """Landed news payloads, one JSON document a file; any number of request windows. A broken document has no articles, or, if ``strict``, is an error when it is read.
+
+    ``lines``: files hold a document a line (``landing.write_news``), and many tasks read one file. Without it a document, and so a file, must fit a task's memory.
+    """
+    return spark.read.schema(schemas.FEED).option("multiLine", not lines).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
 def indicator_payloads(spark: SparkSession, path: str, field: str = "value") -> DataFrame:

@@ -2,11 +2,14 @@
 
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.plans.registry import QUERIES
 from panelspark.sources import readers, sinks
+from panelspark.sources.landing import write_news
 from panelspark.streaming.stories import story_stream
 
 
@@ -41,6 +44,32 @@ def test_payloads(spark, tmp_path):
     assert (r.ticker, r["name"], r.period, r.date, r["values"]) == ("A", "RSI", 14, "2024-01-01", {"close": 3.0, "rsi": 50.5})
 
 
+def longest_and_all(folder):
+    lines = [len(x) for f in folder.rglob("part-*.txt") for x in f.read_bytes().splitlines()]
+    return max(lines), sum(lines)
+
+
+@pytest.mark.parametrize(("query", "folder"), [("landed_news", "news-*")])
+def test_no_window_is_one_value(spark, query, folder):
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(shared.glob(folder))
+    assert QUERIES[query](spark, "/root/testdata/sf0.001").count()
+    (made,) = set(shared.glob(folder)) - before
+    longest, total = longest_and_all(made)
+    assert longest * 20 < total
+
+
+def test_news_by_line(spark, tmp_path):
+    feeds = spark.createDataFrame([("a", "u1"), ("a", "u2\nu3"), ("b", "u4")], "window string, url string")
+    where = write_news(feeds, F.col("window"), F.to_json(F.struct(F.array(F.struct("url")).alias("feed"))), str(tmp_path / "n"))
+    assert sorted(r.url for r in readers.news(spark, f"{where}/*", lines=True).select(F.explode("feed.url").alias("url")).collect()) == ["u1", "u2\nu3", "u4"]
+    (tmp_path / "n/part=a/bad.txt").write_text('{"feed": [{"title": ')
+    assert readers.news(spark, f"{where}/*", lines=True).where("feed is not null").count() == 3
+    assert readers.news(spark, f"{where}/part=b", strict=True, lines=True).count() == 1
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        readers.news(spark, f"{where}/part=a", strict=True, lines=True).collect()
+
+
 def test_sweep_and_saved(spark, tmp_path):
     for k in ("1", "2", "notes"):
         (tmp_path / k).mkdir()
