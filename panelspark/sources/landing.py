@@ -50,3 +50,10 @@ def write_payloads(df: DataFrame, name: Column, fields: Column, path: str) -> st
     lists = df.groupBy(F.concat(name, F.lit(".json")).alias("name")).agg(F.to_json(F.collect_list(fields)).alias("value"))
     lists.repartition("name").write.partitionBy("name").text(path)
     return path
+
+
+def write_bundles(df: DataFrame, name: Column, fields: Column, path: str) -> str:
+    """One JSON list a name, landed as lines {"name": ..., "payload": [...]}, many names a file: with a file a name, the driver holds an entry for each of them."""
+    lists = df.groupBy(name.alias("name")).agg(F.collect_list(fields).alias("payload"))
+    lists.select(F.to_json(F.struct("name", "payload")).alias("value")).write.text(path)
+    return path

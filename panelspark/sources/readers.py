@@ -145,11 +145,18 @@ def indicator_payloads(spark: SparkSession, path: str, field: str = "value") ->
     return df.select(name.alias("name"), "date", F.col(f"`{field}`").alias("value"))
 
 
-def technical_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Landed technical payloads under {ticker}__{name}__{period}__{timeframe}.json -> those keys, date, and a map of all values."""
-    lines = spark.read.option("wholetext", True).text(path)
-    part = F.split(F.regexp_extract("_metadata.file_path", _LANDED, 1), "__")
-    rows = lines.select(part[0].alias("ticker"), part[1].alias("name"), part[2].try_cast("int").alias("period"), part[3].alias("timeframe"), F.explode(F.from_json("value", "array<map<string,string>>")).alias("m"))
+def technical_payloads(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """Landed technical payloads under {ticker}__{name}__{period}__{timeframe}.json -> those keys, date, and a map of all values.
+
+    ``bundled``: files hold many payloads, a line each under that name (``landing.write_bundles``). Without it the driver holds an entry for each file.
+    """
+    if bundled:
+        landed = spark.read.schema("name string, payload array<map<string,string>>").json(path).select("name", "payload")
+    else:
+        lines = spark.read.option("wholetext", True).text(path)
+        landed = lines.select(F.regexp_extract("_metadata.file_path", _LANDED, 1).alias("name"), F.from_json("value", "array<map<string,string>>").alias("payload"))
+    part = F.split("name", "__")
+    rows = landed.select(part[0].alias("ticker"), part[1].alias("name"), part[2].try_cast("int").alias("period"), part[3].alias("timeframe"), F.explode("payload").alias("m"))
     numbers = F.map_filter(F.transform_values(F.map_filter("m", lambda k, _: k != "date"), lambda _, v: to_double(v)), lambda _, v: v.isNotNull())
     return rows.select("ticker", "name", "period", "timeframe", F.try_element_at("m", F.lit("date")).alias("date"), numbers.alias("values"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.plans.registry import QUERIES
 from panelspark.sources import readers, sinks
-from panelspark.sources.landing import write_news
+from panelspark.sources.landing import write_bundles, write_news
 from panelspark.streaming.stories import story_stream
 
 
@@ -44,6 +44,24 @@ def test_payloads(spark, tmp_path):
     assert (r.ticker, r["name"], r.period, r.date, r["values"]) == ("A", "RSI", 14, "2024-01-01", {"close": 3.0, "rsi": 50.5})
 
 
+def test_bundled_payloads(spark, tmp_path):
+    rows = spark.createDataFrame([("A__RSI__14__1day", "2024-01-01", "50.5"), ("A__RSI__14__1day", "2024-01-02", "x"), ("B__SMA__5__1day", "2024-01-01", "7")], "name string, date string, rsi string")
+    where = write_bundles(rows, F.col("name"), F.struct("date", F.lit("3").alias("close"), "rsi"), str(tmp_path / "b"))
+    (tmp_path / "b" / "broken.txt").write_text('{"name": "C__RSI__14__1day", "payl')
+    got = sorted(tuple(r) for r in readers.technical_payloads(spark, where, bundled=True).collect())
+    a, b = ("A", "RSI", 14, "1day"), ("B", "SMA", 5, "1day")
+    assert got == [(*a, "2024-01-01", {"close": 3.0, "rsi": 50.5}), (*a, "2024-01-02", {"close": 3.0}), (*b, "2024-01-01", {"close": 3.0, "rsi": 7.0})]
+
+
+def test_no_file_a_series(spark):
+    """The driver lists every landed file: their number must not follow the number of series."""
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(shared.glob("payloads-*"))
+    series = QUERIES["landed_technical_payloads"](spark, "/root/testdata/sf0.001").select("ticker", "name").distinct().count()
+    (made,) = set(shared.glob("payloads-*")) - before
+    assert len(list(made.rglob("part-*.txt"))) < series
+
+
 def longest_and_all(folder):
     lines = [len(x) for f in folder.rglob("part=*/part-*.txt") for x in f.read_bytes().splitlines()]
     return max(lines), sum(lines)
